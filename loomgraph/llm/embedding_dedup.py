@@ -57,6 +57,8 @@ def usable(vector: str):
 def _forest(linked: np.ndarray, home_ids: np.ndarray, visitor_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id, least id of its group) of a tile's linked vectors, by repeated minima over the link matrix."""
     rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     m, h, v = linked[np.ix_(rows, columns)], home_ids[rows], visitor_ids[columns]
     top = np.iinfo(np.int64).max
     label_h, label_v = h.copy(), v.copy()
@@ -66,9 +68,7 @@ def _forest(linked: np.ndarray, home_ids: np.ndarray, visitor_ids: np.ndarray) -
         if (new_v == label_v).all() and (new_h == label_h).all():
             break
         label_h, label_v = new_h, new_v
-    ids, labels = np.concatenate([h, v]), np.concatenate([label_h, label_v])
-    ids, first = np.unique(ids, return_index=True)
-    return ids, labels[first]
+    return np.concatenate([h, v]), np.concatenate([label_h, label_v])  # a vector on both sides has an edge for each
 
 
 def compare_tile(cell: int, h: dict, v: dict, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
