@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, materialize
@@ -238,11 +238,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", r
 
 
 def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
-    """df with one document of each group of linked ones: that with the smallest key. Rows without links stay as they are.
+    """df with one document of each group of linked ones: that with the smallest key, of a repeated key the first by text.
 
-    Copies beyond the first of a repeated key in a group go too.
+    Documents without links and rows without a key stay as they are.
     """
-    spark = df.sparkSession
     groups = materialize(jaccard_components(df, key, text, rule), "ngram-groups")
     gone = groups.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone"))
-    return df.join(gone.distinct(), F.col(key) == F.col("_gone"), "left_anti")
+    kept = df.join(gone.distinct(), F.col(key) == F.col("_gone"), "left_anti")
+    again = groups.filter("component_id is not null").groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
+    if again.isEmpty():
+        return kept
+    first = kept.join(again, F.col(key) == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(text)))
+    return kept.join(again, F.col(key) == F.col("_again"), "left_anti").unionByName(first.filter("_nth = 1").drop("_nth"))

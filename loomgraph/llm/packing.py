@@ -72,7 +72,7 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
         for batch in batches:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                all_ids = ids_of((raw or b"").decode()) + end
+                all_ids = ids_of((raw or b"").decode("utf-8", "replace")) + end
                 for at in range(0, len(all_ids), 4 * size):
                     piece = all_ids[at : at + 4 * size]
                     rows.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(len(all_ids) // 4)

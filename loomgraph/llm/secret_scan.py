@@ -184,7 +184,7 @@ def scan_texts(texts: list[bytes], rules: tuple[SecretRule, ...], compiled, voca
         for d in (segment.candidates(query) if segment else range(len(texts))):
             text = decoded.get(d)
             if text is None:
-                text = decoded[d] = texts[d].decode()
+                text = decoded[d] = texts[d].decode("utf-8", "replace")
             for m in regex.finditer(text):
                 if len(m[rule.group]) >= rule.least:
                     found[d].append((m.start(), r, m.end()))
@@ -243,7 +243,7 @@ def redact_documents(df: DataFrame, text: str = "text", rules: tuple[SecretRule,
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = scan_texts([t or b"" for t in texts], rules, *prepared)
-            new = [_redacted(t.decode(), s, mark).encode() if s else t for t, s in zip(texts, found, strict=True)]
+            new = [_redacted(t.decode("utf-8", "replace"), s, mark).encode() if s else t for t, s in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     done = numbered.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in numbered.dtypes))
