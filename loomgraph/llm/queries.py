@@ -66,9 +66,9 @@ per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY sour
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM per),
 before AS (SELECT *, coalesce(sum(3 * source_size) OVER p, 0) AS cap_before, coalesce(sum(w) OVER p, 0) AS w_before, sum(source_size) OVER () AS all_size, sum(w) OVER () AS all_w
   FROM weighed WINDOW p AS (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-capped AS (SELECT *, 3 * source_size * (all_w - w_before) <= w * (all_size - cap_before) AS full FROM before),
-target AS (SELECT source, source_size, CASE WHEN full THEN (3 * source_size)::DOUBLE
-  ELSE (w * (all_size - coalesce(sum(3 * source_size) FILTER (full) OVER (), 0)))::DOUBLE / (all_w - coalesce(sum(w) FILTER (full) OVER (), 0))::DOUBLE END AS target FROM capped),
+capped AS (SELECT *, 3 * source_size * (all_w - w_before) <= w * (all_size - cap_before) AS is_full FROM before),
+target AS (SELECT source, source_size, CASE WHEN is_full THEN (3 * source_size)::DOUBLE
+  ELSE (w * (all_size - coalesce(sum(3 * source_size) FILTER (WHERE is_full) OVER (), 0)))::DOUBLE / (all_w - coalesce(sum(w) FILTER (WHERE is_full) OVER (), 0))::DOUBLE END AS target FROM capped),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS r,
   ('0x' || substr(sha256('mix-1:' || coalesce(source, chr(0) || 'null')), 1, 5))::BIGINT::DOUBLE / 1048576.0 AS u FROM sized)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
@@ -77,7 +77,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
     FROM ranked k JOIN target t ON k.source IS NOT DISTINCT FROM t.source))""",
     "op4_embedding_dedup": """
 WITH RECURSIVE valid AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 ids AS (SELECT id FROM valid),
 link AS (SELECT a.id AS a, b.id AS b FROM valid a JOIN valid b ON a.id < b.id AND list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.95)"""
     + _COMPONENTS
@@ -86,7 +86,7 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, v
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
     "op5_ngram_join": """
 WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
 one AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s),
 link AS (SELECT a.id AS a, b.id AS b FROM one a JOIN one b ON a.x = b.x AND a.id < b.id AND a.n * 100 >= 90 * b.n AND b.n * 100 >= 90 * a.n
   GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
@@ -98,7 +98,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 h AS (SELECT page_id, octet_length(encode(body))::BIGINT AS n, sha1(body) AS x FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM h)
 SELECT page_id, n AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> ((3 - i % 4) * 5)) & 31)::INT + 1, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> ((3 - i % 4) * 5)) & 31)::INT + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op9_url_filter": """
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -164,7 +164,7 @@ class Segment:
             return self.postings[query]
         out = None
         for part in sorted((self.candidates(q) for q in query[1]), key=len):
-            out = part if out is None else (np.intersect1d if query[0] == "and" else np.union1d)(out, part, assume_unique=False)
+            out = part if out is None else (np.intersect1d if query[0] == "and" else np.union1d)(out, part)
         return out
 
 
