@@ -37,7 +37,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() whose readers have all been written themselves."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its row count is within the bound; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -59,6 +73,7 @@ def ranked(df: DataFrame, group: str, order: list[str | Column], name: str) -> D
     starts = placed.groupBy(group, "_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    starts = small(materialize(starts, f"{name}-starts"))  # a row for each group and partition that has it
     out = placed.join(starts, placed[group].eqNullSafe(starts["_g"]) & (placed["_pid"] == starts["_p"]))
     return out.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_pid", "_at", "_g", "_p", "_first", "_before")
 
@@ -82,7 +97,7 @@ def components(nodes: DataFrame, edges: DataFrame, name: str, most_rounds: int =
         to = both.groupBy("a").agg(F.min(pick("b")).alias("m")).select(F.col("a").alias("v"), F.least(F.col("m"), pick("a"))["to"].alias("p"))
         step = to.alias("x").join(to.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.col("y.p").alias("p"))
         step = materialize(step, f"{name}-step")
-        roots = roots.join(step, roots["root"] == step["v"], "left").select("node", F.coalesce("p", "root").alias("root"))
+        roots = roots.join(small(step), roots["root"] == step["v"], "left").select("node", F.coalesce("p", "root").alias("root"))
         a, b = step.select(F.col("v").alias("a"), F.col("p").alias("pa")), step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = current.join(a, "a").join(b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         current = materialize(moved.distinct(), f"{name}-edges")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import materialize, ranked, small
 
 WEIGHTS = (5, 2, 1)
 
@@ -56,7 +56,7 @@ def offset(seed: str) -> Column:
 def copies_of(df: DataFrame, keep: list[str], source: str, size: Column, key: str, seed: str, weights: tuple[int, ...], most: int, name: str) -> DataFrame:
     sized = df.select(*keep, F.col(source).alias("source"), size.alias("size"), F.col(key).alias("_key"))
     placed = ranked(sized, "source", ["size", "_key"], name)
-    targets = source_targets(placed.select("source", "size"), weights, most).withColumnRenamed("source", "_s")
+    targets = small(materialize(source_targets(placed.select("source", "size"), weights, most), f"{name}-targets")).withColumnRenamed("source", "_s")
     joined = placed.join(targets, placed["source"].eqNullSafe(targets["_s"])).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumns({"_rate": rate, "_u": offset(seed)})

@@ -7,12 +7,13 @@ a written table where it is read more than once:
    all documents add up to a table of bounded size (1 MB in logarithms) that gives the global orders: rarer buckets first.
    Buckets only guide the orders; any total order gives the same result. Equal sets collapse to one representative.
 2. Prefix filter under the first order: two sets with Jaccard >= t share a token among their first n - ceil(t n) + 1. Prefixes
-   under two more orders (coarser rarity classes, other permutations) are kept as 16-bit tokens, for the intersection.
+   under two more orders (coarser rarity classes, other permutations) are kept as 16-bit tokens, for the intersection, and
+   1024 parity bits of the set, whose differences bound the symmetric difference from below. No filter loses a link.
 3. Stars: in each posting the smallest document leads, and all others are paired with it: as many pairs as postings, however
    large a group of near copies is. Pairs must pass the size filter and share tokens under all orders; what is left is verified
    on the full sets. Verified pairs give components.
 4. Rest: a link that the stars did not find joins two components. So only postings with several components are left, and of
-   those only pairs with one side outside the leader's component. They pass the same filters inside the join, are verified,
+   those only pairs without the leader, with one side outside its component. They pass the same filters inside the join, are verified,
    and complete the components. No pair with a link between components is skipped, so the components are exact.
 
 Hot keys: counting and leaders are aggregates with partial sums, equal sets collapse before pairing, and joins on hot tokens
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialize
+from .common import bounded_batches, components, discard, materialize, small
 
 _BITS = 20
 _SLICE = 1 << 12
@@ -96,6 +97,13 @@ def prefixes(h: np.ndarray, rarity: np.ndarray, rule: JoinRule) -> tuple[np.ndar
     return first.view(np.int64), more[0], more[1]
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """1024 bits as 16 longs: the parity of the number of tokens in each bucket. Bits that differ between two sets are no more
+    than tokens that only one of them has."""
+    bits = np.bincount((_mixed(h, 4) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
@@ -151,8 +159,9 @@ def _signed(rule: JoinRule, rarity):
             sets = [shingle_set(t, rule.words) for t in _texts(batch.column(1))]
             has = pa.array([len(s) > 0 for s in sets])
             signed = [prefixes(s, table, rule) for s in sets if len(s)]
-            columns = [pa.array([s[i] for s in signed], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int16(), pa.int16()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(has), pa.array([len(s) for s in sets if len(s)], pa.int64()), *columns], names=["id", "n", "p1", "p2", "p3"])
+            signed = [(*s, parities(own)) for s, own in zip(signed, (s for s in sets if len(s)), strict=True)]
+            columns = [pa.array([s[i] for s in signed], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int16(), pa.int16(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(has), pa.array([len(s) for s in sets if len(s)], pa.int64()), *columns], names=["id", "n", "p1", "p2", "p3", "odd"])
 
     return run
 
@@ -172,20 +181,39 @@ def _verified(rule: JoinRule):
     return run
 
 
+def filtered(pairs: DataFrame, signed: DataFrame, rule: JoinRule) -> DataFrame:
+    """The pairs (a, b), a written table, that pass the filters of the other orders."""
+    sides = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-filter-sides"))
+    sign = signed.select("id", "n", "p2", "p3", "odd").join(sides, "id", "left_semi")
+    y = sign.alias("y").join(small(pairs), F.col("b") == F.col("y.id"))
+    return sign.alias("x").join(y, F.col("a") == F.col("x.id")).filter(_common("x", "y", rule)).select("a", "b")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, rule: JoinRule) -> DataFrame:
-    """The pairs (a, b) whose texts link."""
-    b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b), a written table, whose texts link; written too."""
+    sides = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-sides")
+    texts = texts.join(small(sides), "id", "left_semi")  # only texts of some pair are dealt out
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(small(pairs), "b")
     both = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(rule), "a long, b long")
+    out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(rule), "a long, b long"), "ngram-verified")
+    discard(sides)
+    return out
 
 
 def _alike(a: str, b: str, rule: JoinRule):
-    """The size filter and, if prefixes are there, common tokens under the other orders."""
+    """The size filter."""
     return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * rule.percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * rule.percent)
 
 
-def _common(a: str, b: str):
-    return F.arrays_overlap(F.col(f"{a}.p2"), F.col(f"{b}.p2")) & F.arrays_overlap(F.col(f"{a}.p3"), F.col(f"{b}.p3"))
+def _near(a: str, b: str, rule: JoinRule):
+    """No more differing parities than linked sets may have differing tokens."""
+    differing = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(1, 16)), F.bit_count(F.get(f"{a}.odd", F.lit(0)).bitwiseXOR(F.get(f"{b}.odd", F.lit(0)))))
+    return differing * (100 + rule.percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - rule.percent)
+
+
+def _common(a: str, b: str, rule: JoinRule):
+    """Near by parities, and with common tokens under the other orders."""
+    return _near(a, b, rule) & F.arrays_overlap(F.col(f"{a}.p2"), F.col(f"{b}.p2")) & F.arrays_overlap(F.col(f"{a}.p3"), F.col(f"{b}.p3"))
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
@@ -197,35 +225,38 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", r
     documents = counted.filter("slice is null")
     sets = documents.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
     rarity = spark.sparkContext.broadcast(rarity_table(counted))
-    signed = texts.filter("id is not null").mapInArrow(_signed(rule, rarity), "id long, n long, p1 array<long>, p2 array<short>, p3 array<short>")
+    signed = texts.filter("id is not null").mapInArrow(_signed(rule, rarity), "id long, n long, p1 array<long>, p2 array<short>, p3 array<short>, odd array<long>")
     signed = materialize(signed.join(sets.select(F.col("rep").alias("id")), "id", "left_semi"), "ngram-prefixes")
 
     postings = signed.select("id", "n", F.explode("p1").alias("token"))
     leaders = postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last")).filter("lead.id < last")
-    shared = materialize(postings.join(leaders.select("token", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n")), "token"), "ngram-postings")
+    leaders = materialize(leaders.select("token", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n")), "ngram-leaders")
+    shared = materialize(postings.join(small(leaders), "token"), "ngram-postings")
     star = shared.filter((F.col("id") != F.col("leader")) & (F.col("n") * 100 >= F.col("leader_n") * rule.percent) & (F.col("leader_n") * 100 >= F.col("n") * rule.percent))
-    star = star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    sign = signed.select("id", "p2", "p3")
-    star = star.join(sign.alias("y"), F.col("b") == F.col("y.id")).join(sign.alias("x"), F.col("a") == F.col("x.id")).filter(_common("x", "y")).select("a", "b")
-    star = materialize(star, "ngram-stars")
-    found = materialize(verify(star, texts, rule), "ngram-links")
+    pairs = materialize(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "ngram-star-pairs")
+    star = materialize(filtered(pairs, signed, rule), "ngram-stars")
+    found = verify(star, texts, rule)
 
     reps = sets.select(F.col("rep").alias("node"))
     twice = documents.filter("set_key is not null").join(sets, "set_key").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     label = components(reps, found, "ngram-stars")
     label = materialize(label, "ngram-labels")
 
-    told = shared.join(label.withColumnRenamed("node", "id"), "id").select("token", "id", "n", "leader", "label")
+    # The leader's own pairs are decided; what is open is between the others of a posting.
+    told = shared.filter(F.col("id") != F.col("leader")).join(label.withColumnRenamed("node", "id"), "id").select("token", "id", "n", "leader", "label")
+    open_tokens = told.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("token")
     heads = label.select(F.col("node").alias("leader"), F.col("label").alias("lead_label"))
-    told = told.join(heads, "leader")
-    open_tokens = told.groupBy("token").agg(F.max((F.col("label") != F.col("lead_label")).cast("int")).alias("o")).filter("o = 1").select("token")
-    rest = materialize(told.join(open_tokens, "token", "left_semi").join(sign, "id").select("token", "id", "n", "label", "lead_label", "p2", "p3"), "ngram-rest")
+    told = materialize(told.join(open_tokens, "token", "left_semi").join(heads, "leader").select("token", "id", "n", "label", "lead_label"), "ngram-open")
+    ids = materialize(told.select("id").distinct(), "ngram-open-ids")
+    odd = signed.select("id", "odd").join(small(ids), "id", "left_semi")
+    rest = told.join(odd, "id")
     outside, every = rest.filter("label <> lead_label").alias("x"), rest.alias("y")
     once = (F.col("y.label") == F.col("y.lead_label")) | (F.col("x.id") < F.col("y.id"))
-    more = outside.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", rule) & _common("x", "y"))
+    more = outside.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", rule) & _near("x", "y", rule))
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = materialize(more.join(star, ["a", "b"], "left_anti"), "ngram-rest-pairs")
-    extra = verify(more, texts, rule) if not more.isEmpty() else spark.createDataFrame([], "a long, b long")
+    more_star = materialize(filtered(more, signed, rule), "ngram-rest-stars")
+    extra = verify(more_star, texts, rule) if not more_star.isEmpty() else spark.createDataFrame([], "a long, b long")
     sure = materialize(extra.unionByName(twice), "ngram-rest-links")
     if not sure.isEmpty():
         over = lambda c: F.col(c).alias("node")
@@ -233,6 +264,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", r
         joined = components(label.select(F.col("label").alias("node")).distinct(), named, "ngram-all")
         label = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", F.col("least").alias("label"))
     final = sets.join(label, F.col("rep") == F.col("node")).select(F.col("set_key").alias("_k"), "label")
+    final = materialize(final, "ngram-final")
+    discard(signed, leaders, shared, pairs, star, found, told, ids, more, more_star, sure)
     out = documents.join(final, F.col("set_key") == F.col("_k"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
 
@@ -243,8 +276,8 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", r
     Documents without links and rows without a key stay as they are.
     """
     groups = materialize(jaccard_components(df, key, text, rule), "ngram-groups")
-    gone = groups.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone"))
-    kept = df.join(gone.distinct(), F.col(key) == F.col("_gone"), "left_anti")
+    gone = materialize(groups.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct(), "ngram-gone")
+    kept = df.join(small(gone), F.col(key) == F.col("_gone"), "left_anti")
     again = groups.filter("component_id is not null").groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
     if again.isEmpty():
         return kept
