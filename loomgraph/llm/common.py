@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize() writes inside are deleted at the end, also after a failure, but for those given to keep().
+
+    What leaves the block must read kept tables only. Kept tables belong to the block around this one, if there is one.
+    """
+    own: list[DataFrame] = []
+    last: list[DataFrame] = []
+
+    def keep(t: DataFrame) -> DataFrame:
+        last.append(t)
+        return t
+
+    _SCOPES.append(own)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        discard(*(t for t in own if not any(t is k for k in last)))
+        if _SCOPES:
+            _SCOPES[-1].extend(last)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends at replicated files, not at an executor."""
     spark = df.sparkSession
@@ -39,6 +67,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.written_at = at
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked, small
+from .common import materialize, ranked, small, temporary_tables
 
 WEIGHTS = (5, 2, 1)
 
@@ -73,10 +73,21 @@ def mixing_plan(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mix_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """df with every row repeated as often as the mix takes it (not at all for 0 copies); columns stay as they are.
 
-    The whole row travels through the range partitioning once, so no join back on a key that may be null or repeated.
+    Only (source, size, key) is sorted; rows take their copies from a table with one row for each such triple, by a null-safe
+    join. Rows that share a triple have the lesser number of copies, and the first by hash of the text have one more, so that
+    the sum is that of the plan. No text is written or sorted but those of such rows.
     """
     numbered = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
     at = {c: f"_c{df.columns.index(c)}" for c in (key, text, source)}
-    out = copies_of(numbered, numbered.columns, at[source], n_words(at[text]), at[key], seed, weights, most, "mixing-rows")
+    with temporary_tables() as keep:
+        plan = copies_of(numbered, [], at[source], n_words(at[text]), at[key], seed, weights, most, "mixing-plan")
+        per = plan.groupBy("source", "size", "_key").agg(F.min("copies").alias("_least"), (F.sum("copies") - F.count(F.lit(1)) * F.min("copies")).alias("_extra"))
+        per = keep(materialize(per.filter("_least + _extra > 0").withColumn("_g", F.monotonically_increasing_id()), "mixing-copies"))
+    same = F.col(at[source]).eqNullSafe(F.col("source")) & n_words(at[text]).eqNullSafe(F.col("size")) & F.col(at[key]).eqNullSafe(F.col("_key"))
+    out = numbered.join(small(per), same).drop("source", "size", "_key").withColumnRenamed("_least", "copies")
+    if not per.filter("_extra > 0").isEmpty():
+        uneven = ranked(out.filter("_extra > 0").withColumn("_h", F.xxhash64(at[text])), "_g", ["_h"], "mixing-uneven").drop("_h")
+        uneven = uneven.withColumn("copies", F.col("copies") + F.when(F.col("rank") <= F.col("_extra"), 1).otherwise(0)).drop("rank")
+        out = out.filter("_extra = 0").unionByName(uneven)
     out = out.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)))

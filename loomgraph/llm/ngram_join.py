@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, discard, materialize, small
+from .common import bounded_batches, components, discard, materialize, small, temporary_tables
 
 _BITS = 20
 _SLICE = 1 << 12
@@ -216,15 +216,16 @@ def _common(a: str, b: str, rule: JoinRule):
     return _near(a, b, rule) & F.arrays_overlap(F.col(f"{a}.p2"), F.col(f"{b}.p2")) & F.arrays_overlap(F.col(f"{a}.p3"), F.col(f"{b}.p3"))
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable by links): one row per row of df."""
+def labelled_sets(df: DataFrame, key: str, text: str, rule: JoinRule) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (id, n, set_key) for each row of df, and (_k, label) for each distinct set."""
     spark = df.sparkSession
     bounded_batches(spark)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     counted = materialize(texts.mapInArrow(_counted(rule), "id long, n long, set_key binary, slice int, part int, counts binary"), "ngram-sets")
-    documents = counted.filter("slice is null")
+    documents = materialize(counted.filter("slice is null").select("id", "n", "set_key"), "ngram-documents")
     sets = documents.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
     rarity = spark.sparkContext.broadcast(rarity_table(counted))
+    discard(counted)
     signed = texts.filter("id is not null").mapInArrow(_signed(rule, rarity), "id long, n long, p1 array<long>, p2 array<short>, p3 array<short>, odd array<long>")
     signed = materialize(signed.join(sets.select(F.col("rep").alias("id")), "id", "left_semi"), "ngram-prefixes")
 
@@ -265,7 +266,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", r
         label = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", F.col("least").alias("label"))
     final = sets.join(label, F.col("rep") == F.col("node")).select(F.col("set_key").alias("_k"), "label")
     final = materialize(final, "ngram-final")
-    discard(signed, leaders, shared, pairs, star, found, told, ids, more, more_star, sure)
+    return documents, final
+
+
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
+    """key, n_shingles, component_id (smallest key reachable by links): one row per row of df."""
+    with temporary_tables() as keep:
+        documents, final = map(keep, labelled_sets(df, key, text, rule))
     out = documents.join(final, F.col("set_key") == F.col("_k"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
 
@@ -275,8 +282,9 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", r
 
     Documents without links and rows without a key stay as they are.
     """
-    groups = materialize(jaccard_components(df, key, text, rule), "ngram-groups")
-    gone = materialize(groups.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct(), "ngram-gone")
+    with temporary_tables() as keep:
+        groups = keep(materialize(jaccard_components(df, key, text, rule), "ngram-groups"))
+        gone = keep(materialize(groups.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct(), "ngram-gone"))
     kept = df.join(small(gone), F.col(key) == F.col("_gone"), "left_anti")
     again = groups.filter("component_id is not null").groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
     if again.isEmpty():

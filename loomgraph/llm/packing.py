@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, ranked
+from .common import bounded_batches, discard, materialize, ranked
 
 SIZE, END_ID = 2048, 1
 _UNSAFE = re.compile(r"[^\x00-\u04ff]|\S{1000}|\s{1000}")
@@ -149,4 +149,6 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, tokenizer_path: str | None = None, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for)."""
     pieces = materialize(token_pieces(df, key, text, size, tokenizer_path, ranks_path, with_ids), "packing-pieces")  # the range sort reads them twice
-    return pack_pieces(pieces, size, (key, "start")).select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
+    packed = pack_pieces(pieces, size, (key, "start"))
+    discard(pieces)  # the ranked pieces are written
+    return packed.select(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
