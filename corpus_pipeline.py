@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm import mixing, ngram_join, packing, quality_rules, secret_scan
 from loomgraph.llm.common import materialize, table
 
+#: Five words and similarity 0.8; the 3 words and 90 percent of op5 are its own contract.
+NEAR_COPIES = ngram_join.JoinRule(words=5, percent=80)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their failing lines."""
@@ -14,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones."""
-    return ngram_join.distinct_documents(docs)
+    """One document of each group of linked ones, by NEAR_COPIES."""
+    return ngram_join.distinct_documents(docs, rule=NEAR_COPIES)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

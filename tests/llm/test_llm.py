@@ -276,3 +276,17 @@ def test_pipeline_stages(spark, documents):
         assert out.columns == documents.columns
         docs = spark.createDataFrame(out.collect(), documents.schema)
     assert docs.count() > 0 and corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_pipeline_drops_copies_between_80_and_90_percent(spark):
+    import corpus_pipeline
+
+    base = [[f"w{k}x{i}" for i in range(200)] for k in range(3)]
+    scattered = [w if i % 50 != 25 else f"new{i}" for i, w in enumerate(base[1])]
+    short = base[2][:150]  # 146 of 196 shingles: below 0.8
+    texts = [base[0], base[0] + [f"tail{i}" for i in range(40)], base[1], scattered, base[2], short]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= alike(0, 1) < 0.9 and 0.8 <= alike(2, 3) < 0.9 and alike(4, 5) < 0.8
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1, None, 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, DIR).collect()) == [0, 2, 4, 5]
