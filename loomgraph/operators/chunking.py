@@ -67,9 +67,11 @@ def sections(docs: DataFrame) -> DataFrame:
     body = F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line", "text"))))
     out = numbered.groupBy("doc_id", "section").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.max("heading").alias("heading"), F.min("line").alias("start_line"), F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("text"))
     out = out.withColumn("section", F.greatest(F.col("section"), F.lit(1)))
-    earlier = F.collect_list(F.struct("section", "level")).over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1))
-    smaller = F.filter(F.col("earlier"), lambda x: x["level"] < F.col("level"))
-    out = out.withColumn("earlier", earlier).withColumn("parent", F.when(F.size(smaller) > 0, F.element_at(smaller, -1)["section"]))
+    before = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("level") == i, F.col("section"))).over(before) for i in range(1, 6)]  # of a level; levels are 1 to 6
+    out = out.select("*", *[x.alias(f"_last{i}") for i, x in enumerate(last, 1)])
+    parent = F.array_max(F.array(*[F.when(F.col("level") > i, F.col(f"_last{i}")) for i in range(1, 6)]))
+    out = out.withColumn("parent", parent)
     heading_id = prefixed_hash("sec_", 8, F.col("level").cast("string"), F.lit("::"), F.coalesce("heading", F.lit("")), F.lit("::"), F.col("start_line").cast("string"))
     return out.select("doc_id", "section", "level", "heading", "start_line", heading_id.alias("section_id"), "parent", "text")
 

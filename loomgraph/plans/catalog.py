@@ -117,6 +117,11 @@ def detect_headings(spark, d):
     return chunking.headings(_headed(spark, d)).filter("level is not null").select("doc_id", "line", "level", "heading")
 
 
+@query(f"WITH src AS (SELECT doc_id, text FROM documents) SELECT doc_id, line::INT AS line, level, heading FROM ({_HEADINGS}) WHERE level IS NOT NULL")
+def detect_headings_documents(spark, d):
+    return chunking.headings(_docs(spark, d)).filter("level is not null").select("doc_id", "line", "level", "heading")
+
+
 _SECTIONS = f"""h AS ({_HEADINGS}), s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM h),
 g AS (SELECT doc_id, section, max(level) AS level, max(heading) AS heading, min(line) AS start_line, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE level IS NULL), '') AS text FROM s WHERE section > 0 GROUP BY ALL),
 sec AS (SELECT *, 'sec_' || substr(sha256(level || '::' || coalesce(heading, '') || '::' || start_line), 1, 8) AS section_id,
@@ -128,6 +133,18 @@ def parse_sections(spark, d):
     return chunking.sections(_headed(spark, d))
 
 
+#: As _SECTIONS, for texts with and without headings: one without is a section of level 0. The parent comes from the last section of each level.
+_ALL_SECTIONS = f"""h AS ({_HEADINGS}), s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY line) AS k, count(level) OVER (PARTITION BY doc_id) AS every FROM h),
+g AS (SELECT doc_id, greatest(k, 1) AS section, coalesce(max(level), 0)::INT AS level, max(heading) AS heading, min(line) AS start_line, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE level IS NULL), '') AS text FROM s WHERE k > 0 OR every = 0 GROUP BY doc_id, k),
+w AS (SELECT *, {", ".join(f"max(CASE WHEN level = {i} THEN section END) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l{i}" for i in range(1, 7))} FROM g),
+sec AS (SELECT doc_id, section, level, heading, start_line, text, 'sec_' || substr(sha256(level || '::' || coalesce(heading, '') || '::' || start_line), 1, 8) AS section_id, CASE level {" ".join(f"WHEN {n} THEN greatest({', '.join(f'l{i}' for i in range(1, n))})" for n in range(2, 7))} END AS parent FROM w)"""
+
+
+@query(f"WITH src AS (SELECT doc_id, text FROM documents), {_ALL_SECTIONS} SELECT doc_id, section, level, heading, start_line::INT AS start_line, section_id, parent, text FROM sec")
+def parse_sections_documents(spark, d):
+    return chunking.sections(_docs(spark, d))
+
+
 @query(
     f"""WITH src AS ({_HEADED}), {_SECTIONS}, p AS (SELECT doc_id, section, section_id, heading, unnest(range(0, len(x))) AS para, unnest(x) AS text FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS x FROM sec)),
 q AS (SELECT doc_id, section, heading, para, {_strip("text")} AS text, 'section:' || section_id || ':para:' || para AS location FROM p)
@@ -138,6 +155,16 @@ def structured_chunks(spark, d):
     return chunking.structured_chunks(_headed(spark, d))
 
 
+@query(
+    f"""WITH src AS (SELECT doc_id, text FROM documents), {_ALL_SECTIONS}, p AS (SELECT doc_id, section, section_id, heading, unnest(range(0, len(x))) AS para, unnest(x) AS text FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS x FROM sec)),
+q AS (SELECT doc_id, section, heading, para, {_strip("text")} AS text, 'section:' || section_id || ':para:' || para AS location FROM p)
+SELECT doc_id, section, para::INT AS para, text, location, 'chunk_' || substr(sha256('doc:' || doc_id || '::document_structured::' || location || '::' || lower(text)), 1, 8) AS chunk_id,
+  CASE WHEN regexp_matches(lower(heading), 'definition|definitions|overview|introduction') THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM q WHERE length(text) >= 40"""
+)
+def structured_chunks_documents(spark, d):
+    return chunking.structured_chunks(_docs(spark, d))
+
+
 _ABBREVIATIONS = "|".join(a.replace(".", "\\.") for a in sorted(T.ABBREVIATIONS, key=lambda a: (-len(a), a)))
 
 
@@ -208,6 +235,11 @@ def extract_procedures(spark, d):
     return extraction.procedures(_headed(spark, d))
 
 
+@query(_procedures("documents"))
+def extract_procedures_documents(spark, d):
+    return extraction.procedures(_docs(spark, d))
+
+
 def _relationships(source: str) -> str:
     match = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?i){p}') THEN '{n}'" for n, _, p in extraction.RELATIONSHIPS) + " END"
     arms = lambda f: "CASE pattern " + " ".join(f"WHEN '{n}' THEN {f(r, p)}" for n, r, p in extraction.RELATIONSHIPS) + " END"
@@ -377,6 +409,20 @@ def _star(spark, d):
 
 
 _STAR = "star AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'depends_on' AS relation FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'part_of' FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of' FROM nation)"
+
+
+def _whole_star(spark, d):
+    """_star with lineitem -> order, lineitem -> supplier and supplier -> nation: a part of it has several paths to its nation."""
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    e = lambda df, a, b, r: df.select(a.alias("src"), b.alias("dst"), F.lit(r).alias("relation"), F.lit(0.75).alias("salience"))
+    lineitem, supplier = _t(spark, d, "lineitem"), _t(spark, d, "supplier")
+    item = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    out = _star(spark, d).unionByName(e(lineitem, item, s("o", "l_orderkey"), "part_of")).unionByName(e(lineitem, item, s("s", "l_suppkey"), "depends_on"))
+    return out.unionByName(e(supplier, s("s", "s_suppkey"), s("n", "s_nationkey"), "part_of"))
+
+
+_WHOLE_STAR = f"""{_STAR}, whole AS (SELECT * FROM star UNION ALL SELECT 'l' || l_orderkey || '.' || l_linenumber, 'o' || l_orderkey, 'part_of' FROM lineitem UNION ALL
+  SELECT 'l' || l_orderkey || '.' || l_linenumber, 's' || l_suppkey, 'depends_on' FROM lineitem UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'part_of' FROM supplier)"""
 _CLOSURE = "steps AS (SELECT DISTINCT src, dst FROM {edges}), walk AS (SELECT src AS source, dst AS target, 1 AS depth, [src, dst] AS path FROM steps WHERE src <> dst UNION ALL SELECT source, dst, depth + 1, list_append(path, dst) FROM walk JOIN steps ON src = target WHERE depth < 3 AND NOT list_contains(path, dst))"
 
 
@@ -401,6 +447,21 @@ def compose_relationships(spark, d):
     return graph_queries.composed(graph_queries.closure(star.select(F.col("src").alias("source")).distinct(), star))
 
 
+@query(f"WITH RECURSIVE {_WHOLE_STAR}, {_CLOSURE.format(edges='whole')} SELECT source, target, depth::INT AS depth, array_to_string(path, '>') AS path FROM walk")
+def closure_depth3_lineitem(spark, d):
+    star = _whole_star(spark, d)
+    return graph_queries.closure(star.select(F.col("src").alias("source")).distinct(), star)
+
+
+@query(
+    f"""WITH RECURSIVE {_WHOLE_STAR}, {_CLOSURE.format(edges="whole")}, g AS (SELECT source, target, min(depth) AS depth, count(*) AS n, count(*) FILTER (depth = 1) AS n1 FROM walk GROUP BY ALL)
+SELECT source, target, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS kind, depth::INT AS depth, CASE WHEN depth = 1 THEN n1 ELSE n END AS n_paths FROM g"""
+)
+def compose_relationships_lineitem(spark, d):
+    star = _whole_star(spark, d)
+    return graph_queries.composed(graph_queries.closure(star.select(F.col("src").alias("source")).distinct(), star))
+
+
 @query(f"WITH {_EDGES}, e AS (SELECT DISTINCT src, dst FROM edge) SELECT x.src, x.dst FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src")
 def cycle_edges(spark, d):
     return graph_queries.cycles(_edges(spark, d))

@@ -122,3 +122,24 @@ def test_lookup(spark):
     asked = spark.createDataFrame([("France",), (" france ",), ("Narnia",)], "key string")
     got = {r.key: (r.value, r.hit) for r in graph_queries.dataset_lookup(asked, ds, "c").collect()}
     assert got == {"France": ("Paris", "exact"), " france ": ("Paris", "normalized"), "Narnia": ("__lookup_miss__:c:Narnia", "miss")}
+
+
+def test_sections_over_documents(spark):
+    from loomgraph.operators import chunking
+    from loomgraph.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("detect_headings", "parse_sections", "structured_chunks", "extract_procedures"):
+        assert f"{name}_documents" in catalog.QUERIES and f"{name}_documents" in catalog.SQL
+    assert catalog.QUERIES["parse_sections_documents"](spark, sf).filter("level = 0").count() > 0
+    levels = [(7 * i * i + i // 3) % 6 + 1 for i in range(3000)]
+    text = "\n".join(f"{'#' * n} title {i}\nbody" for i, n in enumerate(levels))
+    got = {r.section: r.parent for r in chunking.sections(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    stack, want = [], {}
+    for i, n in enumerate(levels, 1):
+        while stack and levels[stack[-1] - 1] >= n:
+            stack.pop()
+        want[i] = stack[-1] if stack else None
+        stack.append(i)
+    assert got == want
+    assert catalog.QUERIES["compose_relationships_lineitem"](spark, sf).filter("n_paths > 1").count() > 0
