@@ -11,8 +11,8 @@ A cell's homes and visitors are dealt into tiles of at most about `block` x `blo
 vectors is many tasks. A tile is one matrix product in double precision. It returns link counts per vector and a spanning
 forest of its links, never the pairs: at most as many edges as the tile has vectors. Components come from `common.components`.
 
-Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components link with nothing, and so do
-vectors of another number of components than the most common one (ties: the smaller), except with their exact copies.
+Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components link with nothing. Vectors of
+different numbers of components never link; each number has centroids, cells and tiles of its own, one pass after another.
 Repeated rows are vectors of their own; an empty table gives an empty result; other columns are not read.
 """
 
@@ -99,9 +99,10 @@ def near_duplicates(
     bounded_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("id"), F.when(usable(vector), F.col(vector)).alias("vector"))
     classes = materialize(rows.filter("vector is not null").groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "vector-classes")
-    dims = classes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all")).orderBy(F.desc("all"), "dim").first()
-    nothing = spark.createDataFrame([], "id long, links long, label long")
-    found = _linked(classes.filter(F.size("vector") == dims["dim"]), dims["dim"], dims["rows"], threshold, margin, cells, sample, sample_bytes, block) if dims else nothing
+    dims = classes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").orderBy("dim").collect()  # one vector alone links with its copies only
+    found = spark.createDataFrame([], "id long, links long, label long")
+    for r in dims:
+        found = found.unionByName(_linked(classes.filter(F.size("vector") == r["dim"]), r["dim"], r["rows"], threshold, margin, cells, sample, sample_bytes, block))
     stated = classes.join(found, "id", "left").select(F.col("vector").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("label", "id").alias("label"))
     out = rows.join(stated, F.col("vector") == F.col("_v"), "left")
     label = F.coalesce("label", "id")

@@ -290,3 +290,14 @@ def test_pipeline_drops_copies_between_80_and_90_percent(spark):
     assert 0.8 <= alike(0, 1) < 0.9 and 0.8 <= alike(2, 3) < 0.9 and alike(4, 5) < 0.8
     df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1, None, 1) for i, t in enumerate(texts)], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, DIR).collect()) == [0, 2, 4, 5]
+
+
+def test_embeddings_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(8)
+    base = {dim: [list(map(float, v)) for v in rng.normal(size=(6, dim))] for dim in (12, 24)}
+    near = {dim: [[x + 0.001 for x in v] for v in own] for dim, own in base.items()}
+    vectors = base[12] + near[12] + base[12][:3] + base[24] + near[24] + [[1.0] * 7]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    linked = {i: {j for j, b in enumerate(vectors) if i != j and len(a) == len(b) and np.dot(a, b) >= 0.95 * np.linalg.norm(a) * np.linalg.norm(b)} for i, a in enumerate(vectors)}
+    label = groups(range(len(vectors)), linked)
+    assert got == {i: (len(linked[i]), label[i], label[i] == i) for i in linked} and got[21] == (1, 15, False)
