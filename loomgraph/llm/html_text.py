@@ -45,6 +45,8 @@ _NOISE_NAMES = frozenset(
     "topbar toolbar cookie cookies consent gdpr notice notices notification alert banner popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies "
     "share sharing social related recommended recommendations pagination pager widget widgets skip copyright legal disclaimer search".split()
 )
+#: Noise names that are titles of sections too; an id inside the content may be made of them.
+_TITLE_NAMES = frozenset("search legal copyright notice notices notification alert navigation menu menus widget widgets social sharing advertising disclaimer subscription login promotion consent cookie cookies pagination related overlay".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOTICE = re.compile(r"cookie|javascript|all rights reserved|©|copyright|privacy policy|terms of (?:use|service)|subscribe|newsletter|sign up|log in|share this|advertis|sponsored", re.IGNORECASE)
 
@@ -63,8 +65,44 @@ def _names(text: str) -> set[str]:
     return out
 
 
-def _kind(tag: str, raw: str, in_main: bool) -> str:
-    """What an element is: noise, main or plain."""
+def _wrappers(page: str) -> set[int]:
+    """Starts of elements around the content: that hold a <main>, or 90 % of the text, or half of it and every <article> and <h1>."""
+    ends: list[list[int]] = []  # start, then what was seen before it: text, mains, articles and h1
+    stack: list[tuple[str, int]] = []
+    count: Counter = Counter()
+    text = mains = marks = at = 0
+
+    def pop() -> None:
+        tag, i = stack.pop()
+        count[tag] -= 1
+        ends[i] += [text, mains, marks]
+
+    while m := _TAG.search(page, at):
+        text += len(page[at : m.start()].strip())
+        at, tag = m.end(), (m[2] or "").lower()
+        if not tag or tag in _VOID:
+            continue
+        if tag in _RAW:
+            found = re.compile(rf"</{tag}\s*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = found.end() if found and not m[1] else at if m[1] else len(page)
+        elif not m[1]:
+            stack.append((tag, len(ends)))
+            count[tag] += 1
+            ends.append([m.start(), text, mains, marks])
+            mains, marks = mains + (tag == "main"), marks + (tag in ("article", "h1"))
+        elif count[tag]:
+            while stack[-1][0] != tag:
+                pop()
+            pop()
+    text += len(page[at:].strip())
+    while stack:
+        pop()
+    return {a for a, t, n, k, u, o, q in ends if o > n or text and 10 * (u - t) >= 9 * text or 2 * (u - t) >= text and q - k == marks > 0}
+
+
+def _kind(tag: str, raw: str, in_main: bool, around: bool = False) -> str:
+    """What an element is: noise, main or plain. Names make no noise of what stands around the content; ids of headings and, inside
+    the content, of sections are made from titles."""
     if tag in _NO_CONTENT or tag == "header" and not in_main:
         return "noise"
     if tag in ("article", "main"):
@@ -77,7 +115,13 @@ def _kind(tag: str, raw: str, in_main: bool) -> str:
     if a.get("role", "").lower() in _ROLES:
         return "noise"
     names = _names(f"{a.get('class', '')} {a.get('id', '')}")
-    if names & _NOISE_NAMES or "header" in names and not in_main and tag not in _HEADINGS:
+    noise = names & _NOISE_NAMES
+    if tag in _HEADINGS:
+        noise = _names(a.get("class", "")) & _NOISE_NAMES
+    elif in_main and (tag == "section" or "section" in a.get("class", "").lower().split()):
+        of_id = _names(a.get("id", ""))
+        noise = _names(a.get("class", "")) & _NOISE_NAMES or (of_id if of_id and of_id <= _NOISE_NAMES - _TITLE_NAMES else None)
+    if not around and (noise or "header" in names and not in_main and tag not in _HEADINGS):
         return "noise"
     if a.get("role", "").lower() == "main" or a.get("itemprop") == "articleBody" or names & _MAIN_NAMES and tag in ("div", "section", "td"):
         return "main"
@@ -89,6 +133,7 @@ def read_page(page: str) -> Iterator[tuple[str, str, int, str, int, int]]:
     stack: list[tuple[str, str]] = []
     count: Counter = Counter()  # open elements by name and by kind
     at, block, end = 0, 0, len(page)
+    around: set[int] | None = None
 
     def pop() -> None:
         tag, kind = stack.pop()
@@ -138,6 +183,9 @@ def read_page(page: str) -> Iterator[tuple[str, str, int, str, int, int]]:
                 yield "tag", "", 0, "raw", start, block
             continue
         kind = _kind(tag, m[3], bool(count["+main"]))
+        if kind == "noise" and not count["+noise"] and "=" in m[3]:
+            around = _wrappers(page) if around is None else around
+            kind = _kind(tag, m[3], bool(count["+main"]), start in around)
         if not count["+noise"]:
             yield "tag", " " if tag == "br" else "", 0, ("noise in main" if count["+main"] else "noise") if kind == "noise" else "link" if tag == "a" else "block" if tag in _BLOCKS else "inline", start, block
         if tag not in _VOID:

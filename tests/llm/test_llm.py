@@ -301,3 +301,15 @@ def test_embeddings_of_every_length_are_compared(spark):
     linked = {i: {j for j, b in enumerate(vectors) if i != j and len(a) == len(b) and np.dot(a, b) >= 0.95 * np.linalg.norm(a) * np.linalg.norm(b)} for i, a in enumerate(vectors)}
     label = groups(range(len(vectors)), linked)
     assert got == {i: (len(linked[i]), label[i], label[i] == i) for i in linked} and got[21] == (1, 15, False)
+
+
+def test_main_text_of_wrapped_and_id_anchored_pages():
+    weights, p = html_text.fitted_weights(), "The river rose for three days and the old bridge held, though nobody had expected it to."
+    get = lambda body: html_text.main_text(f"<html><head><title>x</title></head><body>{body}</body></html>", weights)
+    article = f"<article><h1>Bridges</h1><p>{p}</p></article>"
+    assert get(f"<div class='container sidebar-right'><p>{p}</p><p>{p}</p></div>") == f"{p}\n{p}"
+    assert get(f"<div class='layout sidebar-right'>{article}<div class='sidebar'>Most read today</div></div>") == f"Bridges\n{p}"
+    assert get(f"<div class='page search'><main><h1>Bridges</h1><p>{p}</p></main></div>") == f"Bridges\n{p}"
+    anchored = f"<main><section id='search-algorithms'><h2 id='legal-framework'>Legal</h2><p>{p}</p></section><section id='related-work'><h2>Related work</h2><p>{p}</p></section><section id='comments'><p>{p}</p></section></main>"
+    assert get(anchored) == f"Legal\n{p}\nRelated work\n{p}"
+    assert get(f"{article}<div class='comments'><article><p>{p}</p><p>{p}</p></article></div>") == f"Bridges\n{p}"
