@@ -1,27 +1,32 @@
-"""N-gram Jaccard join: candidates must share prefix tokens under several global orders, before exact verification.
+"""N-gram Jaccard join: candidates must share prefix tokens under several different global orders, before exact verification.
 
-A document's set holds its distinct `words`-word shingles (64-bit hashes of them; 2^-64 for a false match of two). Steps, each
-a written table where it is read more than once:
+A document's set holds its distinct `words`-word shingles (64-bit hashes of them). Equal sets are one node, named by a 64-bit
+hash of the set, so copies need no join to collapse: their rows are equal, and aggregates merge them before they shuffle. (A
+false match of two hashes has a chance of 2^-64; of n different sets n^2 / 2^65 pairs would be taken for copies, 0.03 of 10^9.)
+Steps, each a written table where it is read more than once:
 
-1. One pass over all texts: set size, a 128-bit key of the set, and per task counts of shingles in 2^20 buckets. The counts of
-   all documents add up to a table of bounded size (1 MB in logarithms) that gives the global orders: rarer buckets first.
-   Buckets only guide the orders; any total order gives the same result. Equal sets collapse to one representative.
+1. One pass over all texts: set size, node, and per task counts of shingles in 2^20 buckets. The counts of all documents add up
+   to a table of bounded size (1 MB in logarithms) that gives the global orders: rarer buckets first. Buckets only guide the
+   orders; any total order gives the same result.
 2. Prefix filter under the first order: two sets with Jaccard >= t share a token among their first n - ceil(t n) + 1. Prefixes
-   under two more orders (coarser rarity classes, other permutations) are kept as 16-bit tokens, for the intersection, and
-   1024 parity bits of the set, whose differences bound the symmetric difference from below. No filter loses a link.
-3. Stars: in each posting the smallest document leads, and all others are paired with it: as many pairs as postings, however
+   under two more orders (coarser rarity classes, other permutations) are kept as 16-bit tokens, for the intersection. So are
+   parity bits: one for each shingle, up to the next power of two; bits that differ are no more than tokens that only one set
+   has, and wider ones fold to narrower. 256 folded bits go into joins, all of them into the last filter. No filter loses a link.
+3. Stars: in each posting the smallest node leads, and all others are paired with it: as many pairs as postings, however
    large a group of near copies is. Pairs must pass the size filter and share tokens under all orders; what is left is verified
    on the full sets. Verified pairs give components.
 4. Rest: a link that the stars did not find joins two components. So only postings with several components are left, and of
-   those only pairs without the leader, with one side outside its component. They pass the same filters inside the join, are verified,
-   and complete the components. No pair with a link between components is skipped, so the components are exact.
+   those only pairs without the leader, with one side outside its component. They pass the same filters inside the join, are
+   verified, and complete the components. No pair with a link between components is skipped, so the components are exact.
 
-Hot keys: counting and leaders are aggregates with partial sums, equal sets collapse before pairing, and joins on hot tokens
-or hot leaders are plain equi-joins that the skew join splits.
+Hot keys: counting and leaders are aggregates with partial sums, equal sets collapse before pairing, and joins on hot tokens,
+nodes or leaders are plain equi-joins of written tables, which the skew join splits.
 
 Defined cases: A-Z are lower-cased, words are runs of characters other than \\x20 and \\x09-\\x0D; a text of fewer words than a
-shingle has its whole sequence as one; null, empty and blank texts have empty sets and link with nothing; rows that repeat a
-key are one node with several texts; rows without a key link with nothing and have no component; other columns pass by.
+shingle has its whole sequence as one; null, empty and blank texts have empty sets and link with nothing; very long texts are
+read whole; rows that repeat a key are one document with several texts; rows without a key link with nothing and have no
+component; an empty table gives an empty result; other columns pass by, whatever their names. Keys are whole numbers (they are
+cast to long; a key that is no number has no component).
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, discard, materialize, small, temporary_tables
@@ -97,19 +102,29 @@ def prefixes(h: np.ndarray, rarity: np.ndarray, rule: JoinRule) -> tuple[np.ndar
     return first.view(np.int64), more[0], more[1]
 
 
+def node_of(h: np.ndarray) -> int:
+    """The name of a set: a signed 64-bit hash."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))).view(np.int64))
+
+
 def parities(h: np.ndarray) -> np.ndarray:
-    """1024 bits as 16 longs: the parity of the number of tokens in each bucket. Bits that differ between two sets are no more
-    than tokens that only one of them has."""
-    bits = np.bincount((_mixed(h, 4) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    """One bit per token, up to a power of two and 256 at least, as longs: the parity of the number of tokens in each bucket."""
+    width = max(256, 1 << (len(h) - 1).bit_length())
+    bits = np.bincount((_mixed(h, 4) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Parities of 256 buckets."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, 4), axis=0)
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
 
 def _counted(rule: JoinRule):
-    """Rows of documents (id, n, set_key) and, at the end of a task, of its bucket counts (slice, counts)."""
+    """Rows of documents (id, n, node) and, at the end of a task, of its bucket counts (slice, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, task = np.zeros(1 << _BITS, np.uint32), 0
@@ -120,17 +135,17 @@ def _counted(rule: JoinRule):
             ids = batch.column(0)
             task = xxhash.xxh3_64_intdigest(str(ids[0]) + str(len(ids))) if not task and len(ids) else task
             nothing = pa.nulls(len(sets), pa.int32())
-            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), keys, nothing, nothing, pa.nulls(len(sets), pa.binary())], names=_COUNTED)
+            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), nodes, nothing, nothing, pa.nulls(len(sets), pa.binary())], names=_COUNTED)
         if counts.any():
             slices = [counts[i : i + _SLICE].tobytes() for i in range(0, len(counts), _SLICE)]
             m = len(slices)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array([task % 1000] * m, pa.int32()), pa.array(slices, pa.binary())], names=_COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([task % 1000] * m, pa.int32()), pa.array(slices, pa.binary())], names=_COUNTED)
 
     return run
 
 
-_COUNTED = ["id", "n", "set_key", "slice", "part", "counts"]
+_COUNTED = ["id", "n", "node", "slice", "part", "counts"]
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -152,16 +167,26 @@ def rarity_table(counted: DataFrame) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(out + 1)).astype(np.uint8)
 
 
+_SIGNED = "node long, n int, p1 array<long>, p2 array<short>, p3 array<short>, odd array<long>, f0 long, f1 long, f2 long, f3 long"
+_FOLDED = ["f0", "f1", "f2", "f3"]
+
+
 def _signed(rule: JoinRule, rarity):
+    """A row for each node of a task, or more: copies that one task sees are one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rarity.value
+        table, seen = rarity.value, set()
         for batch in batches:
-            sets = [shingle_set(t, rule.words) for t in _texts(batch.column(1))]
-            has = pa.array([len(s) > 0 for s in sets])
-            signed = [prefixes(s, table, rule) for s in sets if len(s)]
-            signed = [(*s, parities(own)) for s, own in zip(signed, (s for s in sets if len(s)), strict=True)]
-            columns = [pa.array([s[i] for s in signed], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int16(), pa.int16(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(has), pa.array([len(s) for s in sets if len(s)], pa.int64()), *columns], names=["id", "n", "p1", "p2", "p3", "odd"])
+            own: dict[int, np.ndarray] = {}
+            for t in _texts(batch.column(0)):
+                h = shingle_set(t, rule.words)
+                if len(h) and (node := node_of(h)) not in seen:
+                    own[node] = h
+                    seen.add(node)
+            signed = [(*prefixes(h, table, rule), parities(h)) for h in own.values()]
+            columns = [pa.array([x[i] for x in signed], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int16(), pa.int16(), pa.int64()))]
+            short = np.array([folded(x[3]) for x in signed], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(map(len, own.values()), pa.int32()), *columns, *(pa.array(short[:, i]) for i in range(4))], names=["node", "n", "p1", "p2", "p3", "odd", *_FOLDED])
 
     return run
 
@@ -171,109 +196,129 @@ def _verified(rule: JoinRule):
         known, own = None, np.zeros(0, np.uint64)  # pairs with the same first text come one after another
         for batch in batches:
             good = []
-            for ta, tb in zip(_texts(batch.column(2)), _texts(batch.column(3)), strict=True):
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2)), _texts(batch.column(3)), strict=True):
                 if ta != known:
                     known, own = ta, shingle_set(ta, rule.words)
-                good.append(links(own, shingle_set(tb, rule.words), rule))
+                other = shingle_set(tb, rule.words)
+                good.append(links(own, other, rule) and node_of(own) == a and node_of(other) == b)  # a repeated key has texts of other nodes
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
-def filtered(pairs: DataFrame, signed: DataFrame, rule: JoinRule) -> DataFrame:
-    """The pairs (a, b), a written table, that pass the filters of the other orders."""
-    sides = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-filter-sides"))
-    sign = signed.select("id", "n", "p2", "p3", "odd").join(sides, "id", "left_semi")
-    y = sign.alias("y").join(small(pairs), F.col("b") == F.col("y.id"))
-    return sign.alias("x").join(y, F.col("a") == F.col("x.id")).filter(_common("x", "y", rule)).select("a", "b")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, rule: JoinRule) -> DataFrame:
-    """The pairs (a, b), a written table, whose texts link; written too."""
-    sides = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-sides")
-    texts = texts.join(small(sides), "id", "left_semi")  # only texts of some pair are dealt out
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(small(pairs), "b")
-    both = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(rule), "a long, b long"), "ngram-verified")
-    discard(sides)
-    return out
-
-
-def _alike(a: str, b: str, rule: JoinRule):
+def _alike(a: str, b: str, rule: JoinRule) -> Column:
     """The size filter."""
     return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * rule.percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * rule.percent)
 
 
-def _near(a: str, b: str, rule: JoinRule):
+def _few(differing: Column, a: str, b: str, rule: JoinRule) -> Column:
     """No more differing parities than linked sets may have differing tokens."""
-    differing = sum((F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(1, 16)), F.bit_count(F.get(f"{a}.odd", F.lit(0)).bitwiseXOR(F.get(f"{b}.odd", F.lit(0)))))
     return differing * (100 + rule.percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - rule.percent)
 
 
-def _common(a: str, b: str, rule: JoinRule):
-    """Near by parities, and with common tokens under the other orders."""
-    return _near(a, b, rule) & F.arrays_overlap(F.col(f"{a}.p2"), F.col(f"{b}.p2")) & F.arrays_overlap(F.col(f"{a}.p3"), F.col(f"{b}.p3"))
+def _near_folded(a: str, b: str, rule: JoinRule) -> Column:
+    first, *more = (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FOLDED)
+    return _few(sum(more, first), a, b, rule)
+
+
+def _near(a: str, b: str, rule: JoinRule) -> Column:
+    """By all parities; sets of similar size have as many, or one has twice as many."""
+    x, y = F.col(f"{a}.odd"), F.col(f"{b}.odd")
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) / 2), F.slice(c, F.size(c) / 2 + 1, F.size(c) / 2), lambda p, q: p.bitwiseXOR(q))
+    left, right = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return _few(F.aggregate(F.zip_with(left, right, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m), a, b, rule)
+
+
+def filtered(pairs: DataFrame, signed: DataFrame, rule: JoinRule) -> DataFrame:
+    """The pairs (a, b), a written table, of similar size that share tokens under the other orders and are near by parities."""
+    sides = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ngram-filter-sides"))
+    sign = materialize(signed.select("node", "n", "p2", "p3", "odd").join(sides, "node", "left_semi").dropDuplicates(["node"]), "ngram-filter")
+    y = sign.alias("y").join(small(pairs), F.col("b") == F.col("y.node"))
+    share = F.arrays_overlap(F.col("x.p2"), F.col("y.p2")) & F.arrays_overlap(F.col("x.p3"), F.col("y.p3"))
+    return sign.alias("x").join(y, F.col("a") == F.col("x.node")).filter(_alike("x", "y", rule)).filter(share).filter(_near("x", "y", rule)).select("a", "b")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: JoinRule) -> DataFrame:
+    """The pairs (a, b), a written table, whose texts link; written too. Only texts of some pair are dealt out."""
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sides = materialize(reps.join(sides, "node").select("node", F.col("rep").alias("id")), "ngram-sides")
+    own = materialize(texts.join(small(sides), "id").select("node", "text"), "ngram-texts")
+    b = own.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(small(pairs), "b")
+    both = b.join(own.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(rule), "a long, b long").distinct(), "ngram-verified")
+    discard(sides, own)
+    return out
 
 
 def labelled_sets(df: DataFrame, key: str, text: str, rule: JoinRule) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: (id, n, set_key) for each row of df, and (_k, label) for each distinct set."""
+    """Two written tables: (id, n, node) for each row of df, and (_k, label) for each node."""
     spark = df.sparkSession
     bounded_batches(spark)
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    counted = materialize(texts.mapInArrow(_counted(rule), "id long, n long, set_key binary, slice int, part int, counts binary"), "ngram-sets")
-    documents = materialize(counted.filter("slice is null").select("id", "n", "set_key"), "ngram-documents")
-    sets = documents.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
+    texts = df.select(F.col(key).try_cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    counted = materialize(texts.mapInArrow(_counted(rule), "id long, n long, node long, slice int, part int, counts binary"), "ngram-sets")
+    documents = materialize(counted.filter("slice is null").select("id", "n", "node"), "ngram-documents")
     rarity = spark.sparkContext.broadcast(rarity_table(counted))
     discard(counted)
-    signed = texts.filter("id is not null").mapInArrow(_signed(rule, rarity), "id long, n long, p1 array<long>, p2 array<short>, p3 array<short>, odd array<long>")
-    signed = materialize(signed.join(sets.select(F.col("rep").alias("id")), "id", "left_semi"), "ngram-prefixes")
-
-    postings = signed.select("id", "n", F.explode("p1").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last")).filter("lead.id < last")
-    leaders = materialize(leaders.select("token", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n")), "ngram-leaders")
-    shared = materialize(postings.join(small(leaders), "token"), "ngram-postings")
-    star = shared.filter((F.col("id") != F.col("leader")) & (F.col("n") * 100 >= F.col("leader_n") * rule.percent) & (F.col("leader_n") * 100 >= F.col("n") * rule.percent))
-    pairs = materialize(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "ngram-star-pairs")
+    texts = texts.filter("id is not null")
+    named = documents.filter("node is not null and id is not null")
+    reps = materialize(named.groupBy("node").agg(F.min("id").alias("rep")), "ngram-reps")
+    signed = materialize(texts.select("text").mapInArrow(_signed(rule, rarity), _SIGNED), "ngram-prefixes")
+
+    postings = signed.select("node", "n", F.explode("p1").alias("token"))
+    leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"), F.max("node").alias("_last"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    leaders = leaders.filter("leader < _last").filter((F.col("_rows") > 2) | (F.col("_least") * 100 >= F.col("_most") * rule.percent))  # two sets of unlike size are no pair
+    leaders = materialize(leaders.select("token", "leader", "leader_n"), "ngram-leaders")
+    shared = materialize(postings.join(small(leaders), "token").filter("node <> leader"), "ngram-postings")
+    discard(leaders)
+    star = shared.filter((F.col("n") * 100 >= F.col("leader_n") * rule.percent) & (F.col("leader_n") * 100 >= F.col("n") * rule.percent))
+    pairs = materialize(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "ngram-star-pairs")
     star = materialize(filtered(pairs, signed, rule), "ngram-stars")
-    found = verify(star, texts, rule)
-
-    reps = sets.select(F.col("rep").alias("node"))
-    twice = documents.filter("set_key is not null").join(sets, "set_key").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
-    label = components(reps, found, "ngram-stars")
-    label = materialize(label, "ngram-labels")
+    found = verify(star, texts, reps, rule)
+    label = materialize(components(reps.select("node"), found, "ngram-stars"), "ngram-labels")
 
     # The leader's own pairs are decided; what is open is between the others of a posting.
-    told = shared.filter(F.col("id") != F.col("leader")).join(label.withColumnRenamed("node", "id"), "id").select("token", "id", "n", "leader", "label")
-    open_tokens = told.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("token")
+    told = shared.join(label, "node").select("token", "node", "n", "leader", "label")
+    some = told.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    some = some.filter("_l <> _m").filter((F.col("_rows") > 2) | (F.col("_least") * 100 >= F.col("_most") * rule.percent)).select("token")
+    some = materialize(some, "ngram-open-tokens")
     heads = label.select(F.col("node").alias("leader"), F.col("label").alias("lead_label"))
-    told = materialize(told.join(open_tokens, "token", "left_semi").join(heads, "leader").select("token", "id", "n", "label", "lead_label"), "ngram-open")
-    ids = materialize(told.select("id").distinct(), "ngram-open-ids")
-    odd = signed.select("id", "odd").join(small(ids), "id", "left_semi")
-    rest = told.join(odd, "id")
+    told = materialize(told.join(small(some), "token", "left_semi").join(heads, "leader").select("token", "node", "n", "label", "lead_label"), "ngram-open")
+    discard(shared, some)
+    ids = materialize(told.select("node").distinct(), "ngram-open-nodes")
+    short = signed.select("node", *_FOLDED).join(small(ids), "node", "left_semi").distinct()
+    rest = materialize(told.join(short, "node"), "ngram-rest")
+    discard(told, ids)
     outside, every = rest.filter("label <> lead_label").alias("x"), rest.alias("y")
-    once = (F.col("y.label") == F.col("y.lead_label")) | (F.col("x.id") < F.col("y.id"))
-    more = outside.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", rule) & _near("x", "y", rule))
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    once = (F.col("y.label") == F.col("y.lead_label")) | (F.col("x.node") < F.col("y.node"))
+    more = outside.join(every, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & once & _alike("x", "y", rule) & _near_folded("x", "y", rule))
+    more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = materialize(more.join(star, ["a", "b"], "left_anti"), "ngram-rest-pairs")
+    discard(rest)
     more_star = materialize(filtered(more, signed, rule), "ngram-rest-stars")
-    extra = verify(more_star, texts, rule) if not more_star.isEmpty() else spark.createDataFrame([], "a long, b long")
-    sure = materialize(extra.unionByName(twice), "ngram-rest-links")
+    discard(signed)
+    # Rows that repeat a key are linked: each node of such a key with the key's least node.
+    twice = materialize(named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("_b")).filter("a < _b").select("id", "a"), "ngram-twice")
+    sure = named.join(small(twice), "id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    extra = verify(more_star, texts, reps, rule) if not more_star.isEmpty() else spark.createDataFrame([], "a long, b long")
+    sure = materialize(extra.unionByName(sure), "ngram-rest-links")
     if not sure.isEmpty():
         over = lambda c: F.col(c).alias("node")
-        named = sure.join(label.select(over("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(over("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        joined = components(label.select(F.col("label").alias("node")).distinct(), named, "ngram-all")
-        label = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", F.col("least").alias("label"))
-    final = sets.join(label, F.col("rep") == F.col("node")).select(F.col("set_key").alias("_k"), "label")
-    final = materialize(final, "ngram-final")
-    return documents, final
+        linked = sure.join(label.select(over("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(over("node").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        joined = components(label.select(F.col("label").alias("node")).distinct(), linked, "ngram-all")
+        label = materialize(label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label").select("node", F.col("least").alias("label")), "ngram-all-labels")
+    # A component is named by its smallest key.
+    keys = reps.join(label, "node")
+    least = materialize(keys.groupBy("label").agg(F.min("rep").alias("component")), "ngram-least")
+    final = label.join(least, "label").select(F.col("node").alias("_k"), F.col("component").alias("label"))
+    return documents, materialize(final, "ngram-final")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", rule: JoinRule = JoinRule()) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links): one row per row of df."""
     with temporary_tables() as keep:
         documents, final = map(keep, labelled_sets(df, key, text, rule))
-    out = documents.join(final, F.col("set_key") == F.col("_k"), "left")
+    out = documents.join(final, F.col("node") == F.col("_k"), "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
 
 
