@@ -183,6 +183,8 @@ def read_page(page: str) -> Iterator[tuple[str, str, int, str, int, int]]:
                 yield "tag", "", 0, "raw", start, block
             continue
         kind = _kind(tag, m[3], bool(count["+main"]))
+        if tag in ("button", "label") and count["p"] and not count["form"]:
+            kind = "plain"  # a word of a sentence
         if kind == "noise" and not count["+noise"] and "=" in m[3]:
             around = _wrappers(page) if around is None else around
             kind = _kind(tag, m[3], bool(count["+main"]), start in around)

@@ -11,8 +11,8 @@ Steps, each a written table where it is read more than once:
 2. Prefix filter under the first order: two sets with Jaccard >= t share a token among their first n - ceil(t n) + 1. Prefixes
    under two more orders (coarser rarity classes, other permutations) are kept as 16-bit tokens, for the intersection. So are
    parity bits: one for each shingle, up to the next power of two; bits that differ are no more than tokens that only one set
-   has, and wider ones fold to narrower. 256 folded bits go into joins, all of them into the last filter. No filter loses a link.
-3. Stars: in each posting the smallest node leads, and all others are paired with it: as many pairs as postings, however
+   has, and wider ones fold to narrower. 1024 folded bits go into joins, all of them into the last filter. No filter loses a link.
+3. Stars: in each posting the node of the smallest key leads (copies come after what they copy), and all others are paired with it: as many pairs as postings, however
    large a group of near copies is. Pairs must pass the size filter and share tokens under all orders; what is left is verified
    on the full sets. Verified pairs give components.
 4. Rest: a link that the stars did not find joins two components. So only postings with several components are left, and of
@@ -108,17 +108,12 @@ def node_of(h: np.ndarray) -> int:
 
 
 def parities(h: np.ndarray) -> np.ndarray:
-    """One bit per token, up to a power of two and 256 at least, as longs: the parity of the number of tokens in each bucket."""
-    width = max(256, 1 << (len(h) - 1).bit_length())
+    """One bit per token, up to a power of two and 1024 at least, as longs: the parity of the number of tokens in each bucket."""
+    width = max(1024, 1 << (len(h) - 1).bit_length())
     bits = np.bincount((_mixed(h, 4) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def folded(bits: np.ndarray) -> np.ndarray:
-    """Parities of 256 buckets."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, 4), axis=0)
-
-
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
@@ -167,8 +162,8 @@ def rarity_table(counted: DataFrame) -> np.ndarray:
     return np.minimum(255, 8 * np.log2(out + 1)).astype(np.uint8)
 
 
-_SIGNED = "node long, n int, p1 array<long>, p2 array<short>, p3 array<short>, odd array<long>, f0 long, f1 long, f2 long, f3 long"
-_FOLDED = ["f0", "f1", "f2", "f3"]
+_SIGNED = "node long, id long, n int, p1 array<long>, p2 array<short>, p3 array<short>, odd array<long>"
+_FOLDED = [f"f{i}" for i in range(16)]
 
 
 def _signed(rule: JoinRule, rarity):
@@ -178,15 +173,15 @@ def _signed(rule: JoinRule, rarity):
         table, seen = rarity.value, set()
         for batch in batches:
             own: dict[int, np.ndarray] = {}
-            for t in _texts(batch.column(0)):
+            ids: dict[int, int] = {}
+            for i, t in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
                 h = shingle_set(t, rule.words)
                 if len(h) and (node := node_of(h)) not in seen:
-                    own[node] = h
+                    own[node], ids[node] = h, i
                     seen.add(node)
             signed = [(*prefixes(h, table, rule), parities(h)) for h in own.values()]
             columns = [pa.array([x[i] for x in signed], pa.list_(k)) for i, k in enumerate((pa.int64(), pa.int16(), pa.int16(), pa.int64()))]
-            short = np.array([folded(x[3]) for x in signed], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(map(len, own.values()), pa.int32()), *columns, *(pa.array(short[:, i]) for i in range(4))], names=["node", "n", "p1", "p2", "p3", "odd", *_FOLDED])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids.values(), pa.int64()), pa.array(map(len, own.values()), pa.int32()), *columns], names=["node", "id", "n", "p1", "p2", "p3", "odd"])
 
     return run
 
@@ -217,6 +212,11 @@ def _few(differing: Column, a: str, b: str, rule: JoinRule) -> Column:
     return differing * (100 + rule.percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - rule.percent)
 
 
+def _folded(i: int) -> Column:
+    """The i-th of 16 longs to which parities fold."""
+    return F.aggregate(F.filter("odd", lambda _, at: at % 16 == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+
 def _near_folded(a: str, b: str, rule: JoinRule) -> Column:
     first, *more = (F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in _FOLDED)
     return _few(sum(more, first), a, b, rule)
@@ -263,13 +263,13 @@ def labelled_sets(df: DataFrame, key: str, text: str, rule: JoinRule) -> tuple[D
     texts = texts.filter("id is not null")
     named = documents.filter("node is not null and id is not null")
     reps = materialize(named.groupBy("node").agg(F.min("id").alias("rep")), "ngram-reps")
-    signed = materialize(texts.select("text").mapInArrow(_signed(rule, rarity), _SIGNED), "ngram-prefixes")
+    signed = materialize(texts.mapInArrow(_signed(rule, rarity), _SIGNED), "ngram-prefixes")
 
-    postings = signed.select("node", "n", F.explode("p1").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("leader_n"), F.max("node").alias("_last"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_rows"))
-    leaders = leaders.filter("leader < _last").filter((F.col("_rows") > 2) | (F.col("_least") * 100 >= F.col("_most") * rule.percent))  # two sets of unlike size are no pair
+    postings = signed.select("node", "id", "n", F.explode("p1").alias("token"))
+    leaders = postings.groupBy("token").agg(F.min_by("node", "id").alias("leader"), F.min_by("n", "id").alias("leader_n"), F.min("node").alias("_first"), F.max("node").alias("_last"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    leaders = leaders.filter("_first < _last").filter((F.col("_rows") > 2) | (F.col("_least") * 100 >= F.col("_most") * rule.percent))  # two sets of unlike size are no pair
     leaders = materialize(leaders.select("token", "leader", "leader_n"), "ngram-leaders")
-    shared = materialize(postings.join(small(leaders), "token").filter("node <> leader"), "ngram-postings")
+    shared = materialize(postings.drop("id").join(small(leaders), "token").filter("node <> leader"), "ngram-postings")
     discard(leaders)
     star = shared.filter((F.col("n") * 100 >= F.col("leader_n") * rule.percent) & (F.col("leader_n") * 100 >= F.col("n") * rule.percent))
     pairs = materialize(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "ngram-star-pairs")
@@ -286,7 +286,7 @@ def labelled_sets(df: DataFrame, key: str, text: str, rule: JoinRule) -> tuple[D
     told = materialize(told.join(small(some), "token", "left_semi").join(heads, "leader").select("token", "node", "n", "label", "lead_label"), "ngram-open")
     discard(shared, some)
     ids = materialize(told.select("node").distinct(), "ngram-open-nodes")
-    short = signed.select("node", *_FOLDED).join(small(ids), "node", "left_semi").distinct()
+    short = signed.join(small(ids), "node", "left_semi").select("node", *(_folded(i).alias(f) for i, f in enumerate(_FOLDED))).distinct()
     rest = materialize(told.join(short, "node"), "ngram-rest")
     discard(told, ids)
     outside, every = rest.filter("label <> lead_label").alias("x"), rest.alias("y")

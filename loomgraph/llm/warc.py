@@ -8,11 +8,14 @@ harm. The reader seeks to each record of the index, inflates it chunk by chunk,
 is carried along; the last chunk of a record has the digest of the whole payload.
 
 Records with equal payloads of `revisit_from` bytes or more: the one with the smallest key is a response, the others are
-revisits of it. Smaller ones are all responses. Equal payloads are found by digest with an aggregate (partial sums before the
-shuffle), then joined back; a payload that a third of all pages share is a key that the skew join splits.
-
-Defined cases: null html is the empty payload; a null key sorts after all others; rows repeated with key and payload are each
-a response; an empty table makes no archive and an empty result; columns besides key, url and html are not read.
+revisits of it. Smaller ones are all responses. Equal payloads are found by digest with an aggregate of narrow rows (partial sums
+before the shuffle). What repeats is a written table, which is joined back: as a broadcast where its rows are few enough, and
+then no payload is shuffled; else as a join of two plain shuffles, in which the skew join splits a payload that a third of all
+pages share.
+
+Defined cases: null html is the empty payload; a null key sorts after all others and reads back as null; keys of any text read
+back as they were (percent-encoded in the header); rows repeated with key and payload are each a response; an empty table makes
+no archive and an empty result; payloads of any size go through in chunks; columns besides key, url and html are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, shared_dir
+from .common import bounded_batches, discard_folder, materialize, shared_dir, small, temporary_tables
 
 CHUNK = 1 << 20
 _DATE = b"2024-01-01T00:00:00Z"  # archives of the same pages are the same bytes
@@ -52,8 +56,10 @@ def records(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "
     # No expression stands between the scan and the digest but the cast: equal payloads have equal bytes.
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(body), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    same = rows.filter(F.octet_length("payload") >= revisit_from).groupBy("sha1").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = rows.join(same.select(F.col("sha1").alias("_sha1"), "least"), (F.col("sha1") == F.col("_sha1")) & (F.octet_length("payload") >= revisit_from), "left")
+    long = F.octet_length("payload") >= revisit_from
+    same = rows.filter(long).groupBy("sha1").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = small(materialize(same.select(F.col("sha1").alias("_sha1"), "least"), "warc-repeated"))
+    joined = rows.join(same, (F.col("sha1") == F.col("_sha1")) & long, "left")
     return joined.select("key", "url", "payload", "sha1", F.when(~F.col("key").eqNullSafe(F.col("least")), F.col("least")).alias("first"))
 
 
@@ -65,13 +71,21 @@ def chunk_rows(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cut.select("key", "url", "sha1", "first", "size", "chunks", "chunk_no", F.substring(F.col("_data"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
-def _header(record: str, url: str, sha1: bytes, first: str | None, size: int) -> bytes:
+def _name(key: str | None) -> bytes:
+    return b"<urn:page>" if key is None else b"<urn:page:%s>" % quote(key, safe="").encode()
+
+
+def _key(name: bytes | None) -> str | None:
+    return None if name in (None, b"<urn:page>") else unquote(name[len("<urn:page:") : -1].decode())
+
+
+def _header(record: str | None, url: str, sha1: bytes, first: str | None, size: int) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    lines = [b"WARC/1.1", b"WARC-Type: " + (b"response" if first is None else b"revisit"), b"WARC-Record-ID: <urn:page:%s>" % record.encode(), b"WARC-Date: " + _DATE]
+    lines = [b"WARC/1.1", b"WARC-Type: " + (b"response" if first is None else b"revisit"), b"WARC-Record-ID: " + _name(record), b"WARC-Date: " + _DATE]
     if url:
         lines.append(b"WARC-Target-URI: " + url.encode().replace(b"\r", b"%0D").replace(b"\n", b"%0A"))
     if first is not None:
-        lines += [b"WARC-Refers-To: <urn:page:%s>" % first.encode(), b"WARC-Profile: " + _PROFILE]
+        lines += [b"WARC-Refers-To: " + _name(first), b"WARC-Profile: " + _PROFILE]
     lines += [b"WARC-Payload-Digest: sha1:" + _b32(sha1).encode(), b"Content-Type: application/http; msgtype=response"]
     lines.append(b"Content-Length: %d" % (len(http) + (size if first is None else 0)))
     return b"\r\n".join(lines) + b"\r\n\r\n" + http
@@ -94,7 +108,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                     if x["chunk_no"] == 0:
                         begun, zipped = at, zlib.compressobj(level, zlib.DEFLATED, 31)
-                        at += out.write(zipped.compress(_header(str(x["key"]), x["url"], bytes.fromhex(x["sha1"]), None if x["first"] is None else str(x["first"]), x["size"])))
+                        at += out.write(zipped.compress(_header(*(None if x[c] is None else str(x[c]) for c in ("key", "url")), bytes.fromhex(x["sha1"]), None if x["first"] is None else str(x["first"]), x["size"])))
                     at += out.write(zipped.compress(x["data"]))
                     if x["chunk_no"] == x["chunks"] - 1:
                         at += out.write(zipped.compress(b"\r\n\r\n") + zipped.flush())
@@ -134,8 +148,7 @@ def read_record(pieces: Iterator[bytes], chunk: int = CHUNK) -> Iterator[dict]:
     http, held = held.split(b"\r\n\r\n", 1)
     left = int(fields[b"content-length"]) - len(http) - 4
     told = {k.strip().lower(): v.strip() for k, v in (line.split(b":", 1) for line in http.split(b"\r\n")[1:])}
-    plain = lambda name: fields[name][len("<urn:page:") : -1].decode() if name in fields else None
-    row = {"key": plain(b"warc-record-id"), "record_type": fields[b"warc-type"].decode(), "refers_to": plain(b"warc-refers-to")}
+    row = {"key": _key(fields[b"warc-record-id"]), "record_type": fields[b"warc-type"].decode(), "refers_to": _key(fields.get(b"warc-refers-to"))}
     if row["record_type"] == "revisit":
         yield row | {"chunk_no": 0, "data": b"", "last": True, "payload_bytes": int(told[b"content-length"]), "payload_digest": fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()}
         return
@@ -190,14 +203,17 @@ def read_archives(index: DataFrame, with_data: bool = True, chunk: int = CHUNK)
     return index.mapInArrow(run, ", ".join(f"{c} {kinds[k]}" for c, k in columns))
 
 
-def archive_pages(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", revisit_from: int = 0, chunk: int = CHUNK) -> DataFrame:
+def archive_pages(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", revisit_from: int = 0, chunk: int = CHUNK, folder: str | None = None) -> DataFrame:
     """Write df as archives; the written index (archive, at, compressed)."""
-    return materialize(write_archives(chunk_rows(records(df, key, url, body, revisit_from), chunk), archive_folder(df.sparkSession)), "warc-index")
+    return materialize(write_archives(chunk_rows(records(df, key, url, body, revisit_from), chunk), folder or archive_folder(df.sparkSession)), "warc-index")
 
 
 def round_trip(df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", revisit_from: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Write df as archives and read them back: key, payload_bytes, payload_digest, record_type, refers_to."""
-    kind = dict(df.dtypes)[key]
-    back = read_archives(archive_pages(df, key, url, body, revisit_from, chunk), with_data=False, chunk=chunk).filter("last")
-    own = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
-    return back.select(own("key").alias(key), "payload_bytes", "payload_digest", "record_type", own("refers_to").alias("refers_to"))
+    """Write df as archives and read them back: key, payload_bytes, payload_digest, record_type, refers_to. The archives go then."""
+    kind, folder = dict(df.dtypes)[key], archive_folder(df.sparkSession)
+    with temporary_tables() as keep:
+        index = archive_pages(df, key, url, body, revisit_from, chunk, folder)
+        back = read_archives(index, with_data=False, chunk=chunk).filter("last")
+        out = keep(materialize(back.select(F.col("key").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")), "warc-read"))
+    discard_folder(df.sparkSession, folder)
+    return out
