@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import mixing, ngram_join, packing, quality_rules, secret_scan
-from loomgraph.llm.common import materialize, table
+from loomgraph.llm.common import discard, materialize, table
 
 #: Five words and similarity 0.8; the 3 words and 90 percent of op5 are its own contract.
 NEAR_COPIES = ngram_join.JoinRule(words=5, percent=80)
@@ -43,7 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*written)  # the stage before has no reader any more
+        written = [docs]
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*written)  # packing has written its pieces
+    return out
