@@ -9,9 +9,10 @@ from ..functions.text import chunk_id, guarded_sentences, prefixed_hash, strippe
 
 #: Verbs, one of which a dictionary line must have. Fixed values.
 VERBS = (
-    "is are was were be been being means mean meant refers refer referred denotes denote denoted designates designate defines define defined describes describe described represents represent "
-    "involves involve includes include contains contain equals equal has have had depends depend depended requires require required causes cause caused affects affect produces produce produced"
-).split()
+    "is", "are", "was", "were", "be", "been", "being", "means", "mean", "meant", "refers", "refer", "referred", "denotes", "denote", "denoted", "designates", "designate", "defines", "define", "defined",
+    "describes", "describe", "described", "represents", "represent", "involves", "involve", "includes", "include", "contains", "contain", "equals", "equal", "has", "have", "had",
+    "depends", "depend", "depended", "requires", "require", "required", "causes", "cause", "caused", "affects", "affect", "produces", "produce", "produced",
+)
 HEADING_WORDS = ("definition", "definitions", "overview", "introduction")
 
 
@@ -27,10 +28,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def is_dictionary_line(text):
-    """Two words or more, not punctuation only, with a known verb."""
-    words = F.filter(F.split(stripped(text), r"\s+"), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", ""))
-    return (F.size(words) >= 2) & stripped(text).rlike(r"[\p{L}\p{N}]") & F.arrays_overlap(bare, F.array(*map(F.lit, VERBS)))
+    """Two words or more, not punctuation only, with a known verb as a word (which is a letter too); two searches, no arrays."""
+    return text.rlike(r"(?i)(?:^|\s)(?:" + "|".join(VERBS) + r")[.,;:!?]*(?:\s|$)") & text.rlike(r"\S\s+\S")
 
 
 def dictionary_chunks(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -98,3 +97,83 @@ def glossary_documents(docs: DataFrame) -> DataFrame:
     says = F.col("text").rlike(r"(?i)^.{1,60} (is|depends on) ")
     out = filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(valid).alias("n_valid"), F.avg(F.char_length("text")).alias("mean_length"), F.count_if(says).alias("n_says"))
     return out.select("doc_id", "n_lines", "n_valid", "mean_length", ((F.col("n_valid") >= 3) & (F.col("n_valid") * 2 >= F.col("n_lines")) & (F.col("mean_length") <= 120) & (F.col("n_says") >= 2)).alias("is_glossary"))
+
+
+#: Words and phrases at the start of a sentence that continues what was said. Fixed values.
+PRONOUNS = ("it", "its", "this", "that", "these", "those", "they", "their", "them", "he", "his", "she", "her", "we", "our", "us", "such", "both", "each", "which")
+CONNECTIVES = (
+    "therefore", "however", "because", "since", "thus", "hence", "moreover", "furthermore", "in addition", "for example", "for instance", "as a result", "consequently", "nevertheless", "specifically",
+    "that is", "in other words", "so ", "but ", "and ", "or ", "also ", "additionally", "likewise", "nonetheless", "instead", "otherwise", "indeed", "in fact", "of course", "naturally", "meaning ",
+)
+SUBJECT = r"(?d)^.+?\s+(?:is|means|refers to|is defined as|is known as)\s+"
+
+
+def coherent_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, para, pos, text, group (from 0): sentences, in groups that speak of one subject.
+
+    A group ends with its paragraph, or where a sentence defines another subject than the group's; sentences that start with a
+    pronoun or a connective, and questions, always continue. The group's subject so far is the last one that a sentence without
+    such a start named, else the first that any sentence named: two window values, no fold.
+    """
+    said = sentences(docs)
+    first = F.regexp_replace(F.lower(F.element_at(F.split("text", r"\s+"), 1)), r"^[.,;:!?()]+|[.,;:!?()]+$", "")
+    continues = F.regexp_replace(F.lower(F.element_at(F.split("text", r"\s+"), 1)), r"[.,;:!?()]+$", "").isin(*PRONOUNS) | F.lower("text").rlike("^(?:" + "|".join(CONNECTIVES) + ")") | F.col("text").endswith("?")
+    said = said.withColumns({"_subject": F.when(F.lower("text").rlike(SUBJECT), first), "_free": ~continues})
+    before = Window.partitionBy("doc_id", "para").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    now = F.coalesce(F.last(F.when(F.col("_free"), F.col("_subject")), ignorenulls=True).over(before), F.first("_subject", ignorenulls=True).over(before))
+    starts = (F.col("pos") == 0) | F.coalesce(F.col("_free") & (F.col("_subject") != now), F.lit(False))
+    said = said.withColumn("_starts", starts.cast("int"))
+    return said.select("doc_id", "para", "pos", "text", (F.sum("_starts").over(Window.partitionBy("doc_id").orderBy("para", "pos")) - 1).alias("group"))
+
+
+def semantic_chunks(docs: DataFrame, least: int = 10) -> DataFrame:
+    """doc_id, para, group, text, location, chunk_id: groups of coherent_groups() of `least` characters or more."""
+    parts = coherent_groups(docs).groupBy("doc_id", "para", "group").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("s"))
+    out = parts.select("doc_id", "para", "group", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text")).filter(F.char_length("text") >= least)
+    place = F.concat(F.lit("semantic:para:"), F.col("para").cast("string"), F.lit(":group:"), F.col("group").cast("string"))
+    return out.select("*", place.alias("location"), chunk_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), "semantic", F.col("group"), F.col("text")).alias("chunk_id"))
+
+
+def chapters(books: DataFrame) -> DataFrame:
+    """doc_id, chapter (from 0), chapter_id, title, start_line, end_line (from 0), text: one row per chapter.
+
+    Headings: "Chapter X" with or without a title, # marks before "Chapter", and lines of at most five words in capitals. What
+    stands before the first one is dropped; a book without any is one chapter without a title.
+    """
+    numbered = books.select("doc_id", F.octet_length("text").alias("_bytes"), F.substring("text", 1, 1000).alias("_head"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    t = F.rtrim("text")
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    plain = t.rlike(r"^(Chapter|CHAPTER)\s+\S+(\s*[:.\-]\s*.*)?$")
+    marked = t.rlike(r"(?i)^#{1,3}\s+chapter\s+")
+    capitals = words.between(1, 5) & (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$")
+    title = F.when(plain, t).when(marked, stripped(F.regexp_replace(t, r"^#{1,3}\s+", ""))).when(capitals, F.initcap(F.lower(t)))
+    own = Window.partitionBy("doc_id").orderBy("line")
+    numbered = numbered.withColumn("title", title).withColumn("chapter", F.count("title").over(own)).withColumn("_any", F.count("title").over(Window.partitionBy("doc_id")) > 0)
+    numbered = numbered.filter((F.col("chapter") > 0) | ~F.col("_any"))
+    body = F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("line", "text"))))
+    out = numbered.groupBy("doc_id", "chapter").agg(F.max("title").alias("title"), F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.max("_bytes").alias("_bytes"), F.max("_head").alias("_head"), stripped(F.array_join(F.transform(body, lambda x: x["text"]), "\n")).alias("text"))
+    out = out.withColumn("chapter", F.greatest(F.col("chapter") - 1, F.lit(0)))
+    book = prefixed_hash("", 16, F.lit("doc:"), F.col("doc_id").cast("string"), F.lit("::"), F.col("_bytes").cast("string"), F.lit("::"), F.col("_head"))
+    named = prefixed_hash("chap_", 12, book, F.lit("::chapter::"), F.col("chapter").cast("string"), F.lit("::"), F.coalesce("title", F.lit("")))
+    return out.select("doc_id", "chapter", named.alias("chapter_id"), "title", "start_line", "end_line", "text")
+
+
+def book_chunks(books: DataFrame, least: int = 40) -> DataFrame:
+    """doc_id, chapter_id, mode (glossary or paragraph), position, text, location, chunk_id: chunks of all chapters.
+
+    Chapters that read as glossaries give their definition lines (position: line from 0), others the paragraphs of their sections
+    (position: paragraph from 0).
+    """
+    parts = chapters(books).select("doc_id", "chapter_id", "text")
+    own = parts.select(F.col("chapter_id").alias("doc_id"), "text")
+    kind = glossary_documents(own).filter("is_glossary").select(F.col("doc_id").alias("_chapter"))
+    listed = parts.join(kind, F.col("chapter_id") == F.col("_chapter"), "left_semi")
+    lined = listed.select("doc_id", "chapter_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("text", stripped("text")).filter(is_dictionary_line(F.col("text")))
+    place = F.concat(F.lit("chapter:"), F.col("chapter_id"), F.lit(":line:"), F.col("position").cast("string"))
+    path = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
+    lined = lined.select("doc_id", "chapter_id", F.lit("glossary").alias("mode"), "position", "text", place.alias("location"), chunk_id(path, "book_glossary", F.col("position"), F.col("text")).alias("chunk_id"))
+    told = parts.join(kind, F.col("chapter_id") == F.col("_chapter"), "left_anti")
+    chunks = structured_chunks(told.select(F.col("chapter_id").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("_of"), "para", "text", "location")
+    chunks = told.select("doc_id", "chapter_id").join(chunks, F.col("chapter_id") == F.col("_of"))
+    named = prefixed_hash("chunk_", 8, path, F.lit("::document_structured::"), F.col("location"), F.lit("::"), F.lower("text"))
+    return lined.unionByName(chunks.select("doc_id", "chapter_id", F.lit("paragraph").alias("mode"), F.col("para").alias("position"), "text", "location", named.alias("chunk_id")))

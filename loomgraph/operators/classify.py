@@ -41,7 +41,7 @@ def _score(text: Column, category: str, boost: int) -> Column:
     total = F.lit(0)
     for own, phrases, structure, priority in RULES:
         if own == category:
-            hits = [text.rlike(phrase_pattern(p)).cast("int") for p in phrases] + ([text.rlike("(?i)" + structure).cast("int")] if structure else [])
+            hits = [(text.contains(p) & text.rlike(phrase_pattern(p))).cast("int") for p in phrases] + ([text.rlike("(?i)" + structure).cast("int")] if structure else [])
             n = sum(hits[1:], hits[0])
             total = total + F.when(n > 0, n + priority).otherwise(0)
     return F.when(total > 0, total + boost).otherwise(0) if category == "definition" else total

@@ -28,12 +28,17 @@ def _pieces(chunks: DataFrame) -> DataFrame:
 
 
 def definitions(chunks: DataFrame, base_confidence: float = 0.8) -> DataFrame:
-    """doc_id, pos, term, definition, confidence: sentences of over 15 characters that a pattern reads as a definition."""
-    said = _pieces(chunks).filter(F.char_length("_p") > 15).withColumn("_s", F.concat("_p", F.lit(".")))
-    pick = lambda k: F.coalesce(*[F.when(F.col("_s").rlike("(?i)" + p), F.regexp_extract("_s", "(?i)" + p, k)) for p in DEFINITIONS])
+    """doc_id, pos, term, definition, confidence: sentences of over 15 characters that a pattern reads as a definition.
+
+    A pattern is tried only on sentences with its verb, and all that it gives comes from one expression per sentence.
+    """
+    said = _pieces(chunks).filter(F.char_length("_p") > 15).withColumns({"_s": F.concat("_p", F.lit(".")), "_l": F.lower("_p")})
+    verbs = ((" is ",), (" means ",), (" refers to ",), (" is defined as ", " is known as "))
+    has = lambda words: sum((F.col("_l").contains(w).cast("int") for w in words[1:]), F.col("_l").contains(words[0]).cast("int")) > 0
+    found = F.coalesce(*[F.when(has(v) & F.col("_s").rlike("(?i)" + p), F.struct(*[stripped(F.regexp_extract("_s", "(?i)" + p, k)).alias(c) for k, c in ((1, "term"), (2, "definition"))])) for v, p in zip(verbs, DEFINITIONS, strict=True)])
     boost = F.col("boost") if "boost" in chunks.columns else F.lit(0.0)
-    out = said.select("doc_id", "pos", stripped(pick(1)).alias("term"), stripped(pick(2)).alias("definition"), (F.lit(base_confidence) + boost).alias("confidence"))
-    return out.filter("term is not null")
+    one = said.filter(has(("is", "means", "refers"))).select("doc_id", "pos", boost.alias("_b"), F.explode(F.array(found)).alias("_f")).filter("_f is not null")
+    return one.select("doc_id", "pos", "_f.term", "_f.definition", (F.lit(base_confidence) + F.col("_b")).alias("confidence"))
 
 
 def claims(chunks: DataFrame) -> DataFrame:
@@ -52,20 +57,37 @@ def procedures(chunks: DataFrame) -> DataFrame:
     return both.select("doc_id", F.when(is_list, "list_v1").otherwise("sequence_v1").alias("method"), F.when(is_list, 0.75).otherwise(0.6).alias("confidence"), F.size(steps).alias("n_steps"), F.array_join(steps, " | ").alias("steps"))
 
 
+#: Text that a sentence must hold for a pattern to match, in lower case.
+_HOLDS = {"is_times": " is|times", "rate_of_change": " is|rate", "consists_of": "consist|of", "defined_as": " is| as", "uses": "use", "is_a_article": "is", "is_plain": "is"}
+
+
+def _in_one_pass(pattern: str) -> str:
+    """The pattern with its first part atomic where a later try of that part could match nothing more: no search over all pairs of words."""
+    for part in (r"^(.+?)\s+is\s+(.+?)\s+times", r"^(.+?)\s+consists?\s+of\s+(.+?)\s+and"):
+        if pattern.startswith(part):
+            at = pattern.index("(.+?)", 2)
+            return "^(?>" + pattern[1:at] + ")" + pattern[at:]
+    return pattern
+
+
 def relationships(chunks: DataFrame) -> DataFrame:
-    """doc_id, pos, pattern, src, relation, dst: triples with terms of 2 characters or more."""
-    said = chunks.select("doc_id", F.posexplode(plain_sentences(F.col("text"))).alias("pos", "s"))
-    matched = F.lit(None).cast("string")
-    for name, _, pattern in reversed(RELATIONSHIPS):
-        matched = F.when(F.col("s").rlike("(?i)" + pattern), name).otherwise(matched)
-    said = said.withColumn("pattern", matched).filter("pattern is not null")
-    source, relation, targets = F.lit(None).cast("string"), F.lit(None).cast("string"), F.array().cast("array<string>")
-    for name, rel, pattern in reversed(RELATIONSHIPS):
-        is_it, groups = F.col("pattern") == name, pattern.count("(.+?)")
-        source = F.when(is_it, F.regexp_extract("s", "(?i)" + pattern, 1)).otherwise(source)
-        relation = F.when(is_it, rel).otherwise(relation)
-        targets = F.when(is_it, F.array(*[F.regexp_extract("s", "(?i)" + pattern, k) for k in range(2, groups + 1)])).otherwise(targets)
-    out = said.select("doc_id", "pos", "pattern", extraction_term(source).alias("src"), relation.alias("relation"), F.explode(targets).alias("dst")).withColumn("dst", extraction_term(F.col("dst")))
+    """doc_id, pos, pattern, src, relation, dst: triples with terms of 2 characters or more.
+
+    Sentences without any of the verbs are passed over, a pattern is tried only where its words stand, and the first that
+    matches gives all its terms from one expression, which the explode evaluates once.
+    """
+    said = chunks.select("doc_id", F.posexplode(plain_sentences(F.col("text"))).alias("pos", "s")).withColumn("_l", F.regexp_replace(F.lower("s"), r"\s", " "))
+    said = said.filter(F.col("_l").contains(" is ") | F.col("_l").contains(" consist") | F.col("_l").contains(" use"))
+    found = []
+    for name, relation, pattern in RELATIONSHIPS:
+        fits = F.lit(True)
+        for word in _HOLDS[name].split("|"):
+            fits = fits & F.col("_l").contains(word)
+        quick = "(?i)" + _in_one_pass(pattern)
+        group = lambda k, quick=quick: extraction_term(F.regexp_extract("s", quick, k))
+        triple = lambda k, name=name, relation=relation, group=group: F.struct(F.lit(name).alias("pattern"), group(1).alias("src"), F.lit(relation).alias("relation"), group(k).alias("dst"))
+        found.append(F.when(fits & F.col("s").rlike(quick), F.array(*[triple(k) for k in range(2, pattern.count("(.+?)") + 1)])))
+    out = said.select("doc_id", "pos", F.explode(F.coalesce(*found)).alias("_t")).select("doc_id", "pos", "_t.pattern", "_t.src", "_t.relation", "_t.dst")
     return out.filter((F.char_length("src") >= 2) & (F.char_length("dst") >= 2))
 
 

@@ -34,6 +34,74 @@ def insert_absent(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.unionByName(new.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti"))
 
 
+def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges with new ones, both src, dst, relation, salience, trace_ids: a known edge keeps its salience and takes trace ids that it lacks.
+
+    trace_ids is a map from id to step, so that merging is a union of keys; one aggregate over both tables.
+    """
+    both = edges.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    each = both.select("src", "dst", "relation", "salience", "_new", F.explode_outer(F.map_entries("trace_ids")).alias("_e"))
+    first = each.groupBy("src", "dst", "relation").agg(F.min_by("salience", F.struct("_new", -F.col("salience"))).alias("salience"), F.min("_new").alias("_least"))
+    ids = each.filter("_e is not null").groupBy("src", "dst", "relation", F.col("_e.key").alias("_id")).agg(F.min_by(F.col("_e.value"), F.struct("_new", "_e.value")).alias("_step"))
+    ids = ids.groupBy("src", "dst", "relation").agg(F.count(F.lit(1)).alias("n_traces"), F.min(F.struct("_step", "_id")).alias("_f"))
+    out = first.join(ids, ["src", "dst", "relation"], "left")
+    return out.select("src", "dst", "relation", "salience", (F.col("_least") == 1).alias("is_new"), F.coalesce("n_traces", F.lit(0)).alias("n_traces"), F.col("_f._id").alias("first_trace"))
+
+
+#: Kinds of sources that a provenance may name. Fixed values.
+SOURCE_TYPES = ("dataset", "document", "execution")
+
+
+def provenance_faults(source_id, source_type, method, confidence, trace, step):
+    """Array of what is wrong with a provenance; empty if nothing is."""
+    missing = lambda c: c.isNull() | (c == "")
+    tests = (
+        ("source_id", missing(source_id)), ("source_type", missing(source_type) | ~source_type.isin(*SOURCE_TYPES)), ("extraction_method", missing(method)),
+        ("confidence", confidence.isNull() | ~confidence.between(0.0, 1.0)), ("trace_id", missing(trace)), ("timestamp_index", step.isNull() | (step < 0)),
+    )
+    return F.filter(F.array(*[F.when(F.coalesce(wrong, F.lit(True)), name) for name, wrong in tests]), lambda x: x.isNotNull())
+
+
+def merge_outcome(known_value, known_traces, new_value, new_trace):
+    """conflict (another value), known (the trace is there) or merged."""
+    return F.when(~known_value.eqNullSafe(new_value), "conflict").when(F.array_contains(known_traces, new_trace), "known").otherwise("merged")
+
+
+def chosen_provenance(results: DataFrame, lookups: DataFrame) -> DataFrame:
+    """results (id, value, operator) with source_id, method, confidence: that of the first dataset lookup with the value, else the execution's."""
+    hits = lookups.filter("hit").groupBy(F.col("value").alias("_v")).agg(F.min_by("dataset", "seq").alias("_d"))
+    out = results.join(hits, F.col("value") == F.col("_v"), "left")
+    found = F.col("_d").isNotNull()
+    return out.select(*results.columns, F.when(found, F.concat(F.lit("dataset:"), "_d")).otherwise(F.concat(F.lit("execution:"), "operator")).alias("source_id"), F.when(found, "dataset_lookup").otherwise("execution").alias("method"), F.when(found, 1.0).otherwise(0.9).alias("confidence"))
+
+
+#: Types of leaves that become nodes, and what a first and a later mention adds to salience. Fixed values.
+TRACKED = ("Entity", "Relation", "Event", "State", "Process")
+ROOT, ROOT_AGAIN, LEAF, LEAF_AGAIN = 1.0, 0.5, 0.8, 0.25
+
+
+def imported(bundles: DataFrame, last: int) -> DataFrame:
+    """node, salience, n after importing execution results (step, graph, node, type, is_root) in order of step, with decay after each step.
+
+    A node that is new counts as its role says; later mentions reinforce it. Leaves of other types, and the root among its own
+    leaves, are left out. Mentions of a node become amounts, and reinforced() folds them.
+    """
+    roots = bundles.filter("is_root").select("step", "graph", F.col("node").alias("_root"))
+    kept = bundles.join(roots, ["step", "graph"]).filter(F.col("is_root") | (F.col("type").isin(*TRACKED) & (F.col("node") != F.col("_root"))))
+    order = Window.partitionBy("node").orderBy("step", "graph", F.desc("is_root"))
+    nth = F.row_number().over(order)
+    amount = F.when(nth == 1, F.when(F.col("is_root"), ROOT).otherwise(LEAF)).otherwise(F.when(F.col("is_root"), ROOT_AGAIN).otherwise(LEAF_AGAIN))
+    said = kept.withColumn("amount", amount)
+    return reinforced(said, "node", "step", "amount", last).join(said.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+
+
+def by(table: DataFrame, **equals) -> DataFrame:
+    """Rows of nodes or edges with the given values; filters reach the scan."""
+    for column, value in equals.items():
+        table = table.filter(F.col(column) == value)
+    return table
+
+
 def provenance(triples: DataFrame, method: str = "relationship_extractor", confidence: float = 0.75) -> DataFrame:
     """src, dst, relation, trace_id, source_id, step, confidence: one row per edge and source, the first statement of each."""
     rows = triples.groupBy("src", "dst", "relation", "doc_id").agg(F.min("pos").alias("step"))
@@ -42,9 +110,13 @@ def provenance(triples: DataFrame, method: str = "relationship_extractor", confi
 
 
 def merged_provenance(prov: DataFrame) -> DataFrame:
-    """src, dst, relation, n, traces: distinct trace ids of an edge in order of (step, trace_id), joined by commas."""
-    ordered = F.array_sort(F.collect_set(F.struct("step", "trace_id")))
-    return prov.groupBy("src", "dst", "relation").agg(F.count_distinct("trace_id").alias("n"), F.array_join(F.transform(ordered, lambda x: x["trace_id"]), ",").alias("traces"))
+    """src, dst, relation, trace_id, place (from 1): distinct trace ids of an edge in order of (step, trace_id), one row each.
+
+    A trace id counts with its first step. Rows, not a list: an edge that a third of all documents state is as many rows. The
+    place is a window over an edge's distinct ids; what is kept per edge for display is top_provenance().
+    """
+    once = prov.groupBy("src", "dst", "relation", "trace_id").agg(F.min("step").alias("step"))
+    return once.select("src", "dst", "relation", "trace_id", F.row_number().over(Window.partitionBy("src", "dst", "relation").orderBy("step", "trace_id")).alias("place"))
 
 
 def top_provenance(prov: DataFrame, n: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import definition_term, query_term
@@ -60,3 +60,99 @@ def dataset_lookup(asked: DataFrame, dataset: DataFrame, name: str) -> DataFrame
     out = asked.join(exact, "key", "left").join(loose, F.lower(F.trim("key")) == F.col("_k"), "left")
     miss = F.concat(F.lit(f"__lookup_miss__:{name}:"), F.col("key"))
     return out.select("key", F.coalesce("exact", "loose", miss).alias("value"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "normalized").otherwise("miss").alias("hit"))
+
+
+def related_closure(asked: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """term, relation, target, depth, path, n_provenance: all simple paths over edges of the asked relation, one row each.
+
+    asked: term, relation; edges: src, dst, relation, n_provenance. The provenance of a path is that of its edges, counted with
+    repeats. One equi-join a step, on (relation, node).
+    """
+    steps = edges.select(F.col("relation").alias("_rel"), "src", "dst", "n_provenance")
+    now = asked.distinct().select("term", "relation", query_term(F.col("term")).alias("_at")).withColumns({"depth": F.lit(0), "path": F.array("_at"), "_n": F.lit(0).cast("long")})
+    found = None
+    for _ in range(depth):
+        now = now.join(steps, (F.col("_at") == F.col("src")) & (F.col("relation") == F.col("_rel"))).filter(~F.array_contains("path", F.col("dst")))
+        now = now.select("term", "relation", F.col("dst").alias("_at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"), (F.col("_n") + F.col("n_provenance")).alias("_n"))
+        found = now if found is None else found.unionByName(now)
+    return found.select("term", "relation", F.col("_at").alias("target"), "depth", F.array_join("path", " → ").alias("path"), F.col("_n").alias("n_provenance"))
+
+
+def closure_flags(asked: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """term, relation, n_paths, cycle, fallback: whether a path of fewer than `depth` steps meets one of its own nodes, and whether there is no path."""
+    steps = edges.select(F.col("relation").alias("_rel"), "src", "dst")
+    asked = asked.distinct()
+    now = asked.select("term", "relation", query_term(F.col("term")).alias("_at")).withColumn("path", F.array("_at"))
+    all_steps = None
+    for _ in range(depth):
+        now = now.join(steps, (F.col("_at") == F.col("src")) & (F.col("relation") == F.col("_rel")))
+        now = now.select("term", "relation", F.col("dst").alias("_at"), F.array_contains("path", F.col("dst")).alias("_cycle"), F.concat("path", F.array("dst")).alias("path"))
+        all_steps = now if all_steps is None else all_steps.unionByName(now)
+        now = now.filter("not _cycle").drop("_cycle")
+    per = all_steps.groupBy(F.col("term").alias("_t"), F.col("relation").alias("_r")).agg(F.count_if(~F.col("_cycle")).alias("n"), F.max("_cycle").alias("c"))
+    out = asked.join(per, (F.col("term") == F.col("_t")) & (F.col("relation") == F.col("_r")), "left")
+    return out.select("term", "relation", F.coalesce("n", F.lit(0)).alias("n_paths"), F.coalesce("c", F.lit(False)).alias("cycle"), (F.coalesce("n", F.lit(0)) == 0).alias("fallback"))
+
+
+def registered_definitions(said: DataFrame) -> DataFrame:
+    """said (term, definition, source_id, confidence, step, seq) with one row per normalized term and source: the first by seq."""
+    first = said.groupBy(definition_term(F.col("term")).alias("key"), "source_id").agg(F.min(F.struct("seq", "term", "definition", "confidence", "step")).alias("f"))
+    return first.select("key", "source_id", "f.term", "f.definition", "f.confidence", "f.step")
+
+
+def ranked_definitions(asked: DataFrame, registered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """term, hit, definition, node_id, confidence, n_candidates, n_provenance: the best of registered ones (salience 1) and of definition nodes.
+
+    registered: key, definition, confidence, step, node_id; nodes: id, term, definition, confidence, salience, step, n_provenance.
+    Order: confidence, salience and step falling, then node id. A node that is registered too counts twice in n_provenance.
+    """
+    known = registered.select("key", "definition", "confidence", F.lit(1.0).alias("salience"), "step", "node_id")
+    own = nodes.select(definition_term(F.col("term")).alias("key"), "definition", "confidence", "salience", "step", F.col("id").alias("node_id"))
+    counts = nodes.select(F.col("id").alias("node_id"), "n_provenance")
+    every = known.unionByName(own).join(counts, "node_id", "left")
+    order = F.struct(-F.col("confidence"), -F.col("salience"), -F.col("step"), F.coalesce("node_id", F.lit("")))
+    best = every.groupBy("key").agg(F.min_by(F.struct("definition", "node_id", "confidence"), order).alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("n_provenance", F.lit(0))).alias("p"))
+    out = asked.join(best, definition_term(F.col("term")) == F.col("key"), "left")
+    return out.select("term", F.col("b").isNotNull().alias("hit"), F.col("b.definition").alias("definition"), F.col("b.node_id").alias("node_id"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("n", F.lit(0)).alias("n_candidates"), F.coalesce("p", F.lit(0)).alias("n_provenance"))
+
+
+def provenance_line(source_path: Column, source_id: Column, chunk: Column, location: Column, confidence: Column) -> Column:
+    """[source: file | chunk: id | loc: place | conf: 0.00], without what is missing; the file is the last part of the path."""
+    filled = lambda c: F.when(c.isNotNull() & (c != ""), c)
+    source = F.coalesce(F.regexp_extract(filled(source_path), r"([^/]*)$", 1), filled(source_id))
+    parts = [F.concat(F.lit(name), value) for name, value in (("source: ", source), ("chunk: ", filled(chunk)), ("loc: ", filled(location)), ("conf: ", F.format_string("%.2f", confidence)))]
+    return F.concat(F.lit("["), F.concat_ws(" | ", *parts), F.lit("]"))
+
+
+def contains(asked: DataFrame, dataset: DataFrame) -> DataFrame:
+    """Rows of asked (key) that the dataset has, as they are or in lower case without outer space."""
+    return asked.join(dataset.select(F.lower(F.trim("key")).alias("_k")).distinct(), F.lower(F.trim("key")) == F.col("_k"), "left_semi")
+
+
+def is_miss(value: Column) -> Column:
+    return value.startswith("__lookup_miss__")
+
+
+def registry(versions: DataFrame) -> DataFrame:
+    """name, version, content, is_latest, conflict: one row per version of versions (name, version, content, seq), its first content.
+
+    A version that is registered again with the same content is no news, with another one a conflict; the version that was
+    registered last stands for the name.
+    """
+    per = versions.groupBy("name", "version").agg(F.min_by("content", "seq").alias("content"), F.min("seq").alias("_seq"), (F.count_distinct("content") > 1).alias("conflict"))
+    last = F.max("_seq").over(Window.partitionBy("name"))
+    return per.select("name", "version", "content", (F.col("_seq") == last).alias("is_latest"), "conflict")
+
+
+#: Types of keys and values that a dataset may have. Fixed values.
+SEMANTIC_TYPES = ("Entity", "Relation", "Event", "State", "Process", "Constraint", "Abstraction")
+
+
+def dataset_faults(name: Column, version: Column, source: Column, records: Column, key_type: Column, value_type: Column) -> Column:
+    """Array of what is wrong with a dataset; empty if nothing is. records is its JSON text, which must be an object."""
+    empty = lambda c: c.isNull() | (c == "")
+    tests = (
+        ("name must be non-empty", empty(name)), ("version must be non-empty", empty(version)), ("provenance must include 'source' key", empty(source)), ("records must be a dict", F.coalesce(~F.trim(records).rlike(r"(?s)^\{.*\}$"), F.lit(True))),
+        ("key_type is not a valid SemanticType", F.coalesce(~key_type.isin(*SEMANTIC_TYPES), F.lit(True))), ("value_type is not a valid SemanticType", F.coalesce(~value_type.isin(*SEMANTIC_TYPES), F.lit(True))),
+    )
+    return F.filter(F.array(*[F.when(wrong, text) for text, wrong in tests]), lambda x: x.isNotNull())

@@ -115,6 +115,8 @@ RELATION_WORDS = (
     ("part_of", "part"),
 )
 TOKEN = r"[\p{L}\p{N}_]+(?:'[\p{L}\p{N}_]+)?|[^\p{L}\p{N}_\s]"
+#: Tokens that are punctuation.
+PUNCTUATION = r"^[.,!?;:()\[\]{}\"'-]+$"
 POLITE = r"^(can you|could you|show me|tell me|please)( |$)"
 
 
@@ -135,6 +137,22 @@ def _after(tokens: Column, lower: Column, word: str) -> Column:
     return F.when((at > 0) & (rest != ""), rest)
 
 
+def _until(tokens: Column, lower: Column, word: str, *stops: str) -> Column:
+    """What stands after a word, up to the first of the stops or the end."""
+    at = F.array_position(lower, word).cast("int")
+    rest = F.slice(tokens, at + 1, F.greatest(F.lit(0), F.size(tokens) - at))
+    stop = F.array_position(F.transform(F.slice(lower, at + 1, F.greatest(F.lit(0), F.size(lower) - at)), lambda t: t.isin(*stops)), True).cast("int")
+    said = F.array_join(F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest), " ")
+    return F.when((at > 0) & (said != ""), said)
+
+
+def _between(tokens: Column, lower: Column, word: str, end: str) -> Column:
+    """What stands between two words; null without either of them."""
+    at = F.array_position(lower, word).cast("int")
+    after = F.array_position(F.slice(lower, at + 1, F.greatest(F.lit(0), F.size(lower) - at)), end).cast("int")
+    return F.when((at > 0) & (after > 1), F.array_join(F.slice(tokens, at + 1, after - 1), " "))
+
+
 def slots(tokens: Column, lower: Column) -> dict[str, Column]:
     """Slot values; null where a slot cannot be filled."""
     words = F.filter(tokens, lambda t: ~t.isin("?", ".", ",", "!", ";", ":"))
@@ -148,19 +166,28 @@ def slots(tokens: Column, lower: Column) -> dict[str, Column]:
     verbs = ("simplify", "expand", "factor", "solve", "calculate", "compute", "differentiate", "integrate", "evaluate")
     first_verb = F.array_position(F.transform(low, lambda t: t.isin(*verbs)), True)
     behind = some(F.array_join(F.slice(words, (first_verb + 1).cast("int"), F.greatest(F.lit(0), F.size(words) - first_verb.cast("int"))), " "))
-    between = _after(words, low, "first")
+    after = lambda *names: F.coalesce(*[_after(words, low, w) for w in names])
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    number = F.try_element_at(F.filter(words, lambda t: t.rlike(r"^\d+(\.\d+)?$")), F.lit(1))
+    raw, last = some(F.array_join(tokens, " ")), F.try_element_at(words, F.lit(-1))
+    named = F.try_element_at(F.filter(words, lambda t: t.rlike(r"^\p{Lu}") & ~F.lower(t).isin("the", "a", "an", "is", "was", "are", "were", "be")), F.lit(1))
     return {
-        "term": some(F.trim(term)), "relation_type": relation, "region": _after(words, low, "of"), "expression": F.when(first_verb > 0, behind).otherwise(tail),
-        "force": _after(words, low, "force"), "mass": F.coalesce(_after(words, low, "mass"), _after(words, low, "weight")), "predicate": F.when(between.contains(" in ") & ~between.startswith("in "), F.regexp_extract(between, "^(.*?) in ", 1)),
-        "collection": _after(words, low, "in"), "substance": F.coalesce(_after(words, low, "of"), tail), "account": F.coalesce(*[_after(words, low, w) for w in ("into", "from", "account")]),
-        "amount": F.try_element_at(F.filter(words, lambda t: t.rlike(r"^\d+(\.\d+)?$")), F.lit(1)),
+        "term": some(F.trim(term)), "relation_type": relation, "region": after("of"), "expression": F.when(first_verb > 0, behind).otherwise(tail), "variable": F.coalesce(first(after("to", "for")), last),
+        "force": F.coalesce(_between(words, low, "force", "and"), _until(words, low, "force", "and", "mass")), "mass": after("mass", "weight"), "time": after("time", "after", "for"),
+        "predicate": _between(words, low, "first", "in"), "collection": after("in"), "substance": F.coalesce(after("of"), tail), "account": after("into", "from", "account"), "amount": number, "principal": number, "rate": first(after("rate", "at")),
+        "actor": F.coalesce(named, F.try_element_at(words, F.lit(1))), "action": after("can", "may", "must"), "rule": after("rule", "law", "under"), "case": F.coalesce(after("case"), raw), "max_depth": F.lit("3"), "raw_text": raw, "last": last,
     }
 
 
-def route(questions: DataFrame, text: str = "text") -> DataFrame:
-    """questions and rule, operator, priority, term, relation_type, region, expression, amount; no rule: operator generic.
+SLOTS = ("term", "relation_type", "region", "expression", "amount")
+MORE_SLOTS = ("variable", "force", "mass", "time", "predicate", "collection", "substance", "account", "principal", "rate", "actor", "action", "rule", "case", "max_depth", "raw_text", "last")
+
+
+def route(questions: DataFrame, text: str = "text", more: bool = False) -> DataFrame:
+    """questions and rule, operator, priority, the slots SLOTS; no rule: operator generic. more: also confidence, ambiguous, and all other slots as slot_<name>.
 
-    Rules with one keyword set and slots are tests on arrays of the same row.
+    Rules with one keyword set and slots are tests on arrays of the same row. Confidence is 1.3 and a thousandth of the priority,
+    0 without a rule; a question is ambiguous if two of its rules have the greatest one.
     """
     tokens = questions.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)))
     tokens = tokens.withColumn("_l", F.transform("_t", lambda t: F.lower(t)))
@@ -173,5 +200,40 @@ def route(questions: DataFrame, text: str = "text") -> DataFrame:
         for slot in required.split():
             test = test & F.col(f"_s.{slot}").isNotNull()
         fits.append(F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(operator).alias("operator"), F.lit(priority).alias("priority"))))
-    out = filled.withColumn("_r", F.coalesce(*fits))
-    return out.select(*questions.columns, F.col("_r.rule").alias("rule"), F.coalesce("_r.operator", F.lit("generic")).alias("operator"), F.col("_r.priority").alias("priority"), *[F.col(f"_s.{s}").alias(s) for s in ("term", "relation_type", "region", "expression", "amount")])
+    extra = []
+    if more:
+        out = filled.withColumn("_f", F.filter(F.array(*fits), lambda x: x.isNotNull())).withColumn("_r", F.get("_f", F.lit(0)))
+        top = F.filter("_f", lambda x: x["priority"] == F.col("_r.priority"))
+        extra = [F.coalesce(1.3 + F.col("_r.priority") / 1000, F.lit(0.0)).alias("confidence"), (F.size(top) > 1).alias("ambiguous"), *[F.col(f"_s.{s}").alias(f"slot_{s}") for s in MORE_SLOTS]]
+    else:
+        out = filled.withColumn("_r", F.coalesce(*fits))
+    return out.select(*questions.columns, F.col("_r.rule").alias("rule"), F.coalesce("_r.operator", F.lit("generic")).alias("operator"), F.col("_r.priority").alias("priority"), *[F.col(f"_s.{s}").alias(s) for s in SLOTS], *extra)
+
+
+def tagged(tokens: Column) -> Column:
+    """Array of WORD, NUMBER, PUNCT or SYMBOL for an array of tokens."""
+    number = r"(?i)^([+-]?(\d[\d_]*\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+    return F.transform(tokens, lambda t: F.when(t.rlike(number), "NUMBER").when(t.rlike(r"^[\p{L}']*\p{L}[\p{L}']*$"), "WORD").when(t.rlike(PUNCTUATION), "PUNCT").otherwise("SYMBOL"))
+
+
+def hydrated(domain: Column, slot: Column, value: Column) -> Column:
+    """Slot text as a struct kind (number, quantity, list, constraint, text), number, unit, items, text, by the domain's rules.
+
+    Physics reads quantities, finance rates (a percentage is a hundredth) and amounts with thousands commas; numbers and lists
+    are read for all others; what fits nothing stays text.
+    """
+    v = F.trim(value)
+    number = v.rlike(r"^[-+]?\d+(\.\d+)?$")
+    quantity = r"^([-+]?\d+(?:\.\d+)?)\s*([a-zA-Z/²³°]+.*)$"
+    rate, plain = F.replace(v, F.lit("%"), F.lit("")), F.replace(v, F.lit(","), F.lit(""))
+
+    def made(kind: str, n: Column | None = None, unit: Column | None = None, items: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if n is None else n).cast("double").alias("number"), (F.lit(None) if unit is None else unit).cast("string").alias("unit"), (F.lit(None) if items is None else items).cast("array<string>").alias("items"), value.alias("text"))
+
+    items = F.filter(F.transform(F.split(F.regexp_extract(v, r"^\[(.*)\]$", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", "")), lambda x: x != "")
+    physics = F.when(v.rlike(quantity), made("quantity", F.regexp_extract(v, quantity, 1).try_cast("double"), F.trim(F.regexp_extract(v, quantity, 2)))).when(number, made("quantity", v.try_cast("double"), F.lit("unknown")))
+    rated = F.trim(rate).try_cast("double")
+    finance = F.when((slot == "rate") & rated.isNotNull(), made("constraint", F.when(v.contains("%"), rated / 100).otherwise(rated))).when(slot == "rate", made("constraint")).when(slot.isin("amount", "principal") & plain.try_cast("double").isNotNull(), made("number", plain.try_cast("double")))
+    listed = v.rlike(r"^\[.*\]$") & ~domain.isin("physics", "math", "finance")
+    generic = F.when(number & (domain != "finance"), made("number", v.try_cast("double"))).when(listed, made("list", items=items)).otherwise(made("text"))
+    return F.when((domain == "physics") & (v.rlike(quantity) | number), physics).when((domain == "finance") & slot.isin("rate", "amount", "principal"), F.coalesce(finance, made("text"))).otherwise(generic)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import typed
-from ..operators import chunking, classify, extraction, graph, graph_queries, routing, validation
+from ..operators import adaptation, chunking, classify, domains, extraction, graph, graph_queries, ingest, routing, validation
+from ..session import written
 from ..sources import documents as docs_source
 from ..streaming import events as streams
 
@@ -363,7 +364,10 @@ def definition_nodes(spark, d):
     return graph.definition_nodes(extraction.definitions(_docs(spark, d)))
 
 
-@query(f"WITH {_EDGES}, p AS (SELECT src, dst, relation, doc_id, min(pos) AS step FROM rel GROUP BY ALL), q AS (SELECT *, 'tr_' || substr(sha256('doc:' || doc_id || ':relationship_extractor:' || step), 1, 12) AS trace_id FROM p) SELECT src, dst, relation, count(DISTINCT trace_id) AS n, string_agg(trace_id, ',' ORDER BY step, trace_id) AS traces FROM q GROUP BY ALL")
+@query(
+    f"""WITH {_EDGES}, p AS (SELECT src, dst, relation, doc_id, min(pos) AS step FROM rel GROUP BY ALL), q AS (SELECT src, dst, relation, 'tr_' || substr(sha256('doc:' || doc_id || ':relationship_extractor:' || step), 1, 12) AS trace_id, min(step) AS step FROM p GROUP BY ALL)
+SELECT src, dst, relation, trace_id, row_number() OVER (PARTITION BY src, dst, relation ORDER BY step, trace_id)::INT AS place FROM q"""
+)
 def provenance_merge(spark, d):
     return graph.merged_provenance(graph.provenance(extraction.relationships(_docs(spark, d))))
 
@@ -434,7 +438,7 @@ def closure_depth3(spark, d):
 
 @query(f"WITH RECURSIVE {_EDGES}, {_CLOSURE.format(edges='edge')} SELECT source, target, depth::INT AS depth, array_to_string(path, '>') AS path FROM walk")
 def closure_terms(spark, d):
-    e = _edges(spark, d)
+    e = written(_edges(spark, d).select("src", "dst"), "edges")  # each step reads it
     return graph_queries.closure(e.select(F.col("src").alias("source")).distinct(), e)
 
 
@@ -462,9 +466,53 @@ def compose_relationships_lineitem(spark, d):
     return graph_queries.composed(graph_queries.closure(star.select(F.col("src").alias("source")).distinct(), star))
 
 
-@query(f"WITH {_EDGES}, e AS (SELECT DISTINCT src, dst FROM edge) SELECT x.src, x.dst FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src")
+#: Parts that are sold together: an edge from each line of an order to the next line, and from the last to the first.
+_SOLD = """sold AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem), pair AS (SELECT DISTINCT 'p' || x.l_partkey AS src, 'p' || y.l_partkey AS dst FROM sold x JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM sold GROUP BY 1) USING (l_orderkey)
+  JOIN sold y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = CASE WHEN x.l_linenumber = m THEN 1 ELSE x.l_linenumber + 1 END WHERE x.l_partkey <> y.l_partkey)"""
+
+
+def _sold(spark, d):
+    sold = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    last = sold.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"))
+    nth = sold.join(last, "l_orderkey").select("l_orderkey", F.col("l_partkey").alias("a"), F.when(F.col("l_linenumber") == F.col("m"), 1).otherwise(F.col("l_linenumber") + 1).alias("l_linenumber"))
+    both = nth.join(sold, ["l_orderkey", "l_linenumber"]).filter(F.col("a") != F.col("l_partkey"))
+    return both.select(F.concat(F.lit("p"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+
+
+@query(f"WITH {_SOLD} SELECT x.src, x.dst FROM pair x JOIN pair y ON x.src = y.dst AND x.dst = y.src")
 def cycle_edges(spark, d):
-    return graph_queries.cycles(_edges(spark, d))
+    return graph_queries.cycles(written(_sold(spark, d), "sold"))
+
+
+_RELATED = """, edges AS (SELECT src, dst, relation, 1 + length(src) % 3 AS n_provenance FROM whole), asked AS (SELECT DISTINCT 'O' || o_orderkey AS term, 'depends_on' AS relation FROM orders UNION SELECT 'c' || c_custkey, 'part_of' FROM customer UNION SELECT 's' || s_suppkey, 'part_of' FROM supplier UNION SELECT 'none ' || r_name, 'part_of' FROM region),
+walk AS (SELECT term, a.relation, lower(term) AS start, dst AS target, 1 AS depth, [lower(term), dst] AS path, n_provenance::BIGINT AS n FROM asked a JOIN edges e ON e.src = lower(term) AND e.relation = a.relation
+  UNION ALL SELECT term, w.relation, start, dst, depth + 1, list_append(path, dst), n + n_provenance FROM walk w JOIN edges e ON e.src = target AND e.relation = w.relation WHERE depth < 3 AND NOT list_contains(path, dst))"""
+
+
+def _related(spark, d):
+    edges = _whole_star(spark, d).select("src", "dst", "relation", (1 + F.char_length("src") % 3).alias("n_provenance"))
+    s = lambda table, p, c, r: _t(spark, d, table).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("term"), F.lit(r).alias("relation"))
+    asked = s("orders", "O", "o_orderkey", "depends_on").unionByName(s("customer", "c", "c_custkey", "part_of")).unionByName(s("supplier", "s", "s_suppkey", "part_of")).unionByName(s("region", "none ", "r_name", "part_of"))
+    return asked, edges
+
+
+@query(f"WITH RECURSIVE {_WHOLE_STAR}{_RELATED} SELECT term, relation, target, depth::INT AS depth, array_to_string(path, ' → ') AS path, n AS n_provenance FROM walk")
+def closure_by_relation(spark, d):
+    return graph_queries.related_closure(*_related(spark, d))
+
+
+@query(f"WITH RECURSIVE {_WHOLE_STAR}{_RELATED} SELECT term, relation, coalesce(n, 0) AS n_paths, false AS cycle, n IS NULL AS fallback FROM asked LEFT JOIN (SELECT term, relation, count(*) AS n FROM walk GROUP BY ALL) USING (term, relation)")
+def closure_flags(spark, d):
+    return graph_queries.closure_flags(*_related(spark, d))
+
+
+@query(
+    f"""WITH {_SOLD}, one AS (SELECT src AS term, dst AS a FROM pair), two AS (SELECT term, a, dst AS b FROM one JOIN pair ON src = a), n AS (SELECT term, count(*) FILTER (b <> term) AS n2, bool_or(b = term) AS c FROM two GROUP BY term)
+SELECT term, 'next' AS relation, (SELECT count(*) FROM one o WHERE o.term = p.term) + coalesce(n2, 0) AS n_paths, coalesce(c, false) AS cycle, false AS fallback FROM (SELECT DISTINCT term FROM one) p LEFT JOIN n USING (term)"""
+)
+def closure_flags_cycles(spark, d):
+    sold = written(_sold(spark, d).withColumn("relation", F.lit("next")), "sold")
+    return graph_queries.closure_flags(sold.select(F.col("src").alias("term"), "relation"), sold, depth=2)
 
 
 @query(
@@ -606,12 +654,16 @@ def math_operators(spark, d):
     )
 
 
-_SYMBOLIC = {name: "_" + name.lower().replace(".", "_") for name in typed.SYMBOLIC}
+_NAMED = {
+    "geography.LOCATED_IN": "%s located_in %s", "geography.STATE_OF": "state_of(%s)", "geography.COUNTRY_OF": "country_of(%s)", "geography.BORDER_WITH": "%s borders %s", "geography.POPULATION_OF": "population_of(%s)",
+    "math.FACTOR": "factor(%s)", "math.SOLVE": "solve(%s, %s)", "math.EVALUATE_FUNCTION": "eval_fn(%s,%s)", "math.DERIVE": "d/d%s(%s)", "math.INTEGRATE": "∫(%s)d%s", "biology.CONVERT_SUBSTANCE": "convert(%s → %s)",
+}
+_SYMBOLIC = {name: "_" + name.lower().replace(".", "_") for name in _NAMED}
 
 
-@query("SELECT n_nationkey, " + ", ".join("concat(" + ", ".join(x for i, part in enumerate(typed.SYMBOLIC[n].split("%s")) for x in ([f"'{part}'"] if part else []) + (["n_name"] if i < typed.SYMBOLIC[n].count("%s") else [])) + f") AS {c}" for n, c in _SYMBOLIC.items()) + " FROM nation")
+@query("SELECT n_nationkey, " + ", ".join("concat(" + ", ".join(x for i, part in enumerate(_NAMED[n].split("%s")) for x in ([f"'{part}'"] if part else []) + (["n_name"] if i < _NAMED[n].count("%s") else [])) + f") AS {c}" for n, c in _SYMBOLIC.items()) + " FROM nation")
 def symbolic_operators(spark, d):
-    return _t(spark, d, "nation").select("n_nationkey", *[typed.symbolic(n, *[F.col("n_name")] * typed.SYMBOLIC[n].count("%s")).alias(c) for n, c in _SYMBOLIC.items()])
+    return _t(spark, d, "nation").select("n_nationkey", *[typed.symbolic(n, *[F.col("n_name")] * _NAMED[n].count("%s")).alias(c) for n, c in _SYMBOLIC.items()])
 
 
 @query(
@@ -641,3 +693,385 @@ def batch_report(spark, d):
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark, d):
     return streams.run_available(spark, streams.windowed(streams.event_stream(spark, f"{d}/events.parquet")))
+
+
+# More typed operators; their SQL is written out by hand
+
+
+def _columns(df: DataFrame, key: str, **made) -> DataFrame:
+    return df.select(key, *[v.alias(k) for k, v in made.items()])
+
+
+@query(
+    """SELECT n_nationkey, 'filter(' || n_name || ', ' || k || ')' AS filter_, 'map(' || k || ', ' || n_name || ')' AS map_, 'reduce(' || k || ', ' || n_name || ', init=0)' AS reduce_, 'group(' || n_name || ', by=' || k || ')' AS group_, 'match(' || n_name || ', ' || k || ')' AS match_,
+  'transform(' || n_name || ', ' || k || ')' AS transform_, 'split(' || n_name || ', ' || k || ')' AS split_, 'execute(' || n_name || ', ' || k || ')' AS execute_, 'query(' || n_name || ', ' || k || ')' AS query_, 'call(' || n_name || ', ' || k || ')' AS call_, 'eval(' || n_name || ')' AS eval_,
+  'if(' || n_name || ',' || k || ',0)' AS if_, 'iterate(' || n_name || ',' || k || ')' AS iterate_, 'handle(' || n_name || ',' || k || ')' AS handle_, 'energy_conserved(' || n_name || ')' AS energy_, 'integrate(' || n_name || ',' || k || ')' AS integrate_,
+  'trajectory(' || n_name || ',' || k || ',0)' AS trajectory_, 'collision(' || n_name || ',' || k || ')' AS collision_, 'resolve_collision(' || n_name || ',' || k || ')' AS resolve_, 'field_effect(' || n_name || ',' || k || ')' AS field_, 'break_down(' || n_name || ')' AS break_, 'build_up(' || n_name || ')' AS build_,
+  'transport(' || n_name || ': ' || k || '→0)' AS transport_, 'signal(0: ' || n_name || '→' || k || ')' AS signal_, 'received(' || k || ' at ' || n_name || ')' AS received_, 'level(' || n_name || ')' AS level_, 'return(' || n_name || ',' || k || ')' AS return_, 'risk(' || n_name || ')' AS risk_,
+  'portfolio+' || k AS add_asset, 'portfolio-' || k AS remove_asset, 'value(' || n_name || ')' AS value_, 'check(' || n_name || ' in ' || k || ')' AS check_, 'interpret(' || n_name || ' in ' || k || ')' AS interpret_ FROM (SELECT n_nationkey, n_name, n_regionkey::VARCHAR AS k FROM nation)"""
+)
+def named_operators(spark, d):
+    x, k, o, f = F.col("n_name"), F.col("n_regionkey").cast("string"), F.lit("0"), typed.symbolic
+    return _columns(
+        _t(spark, d, "nation"), "n_nationkey", filter_=f("core.FILTER", x, k), map_=f("core.MAP", x, k), reduce_=f("core.REDUCE", x, k, o), group_=f("core.GROUP", x, k), match_=f("core.MATCH", x, k), transform_=f("core.TRANSFORM", x, k), split_=f("core.SPLIT", x, k),
+        execute_=f("core.EXECUTE", x, k), query_=f("core.QUERY", x, k), call_=f("programming.CALL_FUNCTION", x, k), eval_=f("programming.EVALUATE_EXPRESSION", x), if_=f("programming.CONDITIONAL_BRANCH", x, k, o), iterate_=f("programming.ITERATE", x, k),
+        handle_=f("programming.HANDLE_ERROR", x, k), energy_=f("physics.CONSERVE_ENERGY", x), integrate_=f("physics.INTEGRATE_MOTION", x, k), trajectory_=f("physics.COMPUTE_TRAJECTORY", x, k, o), collision_=f("physics.DETECT_COLLISION", x, k),
+        resolve_=f("physics.RESOLVE_COLLISION", x, k), field_=f("physics.APPLY_FIELD_EFFECT", x, k), break_=f("biology.BREAK_DOWN", x), build_=f("biology.BUILD_UP", x), transport_=f("biology.TRANSPORT", x, k, o), signal_=f("biology.SEND_SIGNAL", x, k, o),
+        received_=f("biology.RECEIVE_SIGNAL", x, k), level_=f("biology.MEASURE_LEVEL", x), return_=f("finance.CALCULATE_RETURN", x, k), risk_=f("finance.EVALUATE_RISK", x), add_asset=f("finance.ADD_ASSET", x, k), remove_asset=f("finance.REMOVE_ASSET", x, k),
+        value_=f("finance.COMPUTE_PORTFOLIO_VALUE", x), check_=f("legal.CHECK_CONDITION", x, k), interpret_=f("legal.INTERPRET_CLAUSE", x, k),
+    )
+
+
+@query(
+    """SELECT c_custkey, to_json({'type': s, 'value': k})::VARCHAR AS create_, to_json({'deleted': s})::VARCHAR AS delete_, to_json({'entity': s, 'class': k})::VARCHAR AS classify_, CASE WHEN c_custkey % 2 = 0 THEN to_json({'valid': true, 'entity': s})::VARCHAR ELSE to_json({'valid': false, 'entity': s, 'constraint': false})::VARCHAR END AS validate_,
+  to_json({'connected': [s, n]})::VARCHAR AS connect_, to_json({'disconnected': [s, n]})::VARCHAR AS disconnect_, to_json({'value': s, 'as': n})::VARCHAR AS convert_, to_json({'observed': s})::VARCHAR AS observe_, to_json({'name': s, 'value': k})::VARCHAR AS variable_,
+  to_json({'assigned': s, 'value': k})::VARCHAR AS assign_, to_json({'fn': s, 'params': n, 'body': k})::VARCHAR AS function_, to_json({'return': s})::VARCHAR AS return_, to_json({'error': s, 'message': n})::VARCHAR AS raise_, to_json({'fn': s, 'params': n, 'expr': k})::VARCHAR AS math_function_,
+  to_json({'system': s, 'force': n})::VARCHAR AS force_, to_json({'process': 'cell_division', 'parent': s})::VARCHAR AS divide_, to_json({'activated': s})::VARCHAR AS activate_, to_json({'inhibited': s})::VARCHAR AS inhibit_,
+  to_json({'process': 'photosynthesis', 'inputs': s, 'outputs': {'glucose': 1, 'oxygen': 6}})::VARCHAR AS photosynthesis_, to_json({'process': 'cell_respiration', 'inputs': s, 'outputs': {'ATP': 'energy', 'CO2': 6, 'H2O': 6}})::VARCHAR AS respiration_,
+  to_json({'process': 'protein_synthesis', 'from': s, 'steps': ['DNA→RNA', 'RNA→Protein']})::VARCHAR AS protein_, to_json({'from': s, 'to': n, 'amount': k})::VARCHAR AS transfer_, to_json({'account': s, 'after_txn': n})::VARCHAR AS update_, to_json({'invested': k, 'in': s})::VARCHAR AS invest_,
+  to_json({'state': s, 'time_advanced': k})::VARCHAR AS advance_, to_json({'rule': s, 'case': n, 'applied': true})::VARCHAR AS rule_, to_json({'actor': s, 'obligation': n})::VARCHAR AS obligation_, to_json({'actor': s, 'permitted': n, 'status': 'check_required'})::VARCHAR AS permission_,
+  to_json({'actor': s, 'prohibited': n})::VARCHAR AS prohibition_, to_json({'violation': true, 'rule': s, 'case': n})::VARCHAR AS violation_, to_json({'conflict_between': [s, n], 'resolution': 'pending'})::VARCHAR AS conflict_, to_json({'base_rule': s, 'exception': n})::VARCHAR AS exception_,
+  to_json({'higher': s, 'lower': n})::VARCHAR AS precedence_, to_json({'case': s, 'classification': 'requires_analysis'})::VARCHAR AS case_, to_json({'compliant': 'requires_evaluation', 'case': s, 'against': n})::VARCHAR AS compliance_
+FROM (SELECT c_custkey, c_mktsegment AS s, 'n' || c_nationkey AS n, c_nationkey::INT AS k FROM customer)"""
+)
+def record_operators(spark, d):
+    s, n, k = F.col("c_mktsegment"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.col("c_nationkey").cast("int")
+    f = lambda name, *o: F.to_json(typed.apply(name, *o))
+    return _columns(
+        _t(spark, d, "customer"), "c_custkey", create_=f("core.CREATE", s, k), delete_=f("core.DELETE", s), classify_=f("core.CLASSIFY", s, k), validate_=f("core.VALIDATE", s, F.col("c_custkey") % 2 == 0), connect_=f("core.CONNECT", s, n), disconnect_=f("core.DISCONNECT", s, n),
+        convert_=f("core.CONVERT", s, n), observe_=f("core.OBSERVE", s), variable_=f("programming.DEFINE_VARIABLE", s, k), assign_=f("programming.ASSIGN", s, k), function_=f("programming.DEFINE_FUNCTION", s, n, k), return_=f("programming.RETURN_VALUE", s), raise_=f("programming.RAISE_ERROR", s, n),
+        math_function_=f("math.DEFINE_FUNCTION", s, n, k), force_=f("physics.APPLY_FORCE", s, n), divide_=f("biology.DIVIDE_CELL", s), activate_=f("biology.ACTIVATE", s), inhibit_=f("biology.INHIBIT", s), photosynthesis_=f("biology.PHOTOSYNTHESIS", s), respiration_=f("biology.CELL_RESPIRATION", s),
+        protein_=f("biology.PROTEIN_SYNTHESIS", s), transfer_=f("finance.TRANSFER", s, n, k), update_=f("finance.UPDATE_BALANCE", s, n), invest_=f("finance.INVEST", s, k), advance_=f("finance.ADVANCE_TIME", s, k), rule_=f("legal.APPLY_RULE", s, n), obligation_=f("legal.EVALUATE_OBLIGATION", s, n),
+        permission_=f("legal.CHECK_PERMISSION", s, n), prohibition_=f("legal.CHECK_PROHIBITION", s, n), violation_=f("legal.DETECT_VIOLATION", s, n), conflict_=f("legal.RESOLVE_CONFLICT", s, n), exception_=f("legal.APPLY_EXCEPTION", s, n), precedence_=f("legal.ESTABLISH_PRECEDENCE", s, n),
+        case_=f("legal.CLASSIFY_CASE", s), compliance_=f("legal.VALIDATE_COMPLIANCE", s, n),
+    )
+
+
+@query(
+    """SELECT o_orderkey, list_contains(xs, 5) AS contain_, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS lookup_, CASE WHEN k = 0 THEN 'yes' ELSE 'no' END AS select_, array_to_string(list_sort(xs), ',') AS sort_, 3 AS count_, k = 5 AS compare_, o_orderpriority AS define_,
+  'F=' || CASE WHEN k = 1 THEN 'new' ELSE 'done' END || ',O=open' AS merge_, xs[k % 3 + 1] AS index_, xs[3] AS last_, array_to_string(list_append(xs, 9), ',') AS append_, array_to_string(list_filter(xs, lambda x: x <> 5), ',') AS remove_, CASE WHEN o_orderstatus = 'P' THEN 'part' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS set_key_,
+  o_totalprice AS measure_, 'USD' AS unit_, array_to_string(list_sort(list_filter([k, 5], lambda x: list_contains(xs, x))), ',') AS intersection_, o_totalprice * pow(1 + 0.1, 2.0) AS compound_
+FROM (SELECT *, (o_orderkey % 7)::INT AS k, [(o_orderkey % 7)::INT, 5, (o_custkey % 4)::INT] AS xs FROM orders)"""
+)
+def collection_typed_operators(spark, d):
+    f, k = typed.apply, (F.col("o_orderkey") % 7).cast("int")
+    xs, states = F.array(k, F.lit(5), (F.col("o_custkey") % 4).cast("int")), F.create_map(F.lit("F"), F.lit("done"), F.lit("O"), F.lit("open"))
+    told = lambda m: F.array_join(F.transform(F.sort_array(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    set_key = f("programming.SET_KEY", states, F.lit("P"), F.lit("part"))
+    quantity = F.struct(F.col("o_totalprice").alias("value"), F.lit("EUR").alias("unit"))
+    return _columns(
+        _t(spark, d, "orders"), "o_orderkey", contain_=f("core.CONTAIN", xs, F.lit(5)), lookup_=f("core.LOOKUP", F.col("o_orderstatus"), states), select_=f("core.SELECT", k == 0, F.lit("yes"), F.lit("no")), sort_=text(f("core.SORT", xs)), count_=f("core.COUNT", xs), compare_=f("core.COMPARE", k, F.lit(5)),
+        define_=f("core.DEFINE", F.col("o_orderpriority")), merge_=told(f("core.MERGE", states, F.when(k == 1, F.create_map(F.lit("F"), F.lit("new"))).otherwise(F.create_map(F.lit("F"), F.lit("done"))))), index_=f("programming.INDEX", xs, k % 3), last_=f("programming.INDEX", xs, F.lit(-1)),
+        append_=text(f("programming.APPEND", xs, F.lit(9))), remove_=text(f("programming.REMOVE", xs, F.lit(5))), set_key_=f("programming.LOOKUP_KEY", set_key, F.col("o_orderstatus")), measure_=f("physics.MEASURE", quantity), unit_=f("physics.CONVERT_UNITS", quantity, F.lit("USD"))["unit"],
+        intersection_=text(F.sort_array(f("math.INTERSECTION", F.array(k, F.lit(5)), xs))), compound_=f("finance.COMPUTE_COMPOUND_INTEREST", F.col("o_totalprice"), F.lit(0.1), F.lit(2.0), F.lit(12)),
+    )
+
+
+@query(
+    """SELECT c_custkey AS account, round(c_acctbal + coalesce(sum(CASE o_orderstatus WHEN 'F' THEN o_totalprice WHEN 'O' THEN -o_totalprice ELSE 0 END), 0), 2) AS balance, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal"""
+)
+def ledger_balances(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "deposit").when(F.col("o_orderstatus") == "O", "fee_debit").otherwise("transfer")
+    moved = _t(spark, d, "orders").select(F.col("o_custkey").alias("account"), kind.alias("type"), F.col("o_totalprice").alias("amount"))
+    out = domains.balances(_t(spark, d, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("balance")), moved)
+    return out.withColumn("balance", F.round("balance", 2))
+
+
+@query(
+    """WITH r AS (SELECT 'r' || p_partkey AS name, (p_partkey % 7)::INT AS rank, 1 + (p_partkey % 3) AS n, 'a' || p_partkey % 400 AS yes, 'a' || (p_partkey * 7 + 3) % 400 AS no FROM part),
+p AS (SELECT DISTINCT least(x.name, y.name) AS a, greatest(x.name, y.name) AS b FROM r x JOIN r y ON x.no = y.yes AND x.name <> y.name),
+q AS (SELECT a, b, CASE WHEN x.rank >= 5 THEN 999 ELSE x.rank END AS ra, CASE WHEN y.rank >= 5 THEN 999 ELSE y.rank END AS rb, x.n AS na, y.n AS nb FROM p JOIN r x ON a = x.name JOIN r y ON b = y.name)
+SELECT a, b, CASE WHEN ra <> rb THEN 'precedence' WHEN na <> nb THEN 'specificity' ELSE 'unresolved' END AS method, CASE WHEN ra < rb THEN a WHEN rb < ra THEN b WHEN na > nb THEN a WHEN nb > na THEN b END AS winner FROM q"""
+)
+def rule_contradictions(spark, d):
+    k = F.col("p_partkey")
+    levels = F.array(*map(F.lit, [*typed.RULE_LEVELS, "custom", "none"]))
+    act = lambda c: F.concat(F.lit("a"), c.cast("string"))
+    rules = _t(spark, d, "part").select(act(k).alias("_"), F.concat(F.lit("r"), k.cast("string")).alias("name"), F.element_at(levels, (k % 7 + 1).cast("int")).alias("level"), F.array_repeat(F.lit("if"), (k % 3).cast("int")).alias("conditions"), F.array(act(k % 400)).alias("obligations"), F.array(act((k * 7 + 3) % 400)).alias("prohibitions"))
+    rules = rules.drop("_").withColumn("conditions", F.when(F.size("conditions") > 0, F.slice("conditions", 1, F.size("conditions"))).otherwise(F.col("conditions")))
+    return domains.contradictions(rules)
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'very_high' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'very_low' END AS risk, round(p_retailprice / 1000 - CASE p_partkey % 5 WHEN 0 THEN 0.2 WHEN 1 THEN 0.01 WHEN 2 THEN 0.05 WHEN 3 THEN 0.1 ELSE 0.0 END, 9) AS adjusted,
+  round(p_retailprice * pow(1 + 0.12 / 4, 4 * 2.0), 6) AS compounded, round(p_retailprice * pow(1.05, 3), 6) AS advanced, round(p_retailprice * 0.05 * 2.0, 6) AS simple, true AS same FROM part"""
+)
+def asset_risk(spark, d):
+    k, p = F.col("p_partkey") % 5, F.col("p_retailprice")
+    asset = F.when(k == 0, "Crypto").when(k == 1, "index_fund").when(k == 2, "a painting").when(k == 3, "growth_stock").otherwise("treasury_bill")
+    risk = typed.asset_risk(asset)
+    return _t(spark, d, "part").select(
+        "p_partkey", risk.alias("risk"), F.round(typed.risk_adjusted(p / 1000, risk), 9).alias("adjusted"), F.round(typed.compound_interest(p, F.lit(0.12), F.lit(2.0), F.lit(4)), 6).alias("compounded"),
+        F.round(typed.advanced(p, F.lit(0.05), F.lit(3)), 6).alias("advanced"), F.round(typed.simple_interest(p, F.lit(0.05), F.lit(2.0)), 6).alias("simple"), typed.conserved(p, p + 1e-10).alias("same"),
+    )
+
+
+# Semantic chunks and books
+
+_STARTS = "^(?:therefore|however|because|since|thus|hence|moreover|furthermore|in addition|for example|for instance|as a result|consequently|nevertheless|specifically|that is|in other words|so |but |and |or |also |additionally|likewise|nonetheless|instead|otherwise|indeed|in fact|of course|naturally|meaning )"
+
+
+def _semantic(source: str) -> str:
+    return f"""WITH sent AS ({_sentences(source)}), w AS (SELECT *, lower(regexp_split_to_array(text, '\\s+')[1]) AS w1 FROM sent),
+m AS (SELECT *, CASE WHEN regexp_matches(lower(text), '^.+?\\s+(is|means|refers to|is defined as|is known as)\\s+') THEN regexp_replace(w1, '^[.,;:!?()]+|[.,;:!?()]+$', '', 'g') END AS subject,
+  NOT (regexp_replace(w1, '[.,;:!?()]+$', '') IN ('it', 'its', 'this', 'that', 'these', 'those', 'they', 'their', 'them', 'he', 'his', 'she', 'her', 'we', 'our', 'us', 'such', 'both', 'each', 'which') OR regexp_matches(lower(text), '{_STARTS}') OR ends_with(text, '?')) AS free FROM w),
+n AS (SELECT *, coalesce(last_value(CASE WHEN free THEN subject END IGNORE NULLS) OVER p, first_value(subject IGNORE NULLS) OVER p) AS now FROM m WINDOW p AS (PARTITION BY doc_id, para ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, (sum(CASE WHEN pos = 0 OR coalesce(free AND subject <> now, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY para, pos) - 1)::BIGINT AS grp FROM n),
+c AS (SELECT doc_id, para, grp, string_agg(text, ' ' ORDER BY pos) AS text FROM g GROUP BY ALL)
+SELECT doc_id, para, grp AS "group", text, 'semantic:para:' || para || ':group:' || grp AS location, 'chunk_' || substr(sha256('doc:' || doc_id || '::semantic::' || grp || '::' || lower({_strip("text")})), 1, 8) AS chunk_id FROM c WHERE length(text) >= 10"""
+
+
+@query(_semantic("documents"))
+def semantic_chunks(spark, d):
+    return chunking.semantic_chunks(_docs(spark, d))
+
+
+@query(f"WITH src AS ({_HEADED}) " + _semantic("src").replace("WITH sent AS", ", sent AS", 1))
+def semantic_chunks_star(spark, d):
+    return chunking.semantic_chunks(_headed(spark, d))
+
+
+#: Books of three chapters made from the nations: a glossary, paragraphs under headings, and a short chapter.
+_BOOK = """SELECT n_nationkey::BIGINT AS doc_id, concat('front matter
+Chapter 1: Terms of ', n_name, '
+', n_name, ' is a nation of the atlas.
+A port depends on ships and trade.
+
+A harbour is a place for ships.
+# Chapter Two
+lost line
+## Ports
+The ports of ', n_name, ' lie on a long coast and need repair.
+
+short
+## Trade
+Trade in ', n_name, ' goes by sea, by road and over the hills.
+SHORT END
+one last line of ', n_name, ' that is long enough to be kept.') AS text FROM nation"""
+
+
+def _book(spark, d):
+    x = F.col("n_name")
+    body = F.concat(
+        F.lit("front matter\nChapter 1: Terms of "), x, F.lit("\n"), x, F.lit(" is a nation of the atlas.\nA port depends on ships and trade.\n\nA harbour is a place for ships.\n# Chapter Two\nlost line\n## Ports\nThe ports of "), x,
+        F.lit(" lie on a long coast and need repair.\n\nshort\n## Trade\nTrade in "), x, F.lit(" goes by sea, by road and over the hills.\nSHORT END\none last line of "), x, F.lit(" that is long enough to be kept."),
+    )
+    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), body.alias("text"))
+
+
+def _chapters(source: str) -> str:
+    caps = "len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) BETWEEN 1 AND 5 AND t = upper(t) AND regexp_matches(t, '^[\\p{L} ]+$')"
+    return f"""l AS (SELECT doc_id, line - 1 AS line, text, rtrim(text) AS t FROM ({_LINES.format(source=source)})),
+h AS (SELECT *, CASE WHEN regexp_matches(t, '^(Chapter|CHAPTER)\\s+\\S+(\\s*[:.\\-]\\s*.*)?$') THEN t WHEN regexp_matches(t, '(?i)^#{{1,3}}\\s+chapter\\s+') THEN {_strip("regexp_replace(t, '^#{1,3}\\s+', '')")}
+  WHEN {caps} THEN array_to_string(list_transform(string_split(lower(t), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS title FROM l),
+k AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY line) AS k, count(title) OVER (PARTITION BY doc_id) AS every FROM h),
+g AS (SELECT doc_id, greatest(k - 1, 0) AS chapter, max(title) AS title, min(line)::INT AS start_line, max(line)::INT AS end_line, {_strip("coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE title IS NULL), '')")} AS text FROM k WHERE k > 0 OR every = 0 GROUP BY doc_id, k),
+chapter AS (SELECT g.doc_id, chapter, 'chap_' || substr(sha256(substr(sha256('doc:' || g.doc_id || '::' || octet_length(encode(b.text)) || '::' || b.text[:1000]), 1, 16) || '::chapter::' || chapter || '::' || coalesce(title, '')), 1, 12) AS chapter_id, title, start_line, end_line, g.text FROM g JOIN {source} b ON b.doc_id = g.doc_id)"""
+
+
+@query(f"WITH {_chapters('documents')} SELECT * FROM chapter")
+def book_chapters(spark, d):
+    return chunking.chapters(_docs(spark, d))
+
+
+@query(f"WITH src AS ({_BOOK}), {_chapters('src')} SELECT * FROM chapter")
+def book_chapters_star(spark, d):
+    return chunking.chapters(_book(spark, d))
+
+
+@query(
+    f"""WITH books AS ({_BOOK}), {_chapters('books')}, cl AS (SELECT doc_id, chapter_id, unnest(range(0, len(x))) AS position, unnest(x) AS raw FROM (SELECT *, string_split(text, chr(10)) AS x FROM chapter)), ct AS (SELECT *, {_strip("raw")} AS t FROM cl),
+gl AS (SELECT chapter_id FROM ct WHERE t <> '' GROUP BY chapter_id HAVING count(*) FILTER ({_IS_LINE.format(x="t")}) >= 3 AND count(*) FILTER ({_IS_LINE.format(x="t")}) * 2 >= count(*) AND avg(length(t)) <= 120 AND count(*) FILTER (regexp_matches(t, '(?i)^.{{1,60}} (is|depends on) ')) >= 2),
+src AS (SELECT chapter_id AS doc_id, text FROM chapter WHERE chapter_id NOT IN (SELECT chapter_id FROM gl)), {_ALL_SECTIONS.replace("h AS (", "sh AS (").replace("FROM h)", "FROM sh)").replace("s AS (SELECT *, count", "ss AS (SELECT *, count").replace("FROM s WHERE k", "FROM ss WHERE k").replace(" g AS (", " sg AS (").replace("\ng AS (", "\nsg AS (").replace("FROM g)", "FROM sg)")},
+pp AS (SELECT doc_id AS chapter_id, section_id, unnest(range(0, len(x))) AS para, unnest(x) AS raw FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS x FROM sec)), pq AS (SELECT chapter_id, para, {_strip("raw")} AS text, 'section:' || section_id || ':para:' || para AS location FROM pp)
+SELECT doc_id, chapter_id, 'glossary' AS mode, position::INT AS position, t AS text, 'chapter:' || chapter_id || ':line:' || position AS location, 'chunk_' || substr(sha256('doc:' || doc_id || '::book_glossary::' || position || '::' || lower(t)), 1, 8) AS chunk_id
+FROM ct WHERE chapter_id IN (SELECT chapter_id FROM gl) AND {_IS_LINE.format(x="t")}
+UNION ALL SELECT c.doc_id, chapter_id, 'paragraph', para::INT, pq.text, location, 'chunk_' || substr(sha256('doc:' || c.doc_id || '::document_structured::' || location || '::' || lower(pq.text)), 1, 8) FROM pq JOIN chapter c USING (chapter_id) WHERE length(pq.text) >= 40"""
+)
+def book_chunks(spark, d):
+    return chunking.book_chunks(_book(spark, d))
+
+
+# Graph maintenance, definitions and datasets
+
+
+@query(
+    """WITH old AS (SELECT 'c' || o_custkey AS src, 's' || o_orderstatus AS dst, 'has' AS relation, 0.75::DOUBLE AS salience, min(o_orderkey) AS step, 't' || o_custkey % 3 AS id FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+new AS (SELECT 'c' || o_custkey AS src, 's' || o_orderstatus AS dst, 'has' AS relation, 0.5::DOUBLE AS salience, min(o_orderkey) AS step, 't' || o_custkey % 3 AS id FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL
+  UNION ALL SELECT 'c' || o_custkey, 's' || o_orderstatus, 'has', 0.5, min(o_orderkey), 'u' || o_custkey % 5 FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 1 GROUP BY ALL),
+one AS (SELECT src, dst, relation, id, arg_min(step, k * 1000000000000 + step) AS step, min(k) AS k, arg_min(salience, k) AS salience FROM (SELECT *, 0 AS k FROM old UNION ALL SELECT *, 1 FROM new) GROUP BY ALL)
+SELECT src, dst, relation, arg_min(salience, k) AS salience, min(k) = 1 AS is_new, count(*) AS n_traces, arg_min(id, struct_pack(step := step, id := id)) AS first_trace FROM one GROUP BY src, dst, relation"""
+)
+def graph_insert(spark, d):
+    k = F.col("o_orderkey")
+    own = lambda rows, salience, *ids: rows.groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("step"), F.min(F.when(k % 3 == 1, k)).alias("more")).select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), "o_orderstatus").alias("dst"), F.lit("has").alias("relation"), F.lit(salience).alias("salience"),
+        F.map_from_entries(F.filter(F.array(F.struct(F.concat(F.lit("t"), (F.col("o_custkey") % 3).cast("string")).alias("id"), "step"), *ids), lambda e: e["step"].isNotNull())).alias("trace_ids"),
+    )
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    second = F.struct(F.concat(F.lit("u"), (F.col("o_custkey") % 5).cast("string")).alias("id"), F.col("more").alias("step"))
+    return graph.insert_edges(own(orders.filter(k % 2 == 0), 0.75), own(orders.filter(k % 2 == 1), 0.5, second))
+
+
+@query(
+    """WITH said AS (SELECT n_name AS term, 'region ' || r_name AS definition, 'atlas' AS source_id, 0.8::DOUBLE AS confidence, n_nationkey AS step FROM nation JOIN region ON n_regionkey = r_regionkey),
+node AS (SELECT 'd' || c_custkey AS id, n_name AS term, 'home of ' || c_custkey AS definition, (c_custkey % 10) / 10.0::DOUBLE AS confidence, 1.0::DOUBLE AS salience, c_custkey AS step, c_custkey % 3 AS p FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < 20),
+cand AS (SELECT lower(term) AS k, definition, confidence, 1.0 AS salience, step, NULL AS id, 0 AS p FROM said UNION ALL SELECT lower(term), definition, confidence, salience, step, id, p FROM node),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, salience DESC, step DESC, coalesce(id, '')) AS rn, count(*) OVER (PARTITION BY k) AS n, sum(p) OVER (PARTITION BY k) AS total FROM cand), asked AS (SELECT n_name || '!' AS term FROM nation UNION SELECT 'no ' || r_name FROM region)
+SELECT term, k IS NOT NULL AS hit, definition, id AS node_id, coalesce(confidence, 0.0) AS confidence, coalesce(n, 0) AS n_candidates, coalesce(total, 0)::BIGINT AS n_provenance FROM asked LEFT JOIN (SELECT * FROM r WHERE rn = 1) ON k = lower(replace(term, '!', ''))"""
+)
+def definition_ranking(spark, d):
+    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    once = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("term"), F.concat(F.lit("region "), "r_name").alias("definition"), F.lit("atlas").alias("source_id"), F.lit(0.8).alias("confidence"), F.col("n_nationkey").cast("long").alias("step"), F.col("n_nationkey").cast("long").alias("seq"))
+    again = once.select(F.upper("term").alias("term"), F.lit("later").alias("definition"), "source_id", F.lit(0.9).alias("confidence"), "step", (F.col("seq") + 100).alias("seq"))
+    registered = graph_queries.registered_definitions(once.unionByName(again)).withColumn("node_id", F.lit(None).cast("string"))
+    k = F.col("c_custkey")
+    nodes = _t(spark, d, "customer").filter("c_nationkey < 20").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = nodes.select(F.concat(F.lit("d"), k.cast("string")).alias("id"), F.col("n_name").alias("term"), F.concat(F.lit("home of "), k.cast("string")).alias("definition"), ((k % 10) / 10.0).alias("confidence"), F.lit(1.0).alias("salience"), k.cast("long").alias("step"), (k % 3).cast("long").alias("n_provenance"))
+    asked = nation.select(F.concat("n_name", F.lit("!")).alias("term")).unionByName(region.select(F.concat(F.lit("no "), "r_name").alias("term")))
+    return graph_queries.ranked_definitions(asked, registered, nodes)
+
+
+@query(
+    """SELECT o_orderkey, '[source: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'o' || o_orderkey || '.txt' ELSE 'order:' || o_orderkey END || CASE WHEN o_orderkey % 2 = 0 THEN ' | chunk: c' || o_orderkey ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN ' | loc: line:' || o_orderkey ELSE '' END || ' | conf: ' || printf('%.2f', (o_orderkey % 100) / 100.0::DOUBLE) || ']' AS line,
+  array_to_string(list_filter([CASE WHEN o_orderkey % 4 = 0 THEN 'source_id' END, CASE WHEN o_orderkey % 5 = 1 THEN 'source_type' END, CASE WHEN o_orderkey % 10 = 7 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS faults,
+  CASE WHEN o_orderkey % 3 = 1 THEN 'conflict' WHEN o_orderkey % 2 = 0 THEN 'known' ELSE 'merged' END AS outcome FROM orders"""
+)
+def provenance_checks(spark, d):
+    k = F.col("o_orderkey")
+    s = lambda prefix, suffix="": F.concat(F.lit(prefix), k.cast("string"), F.lit(suffix))
+    conf = (k % 100) / 100.0
+    line = graph_queries.provenance_line(F.when(k % 3 == 0, s("/a/b/o", ".txt")), s("order:"), F.when(k % 2 == 0, s("c")), F.when(k % 5 == 0, s("line:")), conf)
+    faults = graph.provenance_faults(F.when(k % 4 != 0, s("order:")), F.when(k % 5 == 1, "rumour").otherwise("document"), F.lit("m"), F.when(k % 10 == 7, F.lit(1.5)).otherwise(conf), s("t"), k)
+    outcome = graph.merge_outcome(F.lit("x"), F.array(F.lit("t0")), F.when(k % 3 == 1, "y").otherwise("x"), F.when(k % 2 == 0, "t0").otherwise("t1"))
+    return _t(spark, d, "orders").select("o_orderkey", line.alias("line"), F.array_join(faults, ",").alias("faults"), outcome.alias("outcome"))
+
+
+@query(
+    """WITH v AS (SELECT 'set' || c_nationkey AS name, 'v' || c_custkey % 3 AS version, CASE WHEN c_nationkey % 4 = 0 THEN c_mktsegment ELSE 'same' END AS content, c_custkey AS seq FROM customer), p AS (SELECT name, version, arg_min(content, seq) AS content, min(seq) AS first, count(DISTINCT content) > 1 AS conflict FROM v GROUP BY ALL)
+SELECT name, version, content, first = max(first) OVER (PARTITION BY name) AS is_latest, conflict FROM p"""
+)
+def dataset_registry(spark, d):
+    c = _t(spark, d, "customer")
+    return graph_queries.registry(c.select(F.concat(F.lit("set"), F.col("c_nationkey").cast("string")).alias("name"), F.concat(F.lit("v"), (F.col("c_custkey") % 3).cast("string")).alias("version"), F.when(F.col("c_nationkey") % 4 == 0, F.col("c_mktsegment")).otherwise("same").alias("content"), F.col("c_custkey").alias("seq")))
+
+
+@query(
+    f"""WITH {_ASKED} SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'version must be non-empty' END, CASE WHEN c_custkey % 3 = 0 THEN 'records must be a dict' END, CASE WHEN c_custkey % 5 = 0 THEN 'value_type is not a valid SemanticType' END], lambda x: x IS NOT NULL), '; ') AS faults,
+  (SELECT count(*) FROM asked WHERE lower(trim(key)) IN (SELECT lower(trim(n_name)) FROM nation)) AS n_known FROM customer"""
+)
+def dataset_checks(spark, d):
+    k = F.col("c_custkey")
+    faults = graph_queries.dataset_faults(F.col("c_mktsegment"), F.when(k % 2 == 0, "").otherwise("1"), F.lit("atlas"), F.when(k % 3 == 0, "[1]").otherwise('{"a": 1}'), F.lit("Entity"), F.when(k % 5 == 0, "Thing").otherwise("Entity"))
+    known = graph_queries.contains(_asked(spark, d), _t(spark, d, "nation").select(F.col("n_name").alias("key"))).agg(F.count(F.lit(1)).alias("n_known"))
+    return _t(spark, d, "customer").select("c_custkey", F.array_join(faults, "; ").alias("faults")).crossJoin(F.broadcast(known))  # one row
+
+
+@query(
+    """WITH RECURSIVE b AS (SELECT date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) + 1 AS step, event_id AS graph, 'u' || user_id AS leaf, event_type AS root FROM events),
+said AS (SELECT step, graph, root AS node, true AS is_root FROM b UNION ALL SELECT step, graph, leaf, false FROM b), nth AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY step, graph, is_root DESC) AS i FROM said),
+e AS (SELECT node, step, sum(CASE WHEN i = 1 THEN CASE WHEN is_root THEN 1.0 ELSE 0.8 END WHEN is_root THEN 0.5 ELSE 0.25 END)::DOUBLE AS amount, count(*) AS c FROM nth GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY step) AS i FROM e), last AS (SELECT max(step) AS last FROM e),
+f AS (SELECT node, i, step, greatest(0.01, amount * 0.95)::DOUBLE AS s FROM k WHERE i = 1 UNION ALL SELECT k.node, k.i, k.step, greatest(0.01, (greatest(0.01, f.s * pow(0.95, k.step - f.step - 1)) + k.amount) * 0.95)::DOUBLE FROM f JOIN k ON k.node = f.node AND k.i = f.i + 1)
+SELECT node, round(greatest(0.01, arg_max(s, i) * pow(0.95, (SELECT last FROM last) - max(step))), 9) AS salience, (SELECT sum(c) FROM e WHERE e.node = f.node)::BIGINT AS n FROM f GROUP BY node"""
+)
+def execution_import(spark, d):
+    ev = _t(spark, d, "events")
+    span = ev.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).first()
+    step = (F.datediff(F.to_date("ts"), F.lit(span["a"])) + 1).cast("long")
+    rows = ev.select(step.alias("step"), F.col("event_id").alias("graph"), F.explode(F.array(F.struct(F.col("event_type").alias("node"), F.lit("State").alias("type"), F.lit(True).alias("is_root")), F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node"), F.lit("Entity").alias("type"), F.lit(False).alias("is_root")), F.struct(F.lit("k").alias("node"), F.lit("Constraint").alias("type"), F.lit(False).alias("is_root")))).alias("x"))
+    return graph.imported(rows.select("step", "graph", "x.node", "x.type", "x.is_root"), (span["b"] - span["a"]).days + 1)
+
+
+# Adaptation
+
+
+@query("SELECT signature, count(*) AS frequency, 1 - 1 / count(*)::DOUBLE AS ratio FROM (SELECT l_returnflag || l_linestatus || l_quantity::INT AS signature FROM lineitem) GROUP BY signature HAVING count(*) >= 3")
+def encoding_discovery(spark, d):
+    return adaptation.frequent_encodings(_t(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("signature")))
+
+
+@query("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'deterministic' END, CASE WHEN o_orderkey % 3 = 0 THEN 'lossless_unless_declared' END, CASE WHEN o_orderkey % 5 = 0 THEN 'improves_cost' END, CASE WHEN o_orderkey % 7 = 0 THEN 'versioned' END, CASE WHEN o_orderkey % 11 = 0 THEN 'passes_benchmarks' END], lambda x: x IS NOT NULL), ',') AS faults FROM orders")
+def candidate_checks(spark, d):
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select("o_orderkey", F.array_join(adaptation.candidate_faults(k % 2 != 0, k % 3 != 0, k % 5 != 0, F.when(k % 7 != 0, "1.0"), k % 11 != 0), ",").alias("faults"))
+
+
+@query(
+    """WITH m AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS new FROM events)
+SELECT user_id AS trace, string_agg(event_type, ' → ' ORDER BY event_id) FILTER (new) AS stages, (SELECT string_agg(event_type || '=' || v, ',' ORDER BY event_type) FROM (SELECT event_type, arg_max(event_id, event_id) AS v FROM events e WHERE e.user_id = m.user_id GROUP BY event_type)) AS last_of FROM m GROUP BY user_id"""
+)
+def replay_traces(spark, d):
+    ev = _t(spark, d, "events").select(F.col("user_id").alias("trace"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.col("event_id").cast("string").alias("payload"))
+    return adaptation.replayed(ev).withColumn("last_of", F.array_join(F.transform(F.map_entries("last_of"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+# Routing of all rules, slots, tags and typed values
+
+#: A question for each slot and most rules, with its expected rule; {} is a nation. Written out by hand.
+_MORE_ASKS = (
+    ("Calculate acceleration from force {} and mass 2 kg", "physics.compute_acceleration"), ("velocity after 5 s for {}", "physics.update_velocity"), ("withdraw 20 from {}", "fin.withdraw"), ("compound interest on 1000 at 5 rate 7 {}", "fin.compound_interest"), ("Is {} allowed under law 7", "legal.check_permission.allowed"),
+    ("May {} act if it is illegal and must stop", "legal.check_prohibition.illegal"), ("differentiate {} with respect to x", "math.derive"), ("level of {}", "bio.measure_level"), ("find first odd in {}", "prog.find_first"), ("define {}", "discourse.def.define"), ("what influences {}", "para.rel.what_influences"),
+    ("full dependencies of {}", "para.mh.full_dependencies"), ("population of {}", "geo.population_of"), ("compliant compliance of case {}", "legal.validate_compliance"), ("collision of {} and Peru", "physics.detect_collision"), ("apply rule {}", "legal.apply_rule"), ("xyzzy {}", None),
+)
+
+
+def _more_questions(spark, d):
+    n = _t(spark, d, "nation").select("n_nationkey", F.initcap(F.lower("n_name")).alias("x"))
+    rows = F.array(*[F.struct(F.lit(i).alias("ask"), F.concat(F.lit(q.split("{}")[0]), F.col("x"), F.lit(q.split("{}")[1])).alias("text")) for i, (q, _) in enumerate(_MORE_ASKS)])
+    return n.select("n_nationkey", F.explode(rows).alias("q")).select("n_nationkey", "q.ask", "q.text")
+
+
+_MORE_QUESTIONS = "asks AS (SELECT n_nationkey, ask::INT AS ask, replace(q, '{}', array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')) AS text, rule FROM nation, (VALUES " + ", ".join(f"({i}, '{q}', {'NULL' if r is None else repr(r)})" for i, (q, r) in enumerate(_MORE_ASKS)) + ") v(ask, q, rule))"
+_X = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query(
+    f"""WITH {_MORE_QUESTIONS}, x AS (SELECT n_nationkey, {_X} AS x FROM nation)
+SELECT n_nationkey, ask, rule, CASE WHEN rule IS NULL THEN 0.0 ELSE round(1.3 + CASE ask WHEN 0 THEN 0.110 WHEN 1 THEN 0.085 WHEN 2 THEN 0.1 WHEN 3 THEN 0.11 WHEN 4 THEN 0.1 WHEN 5 THEN 0.105 WHEN 6 THEN 0.095 WHEN 7 THEN 0.085 WHEN 8 THEN 0.105 WHEN 9 THEN 0.2 WHEN 10 THEN 0.19 WHEN 11 THEN 0.195 WHEN 12 THEN 0.09 WHEN 13 THEN 0.1 WHEN 14 THEN 0.09 WHEN 15 THEN 0.09 END, 6) END::DOUBLE AS confidence,
+  CASE WHEN ask = 0 THEN x END AS force, CASE WHEN ask = 0 THEN '2 kg' END AS mass, CASE ask WHEN 1 THEN '5 s for ' || x END AS time, CASE WHEN ask = 8 THEN 'odd' END AS predicate, CASE WHEN ask = 8 THEN x END AS collection,
+  CASE ask WHEN 2 THEN x WHEN 0 THEN 'force ' || x || ' and mass 2 kg' END AS account, CASE ask WHEN 2 THEN '20' WHEN 0 THEN '2' WHEN 1 THEN '5' WHEN 3 THEN '1000' WHEN 4 THEN '7' END AS amount, CASE WHEN ask = 3 THEN '7' END AS rate,
+  CASE WHEN ask = 4 THEN '7' WHEN ask = 15 THEN x END AS rule_slot, CASE WHEN ask = 5 THEN x || ' act if it is illegal and must stop' END AS action, '3' AS max_depth FROM asks JOIN x USING (n_nationkey)"""
+)
+def route_slots(spark, d):
+    out = routing.route(_more_questions(spark, d), more=True)
+    slot = lambda name: F.col(f"slot_{name}")
+    return out.select("n_nationkey", "ask", "rule", F.round("confidence", 6).alias("confidence"), slot("force").alias("force"), slot("mass").alias("mass"), slot("time").alias("time"), slot("predicate").alias("predicate"), slot("collection").alias("collection"), slot("account").alias("account"), "amount", slot("rate").alias("rate"), slot("rule").alias("rule_slot"), slot("action").alias("action"), slot("max_depth").alias("max_depth"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:''[\\p{L}\\p{N}_]+)?|[^\\p{L}\\p{N}_\\s]') AS t FROM conversations),
+k AS (SELECT conv_id, turn, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^([0-9][0-9_]*)$') OR lower(x) IN ('inf', 'infinity', 'nan') THEN 'N' WHEN regexp_matches(replace(x, chr(39), ''), '^\\p{L}+$') THEN 'W' WHEN x IN ('.', ',', ':', ';', '!', '?', '(', ')', '[', ']', '{', '}', '"', chr(39), '-') THEN 'P' ELSE 'S' END) AS k FROM t)
+SELECT conv_id, turn, len(list_filter(k, lambda x: x = 'W'))::INT AS words, len(list_filter(k, lambda x: x = 'P'))::INT AS punct, len(k)::INT AS n FROM k"""
+)
+def lexer_tags(spark, d):
+    tags = routing.tagged(F.regexp_extract_all("text", F.lit(routing.TOKEN), F.lit(0)))
+    n = lambda kind: F.size(F.filter("k", lambda x: x == kind))
+    return _t(spark, d, "conversations").withColumn("k", tags).select("conv_id", "turn", n("WORD").alias("words"), n("PUNCT").alias("punct"), F.size("k").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, 'quantity' AS force_kind, p_size::DOUBLE AS force_number, 'm/s²' AS force_unit, 'constraint' AS rate_kind, p_size / 100.0::DOUBLE AS rate_number, 'number' AS amount_kind, 1000.0 * p_size AS amount_number, 'list' AS list_kind, p_size || '|x' AS items, 'text' AS text_kind, 'unknown' AS bare_unit FROM part"""
+)
+def hydrate_slots(spark, d):
+    n = F.col("p_size").cast("string")
+    h = lambda domain, slot, v: routing.hydrated(F.lit(domain), F.lit(slot), v)
+    force, rate, amount = h("physics", "force", F.concat(n, F.lit(" m/s²"))), h("finance", "rate", F.concat(n, F.lit("%"))), h("finance", "amount", F.concat(n, F.lit(",000")))
+    items, text, bare = h("programming", "collection", F.concat(F.lit("["), n, F.lit(", 'x']"))), h("math", "expression", F.concat(n, F.lit(" + x"))), h("physics", "mass", n)
+    return _t(spark, d, "part").select(
+        "p_partkey", force["kind"].alias("force_kind"), force["number"].alias("force_number"), force["unit"].alias("force_unit"), rate["kind"].alias("rate_kind"), rate["number"].alias("rate_number"), amount["kind"].alias("amount_kind"), amount["number"].alias("amount_number"),
+        items["kind"].alias("list_kind"), F.array_join(items["items"], "|").alias("items"), text["kind"].alias("text_kind"), bare["unit"].alias("bare_unit"),
+    )
+
+
+@query(
+    f"""WITH chunk AS (SELECT doc_id, t AS text FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip("x")}), lambda x: x <> '')) AS t FROM documents) WHERE length(t) >= 40), rel AS ({_relationships("chunk")})
+SELECT (SELECT count(*) FROM chunk) AS chunks, (SELECT count(*) FROM ({_definitions("chunk")})) AS definitions, (SELECT count(*) FROM ({_CLAIMS.replace("FROM documents", "FROM chunk")})) AS claims, (SELECT count(*) FROM rel) AS triples, (SELECT count(*) FROM (SELECT DISTINCT src, dst, relation FROM rel)) AS edges"""
+)
+def ingest_totals(spark, d):
+    parts = ingest.ingested(_docs(spark, d))
+    totals = None
+    for name in ("chunks", "definitions", "claims", "triples", "edges"):
+        n = parts[name].agg(F.count(F.lit(1)).alias(name))
+        totals = n if totals is None else totals.crossJoin(F.broadcast(n))  # one row each
+    return totals
