@@ -11,10 +11,12 @@ row each the retrieval probability is 1 - 0.6^32 > 0.9999999.
 Most documents have no license at all. Cue words are derived from the templates so that of every template fewer than 0.8 of the
 shingles are without a cue: a text without any cue cannot match, and neither can a window without one. So only documents, and
 in them windows, with a cue are hashed; nothing that could match is skipped. Templates with their bands are broadcast; their
-number is checked (`most_templates`), it does not grow with the data.
+number is checked (`most_templates`), it does not grow with the data. Long texts are cut into segments that overlap by the longest
+window, so that time and memory follow a text's length.
 
-Defined cases: null and empty texts, and texts of fewer than five words, match nothing; rows that repeat a key are one
-document, which has the licenses of all its texts; an empty table gives an empty result; other columns are not read.
+Defined cases: null and empty texts, and texts of fewer than five words, match nothing; very long texts are scanned whole; rows
+that repeat a key, or have none, are one document, which has the licenses of all its texts; of windows that match equally well
+the first is told; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
+#: Words of a segment of a long text.
+SEGMENT = 512
 
 #: Public license texts and notices, by SPDX name where there is one. Fixed values.
 TEMPLATES = (
@@ -109,16 +113,21 @@ def license_matches(df: DataFrame, key: str = "doc_id", text: str = "text", temp
     cues = cue_words(templates, share)
     found = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike("(?i)" + "|".join(cues)))
     found = found.select("key", _words(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
-    cue_list = F.array(*map(F.lit, cues))
-    # Positions of cues (from 0); only these are looked at below.
-    found = found.withColumn("at", F.filter(F.transform(F.col("words"), lambda w, i: F.when(F.array_contains(cue_list, w), i)), lambda i: i.isNotNull())).filter(F.size("at") > 0)
     classes = sorted({width_class(len(words_of(t))) for _, t in templates})
+    most = max(w + max(1, w // 4) for w in classes)
+    # Cut into segments first: what follows copies a segment per window, not the text. A segment has the windows that start in it.
+    cut = F.transform(F.sequence(F.lit(0), ((F.size("words") - 1) / SEGMENT).cast("int")), lambda i: F.struct((i * SEGMENT).alias("base"), F.slice("words", i * SEGMENT + 1, SEGMENT + most).alias("words")))
+    found = found.select("key", F.explode(cut).alias("s")).select("key", "s.base", "s.words")
+    cue_list = F.array(*map(F.lit, cues))
+    # Positions of cues (from 0, in the text); only these are looked at below.
+    found = found.withColumn("at", F.filter(F.transform(F.col("words"), lambda w, i: F.when(F.array_contains(cue_list, w), i + F.col("base"))), lambda i: i.isNotNull())).filter(F.size("at") > 0)
     found = found.withColumn("width", F.explode(F.array(*map(F.lit, classes))))
     found = found.withColumn("step", F.greatest(F.lit(1), (F.col("width") / 4).cast("int"))).withColumn("long", F.col("width") + F.col("step"))
-    first = lambda p: F.greatest(F.lit(0), F.ceil((p - F.col("long") + 1) / F.col("step")).cast("int"))
-    window = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda p: F.sequence(first(p), F.floor(p / F.col("step")).cast("int")))))
+    first = lambda p: F.greatest(F.ceil(F.col("base") / F.col("step")), F.ceil((p - F.col("long") + 1) / F.col("step"))).cast("int")
+    last = lambda p: F.floor(F.least(p, F.col("base") + SEGMENT - 1) / F.col("step")).cast("int")
+    window = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array().cast("array<int>")))))
     found = found.withColumn("window", F.explode(window)).withColumn("start_word", (F.col("window") * F.col("step")).cast("long"))
-    found = found.select("key", "width", "start_word", _shingles(F.slice("words", (F.col("start_word") + 1).cast("int"), F.col("long"))).alias("shingles")).filter(F.size("shingles") > 0)
+    found = found.select("key", "width", "start_word", _shingles(F.slice("words", (F.col("start_word") - F.col("base") + 1).cast("int"), F.col("long"))).alias("shingles")).filter(F.size("shingles") > 0)
     banded = found.select("key", "width", "start_word", "shingles", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "value"))
     hit = banded.join(F.broadcast(template_table(spark, templates, bands)), ["width", "band", "value"])
     hit = hit.withColumn("containment", F.size(F.array_intersect("shingles", "template_shingles")) / F.size("template_shingles")).filter(F.col("containment") >= share)

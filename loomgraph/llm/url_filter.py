@@ -11,7 +11,7 @@ is what follows the first `://` up to `/`, `?`, `#` or the end, the path what fo
 URL or one without `://` has both empty. Zero bytes of the URL are read as spaces, so a glob's separator is unambiguous.
 
 Verdict: the longest site rule (host suffix on a label border, path prefix) that fits decides; without one, the URL is
-blocked if a junk glob fits and allowed otherwise. Defined cases: null, empty and very long URLs, repeated rows (one row
+blocked if a junk glob fits and allowed otherwise. Defined cases: null and empty URLs, URLs of any length (a step per byte of the longest in a batch: seconds a megabyte), rows without a key, repeated rows (one row
 out per row in) and empty tables; columns other than those named pass through untouched in `judge_urls`.
 """
 
