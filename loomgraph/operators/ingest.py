@@ -46,7 +46,7 @@ def file_report(spark: SparkSession, paths: list[str], how: Ingestion = Ingestio
         names = [r["path"] for r in files.select("path").orderBy("path").limit(first).collect()]  # as many as were asked for
         files = files.filter(F.col("path").isin(names))
     text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.col("content").cast("string"))
-    told = files.select("path", text.alias("text")).withColumn("error", F.when(F.col("text").isNull(), "not UTF-8").when(F.trim("text") == "", "empty"))
+    told = files.select("path", text.alias("text")).withColumn("error", F.when(F.col("text").isNull(), "not UTF-8").when(~F.col("text").rlike(r"\S"), "empty"))
     docs = written(told, "files")
     parts = ingested(docs.filter("error is null").select(F.col("path").alias("doc_id"), "text"), how)
     out = docs.select("path", F.col("error").isNull().alias("success"), "error")

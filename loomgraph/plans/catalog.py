@@ -750,7 +750,7 @@ def record_operators(spark, d):
 @query(
     """SELECT o_orderkey, list_contains(xs, 5) AS contain_, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS lookup_, CASE WHEN k = 0 THEN 'yes' ELSE 'no' END AS select_, array_to_string(list_sort(xs), ',') AS sort_, 3 AS count_, k = 5 AS compare_, o_orderpriority AS define_,
   'F=' || CASE WHEN k = 1 THEN 'new' ELSE 'done' END || ',O=open' AS merge_, xs[k % 3 + 1] AS index_, xs[3] AS last_, array_to_string(list_append(xs, 9), ',') AS append_, array_to_string(list_filter(xs, lambda x: x <> 5), ',') AS remove_, CASE WHEN o_orderstatus = 'P' THEN 'part' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS set_key_,
-  o_totalprice AS measure_, 'USD' AS unit_, array_to_string(list_sort(list_filter([k, 5], lambda x: list_contains(xs, x))), ',') AS intersection_, o_totalprice * pow(1 + 0.1, 2.0) AS compound_
+  o_totalprice AS measure_, 'USD' AS unit_, array_to_string(list_sort(list_distinct(list_filter([k, 5], lambda x: list_contains(xs, x)))), ',') AS intersection_, o_totalprice * pow(1 + 0.1, 2.0) AS compound_
 FROM (SELECT *, (o_orderkey % 7)::INT AS k, [(o_orderkey % 7)::INT, 5, (o_custkey % 4)::INT] AS xs FROM orders)"""
 )
 def collection_typed_operators(spark, d):
