@@ -266,10 +266,10 @@ def labelled_sets(df: DataFrame, key: str, text: str, rule: JoinRule) -> tuple[D
     signed = materialize(texts.mapInArrow(_signed(rule, rarity), _SIGNED), "ngram-prefixes")
 
     postings = signed.select("node", "id", "n", F.explode("p1").alias("token"))
-    leaders = postings.groupBy("token").agg(F.min_by("node", "id").alias("leader"), F.min_by("n", "id").alias("leader_n"), F.min("node").alias("_first"), F.max("node").alias("_last"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_rows"))
-    leaders = leaders.filter("_first < _last").filter((F.col("_rows") > 2) | (F.col("_least") * 100 >= F.col("_most") * rule.percent))  # two sets of unlike size are no pair
+    leaders = postings.groupBy("token").agg(F.min_by("node", "id").alias("leader"), F.min_by("n", "id").alias("leader_n"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_rows"))
+    leaders = leaders.filter("_rows > 1").filter((F.col("_rows") > 2) | (F.col("_least") * 100 >= F.col("_most") * rule.percent))  # two sets of unlike size are no pair
     leaders = materialize(leaders.select("token", "leader", "leader_n"), "ngram-leaders")
-    shared = materialize(postings.drop("id").join(small(leaders), "token").filter("node <> leader"), "ngram-postings")
+    shared = materialize(postings.drop("id").join(leaders, "token").filter("node <> leader"), "ngram-postings")  # shuffled at every size
     discard(leaders)
     star = shared.filter((F.col("n") * 100 >= F.col("leader_n") * rule.percent) & (F.col("leader_n") * 100 >= F.col("n") * rule.percent))
     pairs = materialize(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "ngram-star-pairs")
