@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only word separators of these operators: \x20 and \x09-\x0D.
@@ -94,6 +94,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_ranges(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """df range-partitioned and sorted on keys, as a written table; `_pid` numbers the ranges, `_at` rises within each."""
+    placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return materialize(placed.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), name)
+
+
+def before(order: str, *groups: str) -> WindowSpec:
+    """All earlier rows of the groups."""
+    return Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def placed_by(df: DataFrame, group: str, order: list[str | Column], name: str, sums: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """df in ranges of (group with nulls last, order), and its starts: a row for each group and range that has it.
+
+    A start has `_g`, `_p`, the number of rows of the group in earlier ranges as `_before`, its first place as `_first`, and sums.
+    """
+    placed = in_ranges(df, [F.col(group).asc_nulls_last(), *[F.col(c) if isinstance(c, str) else c for c in order]], name)
+    starts = placed.groupBy(group, "_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in sums])
+    starts = starts.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before("_pid", group)), F.lit(0)).alias("_before"), *sums)
+    return placed, materialize(starts, f"{name}-starts")
+
+
+def with_rank(placed: DataFrame, starts: DataFrame, group: str) -> DataFrame:
+    starts = small(starts.select("_g", "_p", "_first", "_before"))
+    out = placed.join(starts, placed[group].eqNullSafe(starts["_g"]) & (placed["_pid"] == starts["_p"]))
+    return out.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_pid", "_at", "_g", "_p", "_first", "_before")
+
+
 def ranked(df: DataFrame, group: str, order: list[str | Column], name: str) -> DataFrame:
     """Add `rank` (from 1) of each row within its group, without bringing a group into one task.
 
@@ -101,17 +129,20 @@ def ranked(df: DataFrame, group: str, order: list[str | Column], name: str) -> D
     comes from the sorted order and only per-partition group starts (a few rows a partition) go through a window.
     Rows equal in group and order are interchangeable. Null groups form a group of their own.
     """
-    spark = df.sparkSession
-    keys = [F.col(group), *[F.col(c) if isinstance(c, str) else c for c in order]]
-    placed = df.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
-    placed = placed.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    placed = materialize(placed, name)
-    starts = placed.groupBy(group, "_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    starts = small(materialize(starts, f"{name}-starts"))  # a row for each group and partition that has it
-    out = placed.join(starts, placed[group].eqNullSafe(starts["_g"]) & (placed["_pid"] == starts["_p"]))
-    return out.withColumn("rank", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_pid", "_at", "_g", "_p", "_first", "_before")
+    return with_rank(*placed_by(df, group, order, name), group)
+
+
+def sums_before(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """Add `<column>_before` for each of sums: its total over the rows that come earlier in the order (0 for the first).
+
+    The order must tell all rows apart, so that no range is hot; sums run within each range, and only one row a range goes
+    through a window of its own.
+    """
+    placed = in_ranges(df, order, name)
+    ranges = placed.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sums])
+    ranges = ranges.select("_pid", *[F.coalesce(F.sum(c).over(before("_pid")), F.lit(0)).alias(f"_{c}") for c in sums])
+    out = placed.join(F.broadcast(ranges), "_pid")  # at most one row for each shuffle partition
+    return out.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before("_at", "_pid")), F.lit(0)) + F.col(f"_{c}") for c in sums}).drop("_pid", "_at", *(f"_{c}" for c in sums))
 
 
 def components(nodes: DataFrame, edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ the source's one random offset: one copy for each integer that the prefix sum of
 is by size, the words taken miss the target by about one document at most.
 
 The prefix sum is distributed (`common.ranked`): a source that holds a third of the corpus spreads over many partitions.
-Targets need only the table of sources (one row per source, an aggregate). u comes from SHA-256 of seed and source, so
+Targets need only the table of sources (one row per source, an aggregate), whose running sums are distributed too. u comes from SHA-256 of seed and source, so
 reruns agree. Defined cases: null text has size 0 and takes 0 words; null sources form one source; rows equal in source,
 size and key are interchangeable; an empty table gives an empty result; extra columns pass through `mix_documents`.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked, small, temporary_tables
+from .common import before, materialize, placed_by, ranked, small, sums_before, temporary_tables, with_rank
 
 WEIGHTS = (5, 2, 1)
 
@@ -27,24 +27,29 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """(source, source_size, target, offset) from (source, size); one row per source.
+def source_targets(starts: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """(source, source_size, target), one row per source, from the starts of `placed_by` source with the sums of size.
 
-    A source is capped if its cap is within its share of what the sources with a smaller cap per weight leave; these come
-    first in order of cap / weight, so running sums decide without iterating.
+    A source's place in code point order is the number of sources that begin in earlier ranges, or before it in its own. It is
+    capped if its cap is within its share of what the sources with a smaller cap per weight leave; these come first in order of
+    cap / weight, so running sums decide without iterating. Sums run range by range: with URLs as sources this table grows
+    with the corpus, and no task sees all of it.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = starts.groupBy(F.col("_g").alias("source")).agg(F.sum("size").alias("source_size"), F.min(F.struct("_p", "_first")).alias("_at")).select("source", "source_size", "_at.*")
+    begun = per.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before("_p")), F.lit(0)).alias("_begun"))
+    nth = F.col("_begun") + F.row_number().over(Window.partitionBy("_p").orderBy("_first")) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int")).cast("long")
-    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * most)
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    per = per.withColumns({"cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0)), "w_before": F.coalesce(F.sum("w").over(before), F.lit(0)), "all_size": F.sum("source_size").over(every), "all_w": F.sum("w").over(every)})
-    capped = F.col("cap") * (F.col("all_w") - F.col("w_before")) <= F.col("w") * (F.col("all_size") - F.col("cap_before"))
-    per = per.withColumn("capped", capped)
-    per = per.withColumns({"left_size": F.col("all_size") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0)), "left_w": F.col("all_w") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("w"))).over(every), F.lit(0))})
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("w") * F.col("left_size")).cast("double") / F.col("left_w").cast("double"))
-    return per.select("source", "source_size", target.alias("target"))
+    per = per.join(F.broadcast(begun), "_p")  # at most one row for each shuffle partition
+    per = per.select("source", "source_size", weight.alias("w"), (F.col("source_size") * most).alias("cap"))
+    per = sums_before(per, [F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()], ["cap", "w"], "mixing-caps")
+    total = lambda df, *columns: [x or 0 for x in df.agg(*map(F.sum, columns)).first()]
+    all_size, all_w = total(per, "source_size", "w")
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  # products of words and weights may pass 64 bits
+    within_share = wide(F.col("cap")) * wide(F.lit(all_w) - F.col("w_before")) <= wide(F.col("w")) * wide(F.lit(all_size) - F.col("cap_before"))
+    per = per.withColumn("capped", within_share)
+    capped_size, capped_w = total(per.filter("capped"), "cap", "w")
+    left = (F.col("w") * F.lit(all_size - capped_size)).cast("double") / F.lit(float(max(all_w - capped_w, 1)))
+    return per.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(left).alias("target"))
 
 
 def offset(seed: str) -> Column:
@@ -55,8 +60,11 @@ def offset(seed: str) -> Column:
 
 def copies_of(df: DataFrame, keep: list[str], source: str, size: Column, key: str, seed: str, weights: tuple[int, ...], most: int, name: str) -> DataFrame:
     sized = df.select(*keep, F.col(source).alias("source"), size.alias("size"), F.col(key).alias("_key"))
-    placed = ranked(sized, "source", ["size", "_key"], name)
-    targets = small(materialize(source_targets(placed.select("source", "size"), weights, most), f"{name}-targets")).withColumnRenamed("source", "_s")
+    placed, starts = placed_by(sized, "source", ["size", "_key"], name, ("size",))
+    with temporary_tables() as keep_table:
+        targets = keep_table(materialize(source_targets(starts, weights, most), f"{name}-targets"))
+    targets = small(targets).withColumnRenamed("source", "_s")
+    placed = with_rank(placed, starts, "source")
     joined = placed.join(targets, placed["source"].eqNullSafe(targets["_s"])).drop("_s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumns({"_rate": rate, "_u": offset(seed)})

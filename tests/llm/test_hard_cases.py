@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import time
 from collections import Counter
@@ -187,6 +188,29 @@ def test_mixing_of_one_source_of_zeros_and_of_long_texts(spark):
     assert all(r.taken <= 3 * r.size for r in mixing.mixing_plan(long).collect())
 
 
+def test_targets_of_many_sources_against_a_plain_loop(spark):
+    """More sources than partitions, ties and a null source; a plain version that caps round by round until none is above."""
+    rng = random.Random(5)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 7, 7, 40, 1000, 9000]) for i in range(300)} | {None: 500}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {rows[r.doc_id][2]: r for r in plan.collect()}
+    names = [*sorted(s for s in sizes if s), None]
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    capped: set = set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
+        share = {s: weight[s] * left / sum(weight[x] for x in names if x not in capped) for s in names if s not in capped}
+        above = {s for s in share if share[s] > 3 * sizes[s]}
+        if not above:
+            break
+        capped |= above
+    assert set(got) == set(names) and len(capped) > 10
+    for s in names:
+        want = 3 * sizes[s] if s in capped else share[s]
+        assert got[s].source_size == sizes[s] and abs(got[s].target - want) <= 1e-9 * max(want, 1)
+
+
 def test_packing_of_ties_and_clashing_columns(spark):
     df = spark.createDataFrame([(i % 3, "same words here", "x") for i in range(40)], "doc_id long, text string, length string")
     got = packing.pack_documents(df).collect()
