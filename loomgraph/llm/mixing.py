@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import before, materialize, placed_by, ranked, small, sums_before, temporary_tables, with_rank
+from .common import before, discard, materialize, placed_by, ranked, small, sums_before, temporary_tables, with_rank
 
 WEIGHTS = (5, 2, 1)
 
@@ -60,7 +60,9 @@ def offset(seed: str) -> Column:
 
 def copies_of(df: DataFrame, keep: list[str], source: str, size: Column, key: str, seed: str, weights: tuple[int, ...], most: int, name: str) -> DataFrame:
     sized = df.select(*keep, F.col(source).alias("source"), size.alias("size"), F.col(key).alias("_key"))
+    sized = materialize(sized, f"{name}-sizes")  # texts are read once; cutting ranges reads its input twice
     placed, starts = placed_by(sized, "source", ["size", "_key"], name, ("size",))
+    discard(sized)
     with temporary_tables() as keep_table:
         targets = keep_table(materialize(source_targets(starts, weights, most), f"{name}-targets"))
     targets = small(targets).withColumnRenamed("source", "_s")
