@@ -95,9 +95,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def in_ranges(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """df range-partitioned and sorted on keys, as a written table; `_pid` numbers the ranges, `_at` rises within each."""
-    placed = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    return materialize(placed.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), name)
+    """df range-partitioned and sorted on keys, as a written table; `_pid` numbers the ranges, `_at` rises within each.
+
+    Rows equal in all keys are told apart by their place in df (which is read from files, so that a task that runs again finds
+    the same places); very many of them spread over ranges like any others.
+    """
+    order = [*keys, F.col("_tie")]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(placed.drop("_tie").withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), name)
 
 
 def before(order: str, *groups: str) -> WindowSpec:

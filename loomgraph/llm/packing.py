@@ -8,8 +8,9 @@ the corpus. A pattern gives each of its lengths an interval of ranks; the pieces
 (`common.ranked`, so that a length that very many pieces share spreads over partitions) and joined to these intervals, a
 table with a bound by `size` alone. Texts and ids stay in the tasks that tokenize; what moves is one small row per piece.
 
-Defined cases: a null or empty text has the end id only; repeated rows are documents of their own; an empty table gives an
-empty result; very long texts are tokenized whole, by a batch bounded in bytes; columns besides key and text are not read.
+Defined cases: a null or empty text has the end id only; rows with a null key are documents too; repeated rows are documents
+of their own, and which of two pieces equal in length, key and start goes where is open (they spread over tasks); an empty
+table gives an empty result; very long texts are tokenized whole, by a batch bounded in bytes; columns besides key and text are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, materialize, ranked
 
 SIZE, END_ID = 2048, 1
+#: A count of packs with the same content ((length, times), ...).
+Pattern = tuple[int, tuple[tuple[int, int], ...]]
 _UNSAFE = re.compile(r"[^\x00-\u04ff]|\S{1000}|\s{1000}")
 
 
@@ -61,11 +64,13 @@ class Ids:
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
-def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, tokenizer_path: str | None = None, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked for)."""
+def token_pieces(
+    df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, tokenizer_path: str | None = None, ranks_path: str | None = None, with_ids: bool = False, end_id: int = END_ID, short_first: bool = False
+) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens (and ids, if asked for). Of a document's pieces the last is short, or the first."""
     bounded_batches(df.sparkSession)
     paths = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(*paths)
@@ -73,8 +78,10 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
             rows, start, length, crc, total, ids = [], [], [], [], [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):
                 all_ids = ids_of((raw or b"").decode("utf-8", "replace")) + end
-                for at in range(0, len(all_ids), 4 * size):
-                    piece = all_ids[at : at + 4 * size]
+                first = (len(all_ids) - 4) % (4 * size) + 4 if short_first else 4 * size
+                for upto in range(first, len(all_ids) + 4 * size, 4 * size):
+                    at = max(0, upto - 4 * size)
+                    piece = all_ids[at:upto]
                     rows.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(len(all_ids) // 4)
                     if with_ids:
                         ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
@@ -86,7 +93,7 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     return df.select(key, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
-def packing_patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def packing_patterns(histogram: dict[int, int], size: int = SIZE) -> list[Pattern]:
     """[(count, ((length, times), ...))]: packs with the same content, lengths falling.
 
     Longest length first; each length goes to the shortest packs with room, else to new ones, filled with as many of the
@@ -116,7 +123,7 @@ def packing_patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[
     return [g for used in sorted(groups, reverse=True) for g in groups[used]]
 
 
-def rank_intervals(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+def rank_intervals(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, last rank, first sequence, packs, offset) for each length of each pattern; ranks from 1."""
     taken: dict[int, int] = defaultdict(int)
     sequence, out = 0, []
@@ -131,12 +138,12 @@ def rank_intervals(patterns: list[tuple[int, tuple[tuple[int, int], ...]]]) -> l
     return out
 
 
-def pack_pieces(pieces: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """pieces (with a column length) and their sequence_id and offset."""
+def pack_pieces(pieces: DataFrame, size: int = SIZE, order: tuple[str, ...] = ("doc_id", "start"), plan: Callable[[dict[int, int], int], list[Pattern]] | None = None) -> DataFrame:
+    """pieces (a written table with a column length) and their sequence_id and offset; plan makes patterns of the histogram of lengths."""
     spark = pieces.sparkSession
     placed = ranked(pieces, "length", list(order), "packing")
     histogram = {r[0]: r[1] for r in placed.groupBy("length").count().collect()}
-    intervals = rank_intervals(packing_patterns(histogram, size))
+    intervals = rank_intervals((plan or packing_patterns)(histogram, size))
     if len(intervals) > 64 * size * 2:  # distinct lengths in a pack times patterns, by construction
         raise AssertionError("more packing intervals than their bound")
     table = spark.createDataFrame(intervals, "_length long, _from long, _to long, _first long, _packs long, _offset long")

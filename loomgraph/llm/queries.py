@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, url_filter, warc
+from . import best_fit, conversation_repair, embedding_dedup, html_text, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, token_alignment, url_filter, warc
 from .common import table
 
 
@@ -50,14 +50,36 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damage(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_secret_scan, op2_source_mixing, op3_main_text, op4_embedding_dedup, op5_ngram_join, op6_packing, op7_quality_rules, op8_warc, op9_url_filter, op10_license_scan)
+    own = (op1_secret_scan, op2_source_mixing, op3_main_text, op4_embedding_dedup, op5_ngram_join, op6_packing, op7_quality_rules, op8_warc, op9_url_filter, op10_license_scan, op11_token_alignment, op12_best_fit, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
 _COMPONENTS = """, sides AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a)"""
 
+def _crc_nibble(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+#: CRC-32 of the ASCII text k, four bits at a time.
+_CRC32 = f"""xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(k) + 1), lambda i: [ascii(substr(k, i, 1)) & 15, ascii(substr(k, i, 1)) >> 4]))),
+  lambda c, n: xor({[_crc_nibble(n) for n in range(16)]}[((xor(c, n) & 15) + 1)::INT], c >> 4)), 4294967295)"""
+
 #: Operators that SQL can express; the others are held against brute force in tests/llm.
 ORACLE_SQL = {
     "op2_source_mixing": """
@@ -112,4 +134,29 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host LIKE '%spam-%
   OR '.' || host LIKE '%.porn%' OR '.' || host LIKE '%.xxx' OR '.' || host LIKE '%.ads.%' OR '.' || host LIKE '%.adserver.%' OR '.' || host LIKE '%.doubleclick.%'
   OR starts_with(path, '/wp-login.php') OR ends_with(path, '.exe') OR ends_with(path, '.apk') THEN 'block' ELSE 'allow' END) AS verdict
 FROM junk LEFT JOIN won USING (page_id)""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE named AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, ({_CRC32}) % 20 AS d FROM named),
+damaged AS (SELECT c, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit JOIN (VALUES (1), (2)) AS copies(n) ON n = 1 OR d = 3 WHERE d <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS k FROM damaged),
+judged AS (SELECT c, k, turn, role, text, CASE WHEN regexp_full_match(text, '[\\x20\\x09-\\x0D]*') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY k) || left(role, 1) AS two FROM placed),
+ins(a, b, i, line) AS (VALUES (0, 0, '', ''), (0, 2, 'I', 'user:' || chr(10)), (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 1, '', ''), (1, 2, 'I', 'user:' || chr(10)),
+  (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 2, '', ''), (2, 3, 'I', 'assistant:' || chr(10)), (3, 3, '', ''), (3, 2, 'I', 'user:' || chr(10))),
+edits(b, z, e, price, initial, as_role) AS (VALUES (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL),
+  (0, 2, 'R', 2, NULL, 'user'), (1, 2, 'R', 2, NULL, 'user'), (2, 3, 'R', 2, NULL, 'assistant'), (3, 2, 'R', 2, NULL, 'user'), (0, 0, 'D', 3, NULL, NULL), (1, 1, 'D', 3, NULL, NULL), (2, 2, 'D', 3, NULL, NULL), (3, 3, 'D', 3, NULL, NULL)),
+ways AS (SELECT DISTINCT c, 0::BIGINT AS k, 0 AS z, {{'cost': 0::BIGINT, 'audit': '', 'said': ''}} AS w FROM named
+  UNION ALL SELECT c, k, z, min(w) FROM (
+    SELECT v.c, j.k, e.z, {{'cost': v.w.cost + 2 * length(i.i) + e.price + CASE WHEN j.fault = 'truncated' AND e.e <> 'D' THEN 1 ELSE 0 END, 'audit': v.w.audit || i.i || e.e,
+      'said': v.w.said || i.line || CASE e.e WHEN 'D' THEN '' ELSE coalesce(e.as_role, j.role) || ':' || j.text || chr(10) END}} AS w
+    FROM ways v JOIN judged j ON j.c = v.c AND j.k = v.k + 1 JOIN ins i ON i.a = v.z JOIN edits e ON e.b = i.b
+    WHERE e.e = 'D' OR (coalesce(j.fault, 'truncated') = 'truncated' AND (e.e = 'R' OR e.initial = left(j.role, 1)))) GROUP BY c, k, z),
+stats AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY c),
+ends AS (SELECT v.c, min({{'cost': v.w.cost + 2 * length(i.i), 'audit': v.w.audit || i.i, 'said': v.w.said || i.line}}) AS w
+  FROM ways v LEFT JOIN stats s ON s.c = v.c JOIN ins i ON i.a = v.z AND i.b IN (0, 3) WHERE v.k = coalesce(s.n, 0) GROUP BY v.c)
+SELECT DISTINCT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  w.cost::BIGINT AS cost, w.audit AS audit, sha256(CASE w.said WHEN '' THEN '' ELSE left(w.said, length(w.said) - 1) END) AS repaired_sha256
+FROM named JOIN ends USING (c) LEFT JOIN stats USING (c)""",
 }
