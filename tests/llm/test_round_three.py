@@ -217,7 +217,7 @@ def test_equal_rows_spread_over_ranges(spark, tmp_path):
     spark.range(40_000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "0L as start", "100L as length").write.parquet(at)
     from loomgraph.llm.common import in_ranges
 
-    sizes = [r[0] for r in in_ranges(spark.read.parquet(at), [F.col("length"), F.col("doc_id"), F.col("start")], "ranges").groupBy("_pid").agg(F.count(F.lit(1))).collect()]
+    sizes = [r[1] for r in in_ranges(spark.read.parquet(at), [F.col("length"), F.col("doc_id"), F.col("start")], "ranges").groupBy("_pid").agg(F.count(F.lit(1))).collect()]
     assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / 4
     packed = packing.pack_pieces(spark.read.parquet(at))
     assert packed.select("sequence_id", "offset").distinct().count() == 40_000 and packed.agg(F.countDistinct("sequence_id")).first()[0] == 2000
