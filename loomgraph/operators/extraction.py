@@ -61,8 +61,12 @@ def procedures(chunks: DataFrame) -> DataFrame:
 _HOLDS = {"is_times": " is|times", "rate_of_change": " is|rate", "consists_of": "consist|of", "defined_as": " is| as", "uses": "use", "is_a_article": "is", "is_plain": "is"}
 
 
+#: Characters that . does not match. In a sentence with one of them a later try of a pattern's first part can match more.
+LINE_BREAK = "[\n\r\u0085\u2028\u2029]"
+
+
 def _in_one_pass(pattern: str) -> str:
-    """The pattern with its first part atomic where a later try of that part could match nothing more: no search over all pairs of words."""
+    """The pattern with its first part atomic, for sentences of one line: a later try of that part could match nothing more, so no search over all pairs of words."""
     for part in (r"^(.+?)\s+is\s+(.+?)\s+times", r"^(.+?)\s+consists?\s+of\s+(.+?)\s+and"):
         if pattern.startswith(part):
             at = pattern.index("(.+?)", 2)
@@ -76,7 +80,7 @@ def relationships(chunks: DataFrame) -> DataFrame:
     Sentences without any of the verbs are passed over, a pattern is tried only where its words stand, and the first that
     matches gives all its terms from one expression, which the explode evaluates once.
     """
-    said = chunks.select("doc_id", F.posexplode(plain_sentences(F.col("text"))).alias("pos", "s")).withColumn("_l", F.regexp_replace(F.lower("s"), r"\s", " "))
+    said = chunks.select("doc_id", F.posexplode(plain_sentences(F.col("text"))).alias("pos", "s")).withColumns({"_l": F.regexp_replace(F.lower("s"), r"\s", " "), "_broken": F.col("s").rlike(LINE_BREAK)})
     said = said.filter(F.col("_l").contains(" is ") | F.col("_l").contains(" consist") | F.col("_l").contains(" use"))
     found = []
     for name, relation, pattern in RELATIONSHIPS:
@@ -84,9 +88,11 @@ def relationships(chunks: DataFrame) -> DataFrame:
         for word in _HOLDS[name].split("|"):
             fits = fits & F.col("_l").contains(word)
         quick = "(?i)" + _in_one_pass(pattern)
-        group = lambda k, quick=quick: extraction_term(F.regexp_extract("s", quick, k))
+        whole = "(?i)" + pattern
+        either = lambda of, quick=quick, whole=whole: of(quick) if quick == whole else F.when(F.col("_broken"), of(whole)).otherwise(of(quick))
+        group = lambda k, either=either: extraction_term(either(lambda p: F.regexp_extract("s", p, k)))
         triple = lambda k, name=name, relation=relation, group=group: F.struct(F.lit(name).alias("pattern"), group(1).alias("src"), F.lit(relation).alias("relation"), group(k).alias("dst"))
-        found.append(F.when(fits & F.col("s").rlike(quick), F.array(*[triple(k) for k in range(2, pattern.count("(.+?)") + 1)])))
+        found.append(F.when(fits & either(lambda p: F.col("s").rlike(p)), F.array(*[triple(k) for k in range(2, pattern.count("(.+?)") + 1)])))
     out = said.select("doc_id", "pos", F.explode(F.coalesce(*found)).alias("_t")).select("doc_id", "pos", "_t.pattern", "_t.src", "_t.relation", "_t.dst")
     return out.filter((F.char_length("src") >= 2) & (F.char_length("dst") >= 2))
 

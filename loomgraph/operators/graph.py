@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_id, trace_id
+from .numbering import ranked
 
 DECAY, FLOOR = 0.95, 0.01
 
@@ -84,15 +85,43 @@ def imported(bundles: DataFrame, last: int) -> DataFrame:
     """node, salience, n after importing execution results (step, graph, node, type, is_root) in order of step, with decay after each step.
 
     A node that is new counts as its role says; later mentions reinforce it. Leaves of other types, and the root among its own
-    leaves, are left out. Mentions of a node become amounts, and reinforced() folds them.
+    leaves, are left out. All mentions are summed as later ones; what the first one adds beyond that is put on its step. So a
+    node that every result mentions needs aggregates only.
     """
-    roots = bundles.filter("is_root").select("step", "graph", F.col("node").alias("_root"))
-    kept = bundles.join(roots, ["step", "graph"]).filter(F.col("is_root") | (F.col("type").isin(*TRACKED) & (F.col("node") != F.col("_root"))))
-    order = Window.partitionBy("node").orderBy("step", "graph", F.desc("is_root"))
-    nth = F.row_number().over(order)
-    amount = F.when(nth == 1, F.when(F.col("is_root"), ROOT).otherwise(LEAF)).otherwise(F.when(F.col("is_root"), ROOT_AGAIN).otherwise(LEAF_AGAIN))
-    said = kept.withColumn("amount", amount)
-    return reinforced(said, "node", "step", "amount", last).join(said.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+    kept = bundle_mentions(bundles)
+    again = F.when(F.col("is_root"), ROOT_AGAIN).otherwise(LEAF_AGAIN)
+    per = kept.groupBy("node", "step").agg(F.sum(again).alias("amount"), F.count(F.lit(1)).alias("n"))
+    first = kept.groupBy("node").agg(F.min(F.struct("step", "graph", (~F.col("is_root")).alias("leaf"))).alias("f"))
+    news = first.select("node", "f.step", F.when(F.col("f.leaf"), LEAF - LEAF_AGAIN).otherwise(ROOT - ROOT_AGAIN).alias("amount"))
+    said = per.select("node", "step", "amount").unionByName(news)
+    return reinforced(said, "node", "step", "amount", last).join(per.groupBy("node").agg(F.sum("n").alias("n")), "node")
+
+
+def bundle_mentions(bundles: DataFrame) -> DataFrame:
+    """Roots and tracked leaves other than their root, with the root of their graph as `root`."""
+    roots = bundles.filter("is_root").select("step", "graph", F.col("node").alias("root"))
+    return bundles.join(roots, ["step", "graph"]).filter(F.col("is_root") | (F.col("type").isin(*TRACKED) & (F.col("node") != F.col("root"))))
+
+
+def imported_edges(bundles: DataFrame, salience: float = ROOT) -> DataFrame:
+    """src, dst, relation, salience, step, graph: leaf -> root, labelled with the leaf's type; of repeats the first import stays."""
+    leaves = bundle_mentions(bundles).filter("not is_root")
+    first = leaves.groupBy(F.col("node").alias("src"), F.col("root").alias("dst"), F.col("type").alias("relation")).agg(F.min(F.struct("step", "graph")).alias("f"))
+    return first.select("src", "dst", "relation", F.lit(salience).alias("salience"), "f.step", "f.graph")
+
+
+def imported_events(bundles: DataFrame, failures: DataFrame) -> DataFrame:
+    """step, graph, event_type, node, metadata: add_node or reinforce_node for each root, failure for each failed graph (step, graph, errors).
+
+    A root adds its node if no mention comes before it. A failure with errors is an event without a node; failures make no nodes.
+    """
+    first = bundle_mentions(bundles).groupBy("node").agg(F.min(F.struct("step", "graph", (~F.col("is_root")).alias("leaf"))).alias("f"))
+    roots = bundles.filter("is_root").select("step", "graph", "node").join(first, "node")
+    is_new = (F.col("step") == F.col("f.step")) & (F.col("graph") == F.col("f.graph"))
+    told = roots.select("step", "graph", F.when(is_new, "add_node").otherwise("reinforce_node").alias("event_type"), "node", F.lit("").alias("metadata"))
+    failed = failures.filter(F.size("errors") > 0)
+    text = F.concat(F.lit("graph "), F.col("graph").cast("string"), F.lit(": "), F.col("errors")[0])
+    return told.unionByName(failed.select("step", "graph", F.lit("failure").alias("event_type"), F.lit(None).cast("string").alias("node"), text.alias("metadata")))
 
 
 def by(table: DataFrame, **equals) -> DataFrame:
@@ -112,15 +141,18 @@ def provenance(triples: DataFrame, method: str = "relationship_extractor", confi
 def merged_provenance(prov: DataFrame) -> DataFrame:
     """src, dst, relation, trace_id, place (from 1): distinct trace ids of an edge in order of (step, trace_id), one row each.
 
-    A trace id counts with its first step. Rows, not a list: an edge that a third of all documents state is as many rows. The
-    place is a window over an edge's distinct ids; what is kept per edge for display is top_provenance().
+    A trace id counts with its first step. Rows, not a list, ranked over sorted ranges: an edge that a third of all documents
+    state is spread over many tasks.
     """
     once = prov.groupBy("src", "dst", "relation", "trace_id").agg(F.min("step").alias("step"))
-    return once.select("src", "dst", "relation", "trace_id", F.row_number().over(Window.partitionBy("src", "dst", "relation").orderBy("step", "trace_id")).alias("place"))
+    return ranked(once, ["src", "dst", "relation"], ["step", "trace_id"], "place").select("src", "dst", "relation", "trace_id", F.col("place").cast("int").alias("place"))
 
 
 def top_provenance(prov: DataFrame, n: int = 3) -> DataFrame:
-    """The n provenance rows per edge with the greatest confidence, then the least trace id."""
+    """The n provenance rows per edge with the greatest confidence, then the least trace id.
+
+    Every task keeps n rows of an edge at most before they meet: the limit on the rank is taken on both sides of the shuffle.
+    """
     order = Window.partitionBy("src", "dst", "relation").orderBy(F.desc("confidence"), "trace_id")
     return prov.dropDuplicates(["src", "dst", "relation", "trace_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
@@ -130,19 +162,31 @@ def decayed(salience, steps):
     return F.greatest(F.lit(FLOOR), salience * F.pow(F.lit(DECAY), steps))
 
 
+#: Steps of a node that are folded together before its blocks are.
+BLOCK = 512
+
+
 def reinforced(events: DataFrame, node: str, step: str, amount: str, last: int) -> DataFrame:
     """node, salience at step `last`: every step adds its amounts, then decays, never below the floor.
 
-    Amounts of a step add up first (an aggregate with partial sums); the fold runs over a node's distinct steps.
+    Amounts of a step add up first (an aggregate with partial sums). What a run of steps makes of a salience x is max(low, x * rate + gain),
+    and two such runs make another of that form. So a node's steps are folded in blocks of BLOCK steps, in tasks of their
+    own, and only the blocks of a node meet: a node with a million steps is two thousand rows there.
     """
     per = events.groupBy(F.col(node).alias("node"), F.col(step).alias("step")).agg(F.sum(amount).alias("amount"))
-    ordered = per.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("step", "amount"))).alias("s"))
-
-    def after(state, x):
-        waited = F.greatest(F.lit(0), x["step"] - state["step"] - 1)
-        held = F.when(state["salience"] == 0.0, 0.0).otherwise(decayed(state["salience"], waited))
-        return F.struct(decayed(held + x["amount"], F.lit(1)).alias("salience"), x["step"].cast("long").alias("step"))
-
-    start = F.struct(F.lit(0.0).alias("salience"), F.lit(0).cast("long").alias("step"))
-    done = F.aggregate("s", start, after, lambda s: decayed(s["salience"], F.lit(last) - s["step"]))
-    return ordered.select("node", F.round(done, 9).alias("salience"))
+    one = F.struct(F.col("step").cast("long").alias("first"), F.col("step").cast("long").alias("last"), F.lit(FLOOR).alias("low"), F.lit(DECAY).alias("rate"), (F.col("amount") * DECAY).cast("double").alias("gain"))
+    runs = per.select("node", F.floor(F.col("step") / BLOCK).alias("_block"), one.alias("run"))
+
+    def then(a, b):
+        """Run a, the steps without amounts between, run b."""
+        rate = b["rate"] * F.pow(F.lit(DECAY), b["first"] - a["last"] - 1)
+        low = F.greatest(b["low"], F.when(b["first"] - a["last"] > 1, F.lit(FLOOR) * b["rate"] + b["gain"]).otherwise(b["low"]), a["low"] * rate + b["gain"])
+        return F.struct(a["first"].alias("first"), b["last"].alias("last"), low.alias("low"), (a["rate"] * rate).alias("rate"), (a["gain"] * rate + b["gain"]).alias("gain"))
+
+    def folded(rows: DataFrame, *keys: str) -> DataFrame:
+        in_order = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("run")).alias("s"))
+        return in_order.select(*keys, F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.element_at("s", 1), then).alias("run"))
+
+    done = folded(folded(runs, "node", "_block"), "node")
+    salience = F.greatest(F.col("run.low"), F.col("run.gain"))  # a node begins with 0
+    return done.select("node", F.round(decayed(salience, F.lit(last) - F.col("run.last")), 9).alias("salience"))

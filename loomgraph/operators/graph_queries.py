@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import definition_term, query_term
+from ..session import written
 
 
 def get_definitions(asked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -156,3 +157,84 @@ def dataset_faults(name: Column, version: Column, source: Column, records: Colum
         ("key_type is not a valid SemanticType", F.coalesce(~key_type.isin(*SEMANTIC_TYPES), F.lit(True))), ("value_type is not a valid SemanticType", F.coalesce(~value_type.isin(*SEMANTIC_TYPES), F.lit(True))),
     )
     return F.filter(F.array(*[F.when(wrong, text) for text, wrong in tests]), lambda x: x.isNotNull())
+
+
+# Composition
+
+
+def _looping(steps: DataFrame, rounds: int) -> DataFrame | None:
+    """Edges of which every cycle has all: edges no cycle can hold are peeled off from both ends, `rounds` times; None if nothing is left."""
+    for _ in range(rounds):
+        steps = steps.join(steps.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        steps = written(steps.join(steps.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "peeled")
+        if steps.isEmpty():
+            return None
+    return steps
+
+
+def composed_by_counts(sources: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """What composed(closure(...)) gives, without a row for each path.
+
+    A step extends (source, target, count of paths); counts of the same pair add up before the next one, so that the work goes by
+    pairs, not by paths. Where no cycle is near, every walk is a simple path and counts are exact. Cycles are what is left when
+    edges without a predecessor or successor are peeled off; sources that come to such an edge go by paths, the others by counts.
+    """
+    steps = written(edges.select("src", "dst").distinct(), "steps")
+    loops, sources = _looping(steps, depth), sources.select("source").distinct()
+    now = sources.select("source", F.col("source").alias("target"), F.lit(1).cast("long").alias("n"))
+    met, levels = [], []
+    for k in range(1, depth + 1):
+        if loops is not None:
+            met.append(now.join(loops.select(F.col("src").alias("target")).distinct(), "target", "left_semi").select("source"))
+        now = now.join(steps, F.col("target") == F.col("src")).groupBy("source", F.col("dst").alias("target")).agg(F.sum("n").alias("n"))
+        now = written(now, "frontier")
+        levels.append(now.withColumn("depth", F.lit(k)))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    by_paths = None
+    if met:
+        risky = met[0]
+        for more in met[1:]:
+            risky = risky.unionByName(more)
+        risky = written(risky.distinct(), "by-paths")
+        every, by_paths = every.join(risky, "source", "left_anti"), composed(closure(risky, steps, depth))
+    out = every.groupBy("source", "target").agg(F.min("depth").alias("depth"), F.sum("n").alias("_all"), F.sum(F.when(F.col("depth") == 1, F.col("n")).otherwise(0)).alias("_one"))
+    is_direct = F.col("depth") == 1
+    out = out.select("source", "target", F.when(is_direct, "direct").otherwise("indirect").alias("kind"), "depth", F.when(is_direct, F.col("_one")).otherwise(F.col("_all")).alias("n_paths"))
+    return out if by_paths is None else out.unionByName(by_paths)
+
+
+def composed_by_relation(asked: DataFrame, edges: DataFrame, prov: DataFrame, depth: int = 3) -> DataFrame:
+    """term, relation, target, kind, depth, n_paths, first_path, n_provenance, best_trace: targets over edges of the asked relation.
+
+    A direct target hides indirect ways to it. first_path is the shortest kept path, then the least; provenance is that of
+    the edges of all kept paths, each trace id once; the best has the greatest confidence, then the least id.
+    prov: src, dst, relation, trace_id, confidence.
+    """
+    steps = edges.select("src", "dst", "relation", F.lit(0).alias("n_provenance")).distinct()
+    paths = related_closure(asked, steps, depth).drop("n_provenance")
+    key = ["term", "relation", "target"]
+    per = paths.groupBy(*key).agg(F.min("depth").alias("_least"))
+    kept = written(paths.join(per, key).filter((F.col("_least") > 1) | (F.col("depth") == 1)).drop("_least"), "kept-paths")
+    nodes = F.split("path", " → ")
+    hops = kept.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size(nodes) - 1), lambda i: F.struct(F.element_at(nodes, i).alias("src"), F.element_at(nodes, i + 1).alias("dst")))).alias("h")).select(*key, "h.src", "h.dst").distinct()
+    traces = hops.join(prov, ["src", "dst", "relation"]).groupBy(*key, "trace_id").agg(F.max("confidence").alias("confidence"))
+    told = traces.groupBy(*key).agg(F.count(F.lit(1)).alias("n_provenance"), F.min_by("trace_id", F.struct(-F.col("confidence"), "trace_id")).alias("best_trace"))
+    out = kept.groupBy(*key).agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n_paths"), F.min_by("path", F.struct("depth", "path")).alias("first_path")).join(told, key, "left")
+    return out.select(*key, F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("kind"), "depth", "n_paths", "first_path", F.coalesce("n_provenance", F.lit(0)).alias("n_provenance"), "best_trace")
+
+
+def one_hop(asked: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """term, relation, hit, target, is_node, salience, confidence, rank: outgoing edges of each asked (term, relation), a row without target where there is none.
+
+    edges: src, dst, relation, salience, confidence (the greatest of their provenance, null without any); nodes: value. Order: confidence falling
+    (0 without any), then target. A target without a node is named, but is_node is false.
+    """
+    asked = asked.select("term", "relation").distinct().withColumn("_at", query_term(F.col("term")))
+    own = edges.select(F.col("src").alias("_at"), "relation", F.col("dst").alias("target"), "salience", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    known = nodes.select(F.col("value").alias("target")).distinct().withColumn("_node", F.lit(True))
+    out = asked.join(own, ["_at", "relation"], "left").join(known, "target", "left")
+    rank = F.row_number().over(Window.partitionBy("term", "relation").orderBy(F.desc("confidence"), "target"))
+    hit = F.col("target").isNotNull()
+    return out.select("term", "relation", hit.alias("hit"), "target", F.when(hit, F.coalesce("_node", F.lit(False))).alias("is_node"), "salience", F.when(hit, F.col("confidence")).alias("confidence"), F.when(hit, rank).alias("rank"))

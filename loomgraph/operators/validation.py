@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weight of a source type in the score. Fixed values.
@@ -16,18 +16,22 @@ def quality_score(confidence, source_type, filled):
 
 
 def decide(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
-    """candidate_id, decision, score, node_id: conflict before merge before reject (score below 0.5) before accept.
+    """candidate_id, decision, score, node_id: conflict (a node of the same place with another value, the least id of these) before merge before reject (score below 0.5) before accept.
 
     candidates: candidate_id, value, source_id, chunk_id, method, source_type, confidence, filled; nodes: id, value, source_id,
     chunk_id, method. Every lookup is an equi-join on a side that an aggregate has made unique.
     """
     same = nodes.groupBy("value").agg(F.min("id").alias("exact_id"))
     loose = nodes.groupBy(F.lower(F.trim("value")).alias("_k")).agg(F.min("id").alias("loose_id"))
-    place = nodes.groupBy("source_id", "chunk_id", "method").agg(F.min(F.struct("id", "value")).alias("least"), F.max(F.struct("id", "value")).alias("most"), F.count_distinct("value").alias("values"))
-    out = candidates.join(same, "value", "left").join(loose, F.lower(F.trim("value")) == F.col("_k"), "left").join(place, ["source_id", "chunk_id", "method"], "left")
-    other = F.col("chunk_id").isNotNull() & F.col("least").isNotNull() & ((F.col("values") > 1) | (F.col("least.value") != F.col("value")))
+    spot = ["source_id", "chunk_id", "method"]
+    each = nodes.filter("value is not null").groupBy(*spot, "value").agg(F.min("id").alias("id"))
+    # The two least ids of different values are enough: one of them is not the candidate's own. The limit is taken before the shuffle, too.
+    two = each.withColumn("_n", F.row_number().over(Window.partitionBy(*spot).orderBy("id"))).filter("_n <= 2")
+    place = two.groupBy(*spot).agg(F.min(F.struct("id", "value")).alias("least"), F.max(F.struct("id", "value")).alias("next"))
+    out = candidates.join(same, "value", "left").join(loose, F.lower(F.trim("value")) == F.col("_k"), "left").join(place, spot, "left")
+    differs = lambda which: F.when(F.col(f"{which}.value") != F.col("value"), F.col(f"{which}.id"))
+    rival = F.when(F.col("chunk_id").isNotNull(), F.coalesce(differs("least"), differs("next")))
     known = F.coalesce("exact_id", "loose_id")
     score = quality_score(F.col("confidence"), F.col("source_type"), F.col("filled"))
-    decision = F.when(other, "conflict").when(known.isNotNull(), "merge").when(score < 0.5, "reject").otherwise("accept")
-    node = F.when(other, F.when(F.col("least.value") != F.col("value"), F.col("least.id")).otherwise(F.col("most.id"))).otherwise(known)
-    return out.select("candidate_id", decision.alias("decision"), F.round(score, 6).alias("score"), node.alias("node_id"))
+    decision = F.when(rival.isNotNull(), "conflict").when(known.isNotNull(), "merge").when(score < 0.5, "reject").otherwise("accept")
+    return out.select("candidate_id", decision.alias("decision"), F.round(score, 6).alias("score"), F.coalesce(rival, known).alias("node_id"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +11,7 @@ from ..operators import adaptation, chunking, classify, domains, extraction, gra
 from ..session import written
 from ..sources import documents as docs_source
 from ..streaming import events as streams
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, query  # noqa: F401  the tables of all queries
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -43,7 +27,7 @@ def _headed(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(
         F.lit("lost preface\n# "), "n_name", F.lit(" definitions\n"), "n_name", F.lit(" is a nation of the region "), "r_name", F.lit(".\n\nTrade of "), "n_name", F.lit(" depends on ships and on the price of grain.\n## Ports:\n"),
         "n_name", F.lit(" uses harbours.\nDr. A. Smith wrote 3.5 pages about "), "n_name", F.lit(". He was right. First read it. Then believe it.\nSHORT NOTE\n1. pack the "), "r_name", F.lit(" grain\n2. load the ship\n"),
-        "n_name", F.lit(" consists of coast and hills. Force is mass times acceleration. "), "n_name", F.lit(" is known as a port. "), "n_name", F.lit(" refers to a place on the map.\nAccess:\nA harbour is the rate of change of trade."),
+        "n_name", F.lit(" consists of coast and hills. Force is mass times acceleration. "), "n_name", F.lit(" is big\n is mass times speed. "), "n_name", F.lit(" is known as a port. "), "n_name", F.lit(" refers to a place on the map.\nAccess:\nA harbour is the rate of change of trade."),
     )
     return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), body.alias("text"))
 
@@ -59,7 +43,8 @@ Dr. A. Smith wrote 3.5 pages about ', n_name, '. He was right. First read it. Th
 SHORT NOTE
 1. pack the ', r_name, ' grain
 2. load the ship
-', n_name, ' consists of coast and hills. Force is mass times acceleration. ', n_name, ' is known as a port. ', n_name, ' refers to a place on the map.
+', n_name, ' consists of coast and hills. Force is mass times acceleration. ', n_name, ' is big
+ is mass times speed. ', n_name, ' is known as a port. ', n_name, ' refers to a place on the map.
 Access:
 A harbour is the rate of change of trade.') AS text FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
@@ -308,7 +293,9 @@ def dispatch_counts(spark, d):
 _CANDIDATES = """cand AS (SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 3 = 0 THEN upper(n_name) WHEN o_orderkey % 3 = 1 THEN lower(n_name) ELSE 'order ' || o_orderkey END AS value,
   'doc:' || (o_orderkey % 40) AS source_id, CASE WHEN o_orderkey % 5 = 0 THEN 'c' || (o_orderkey % 7) END AS chunk_id, 'm' AS method, CASE o_orderstatus WHEN 'F' THEN 'dataset' WHEN 'O' THEN 'document' ELSE 'execution' END AS source_type,
   (o_orderkey % 100) / 100.0::DOUBLE AS confidence, (o_orderkey % 4)::INT AS filled FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-node AS (SELECT 'n' || n_nationkey AS id, n_name AS value, 'doc:' || n_nationkey AS source_id, 'c' || (n_nationkey % 7) AS chunk_id, 'm' AS method FROM nation)"""
+node AS (SELECT 'n' || n_nationkey AS id, n_name AS value, 'doc:' || n_nationkey AS source_id, 'c' || (n_nationkey % 7) AS chunk_id, 'm' AS method FROM nation
+  UNION ALL SELECT 'p' || x.n_nationkey, y.n_name, 'doc:' || x.n_nationkey, 'c' || (x.n_nationkey % 7), 'm' FROM nation x JOIN nation y ON y.n_nationkey = (x.n_nationkey + 1) % 25 WHERE x.n_nationkey % 2 = 0
+  UNION ALL SELECT 'q' || n_nationkey, n_name, 'doc:' || n_nationkey, 'c' || (n_nationkey % 7), 'm' FROM nation)"""
 
 
 def _candidates(spark, d):
@@ -319,8 +306,11 @@ def _candidates(spark, d):
         F.when(k % 5 == 0, F.concat(F.lit("c"), (k % 7).cast("string"))).alias("chunk_id"), F.lit("m").alias("method"), F.when(F.col("o_orderstatus") == "F", "dataset").when(F.col("o_orderstatus") == "O", "document").otherwise("execution").alias("source_type"),
         ((k % 100) / 100.0).alias("confidence"), (k % 4).cast("int").alias("filled"),
     )
-    n = F.col("n_nationkey")
-    node = _t(spark, d, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("id"), F.col("n_name").alias("value"), F.concat(F.lit("doc:"), n.cast("string")).alias("source_id"), F.concat(F.lit("c"), (n % 7).cast("string")).alias("chunk_id"), F.lit("m").alias("method"))
+    n, nation = F.col("n_nationkey"), _t(spark, d, "nation")
+    at = lambda rows, letter, value: rows.select(F.concat(F.lit(letter), n.cast("string")).alias("id"), F.col(value).alias("value"), F.concat(F.lit("doc:"), n.cast("string")).alias("source_id"), F.concat(F.lit("c"), (n % 7).cast("string")).alias("chunk_id"), F.lit("m").alias("method"))
+    after = nation.select(((n + 24) % 25).alias("n_nationkey"), F.col("n_name").alias("next"))
+    # A place has one value, stated twice (n, q), and where the key is even another one between them (p).
+    node = at(nation, "n", "n_name").unionByName(at(nation.join(after, "n_nationkey").filter(n % 2 == 0), "p", "next")).unionByName(at(nation, "q", "n_name"))
     return cand, node
 
 
@@ -880,19 +870,27 @@ def book_chapters_star(spark, d):
     return chunking.chapters(_book(spark, d))
 
 
-@query(
-    f"""WITH books AS ({_BOOK}), {_chapters('books')}, cl AS (SELECT doc_id, chapter_id, unnest(range(0, len(x))) AS position, unnest(x) AS raw FROM (SELECT *, string_split(text, chr(10)) AS x FROM chapter)), ct AS (SELECT *, {_strip("raw")} AS t FROM cl),
+def _book_chunk_rows(books: str) -> str:
+    """CTEs from the chapters of a table of books to book_chunk."""
+    return f"""{_chapters(books)}, cl AS (SELECT doc_id, chapter_id, unnest(range(0, len(x))) AS position, unnest(x) AS raw FROM (SELECT *, string_split(text, chr(10)) AS x FROM chapter)), ct AS (SELECT *, {_strip("raw")} AS t FROM cl),
 gl AS (SELECT chapter_id FROM ct WHERE t <> '' GROUP BY chapter_id HAVING count(*) FILTER ({_IS_LINE.format(x="t")}) >= 3 AND count(*) FILTER ({_IS_LINE.format(x="t")}) * 2 >= count(*) AND avg(length(t)) <= 120 AND count(*) FILTER (regexp_matches(t, '(?i)^.{{1,60}} (is|depends on) ')) >= 2),
 src AS (SELECT chapter_id AS doc_id, text FROM chapter WHERE chapter_id NOT IN (SELECT chapter_id FROM gl)), {_ALL_SECTIONS.replace("h AS (", "sh AS (").replace("FROM h)", "FROM sh)").replace("s AS (SELECT *, count", "ss AS (SELECT *, count").replace("FROM s WHERE k", "FROM ss WHERE k").replace(" g AS (", " sg AS (").replace("\ng AS (", "\nsg AS (").replace("FROM g)", "FROM sg)")},
-pp AS (SELECT doc_id AS chapter_id, section_id, unnest(range(0, len(x))) AS para, unnest(x) AS raw FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS x FROM sec)), pq AS (SELECT chapter_id, para, {_strip("raw")} AS text, 'section:' || section_id || ':para:' || para AS location FROM pp)
-SELECT doc_id, chapter_id, 'glossary' AS mode, position::INT AS position, t AS text, 'chapter:' || chapter_id || ':line:' || position AS location, 'chunk_' || substr(sha256('doc:' || doc_id || '::book_glossary::' || position || '::' || lower(t)), 1, 8) AS chunk_id
+pp AS (SELECT doc_id AS chapter_id, section_id, unnest(range(0, len(x))) AS para, unnest(x) AS raw FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS x FROM sec)), pq AS (SELECT chapter_id, para, {_strip("raw")} AS text, 'section:' || section_id || ':para:' || para AS location FROM pp),
+book_chunk AS (SELECT doc_id, chapter_id, 'glossary' AS mode, position::INT AS position, t AS text, 'chapter:' || chapter_id || ':line:' || position AS location, 'chunk_' || substr(sha256('doc:' || doc_id || '::book_glossary::' || position || '::' || lower(t)), 1, 8) AS chunk_id
 FROM ct WHERE chapter_id IN (SELECT chapter_id FROM gl) AND {_IS_LINE.format(x="t")}
-UNION ALL SELECT c.doc_id, chapter_id, 'paragraph', para::INT, pq.text, location, 'chunk_' || substr(sha256('doc:' || c.doc_id || '::document_structured::' || location || '::' || lower(pq.text)), 1, 8) FROM pq JOIN chapter c USING (chapter_id) WHERE length(pq.text) >= 40"""
-)
+UNION ALL SELECT c.doc_id, chapter_id, 'paragraph', para::INT, pq.text, location, 'chunk_' || substr(sha256('doc:' || c.doc_id || '::document_structured::' || location || '::' || lower(pq.text)), 1, 8) FROM pq JOIN chapter c USING (chapter_id) WHERE length(pq.text) >= 40)"""
+
+
+@query(f"WITH books AS ({_BOOK}), {_book_chunk_rows('books')} SELECT * FROM book_chunk")
 def book_chunks(spark, d):
     return chunking.book_chunks(_book(spark, d))
 
 
+@query(f"WITH {_book_chunk_rows('documents')} SELECT * FROM book_chunk")
+def book_chunks_documents(spark, d):
+    return chunking.book_chunks(_docs(spark, d))
+
+
 # Graph maintenance, definitions and datasets
 
 

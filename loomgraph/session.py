@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -49,9 +50,33 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; deleted when Python ends, if the session still runs then."""
+    app = spark.sparkContext.applicationId
+    at = f"{shared_folder(spark)}/{app}"
+    if app not in _OWNED:
+        _OWNED.add(app)
+        atexit.register(_forget, spark, at)
+    return at
+
+
+_OWNED: set[str] = set()
+
+
+def _forget(spark: SparkSession, at: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        deleted(spark, at)
+
+
+def deleted(spark: SparkSession, at: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what is read more than once is computed once, and a lost executor loses nothing."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    at = f"{own_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import own_folder
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -30,16 +30,17 @@ def run_available(spark: SparkSession, stream: DataFrame, keys: tuple[str, ...]
     Each micro-batch appends its updates to a table in the shared folder, where the checkpoint is too: a batch that is run again
     replaces its own part, and nothing passes through the driver.
     """
-    at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    at = f"{own_folder(spark)}/streams/{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/updates/part={number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{at}/updates/part={number}")
 
     query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
+    spark.createDataFrame([], stream.schema.add("_batch", "long")).write.parquet(f"{at}/updates/part=-1")  # a stream without any batch has no updates
     updates = spark.read.parquet(f"{at}/updates").drop("part")
     values = [c for c in updates.columns if c not in (*keys, "_batch")]
     last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))

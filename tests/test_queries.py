@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from loomgraph.plans import catalog
+from loomgraph.plans import catalog, stored  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
