@@ -30,3 +30,8 @@ def replayed(events: DataFrame) -> DataFrame:
     last = last.groupBy("trace").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "payload")))).alias("last_of"))
     out = marked.groupBy("trace").agg(F.array_join(F.transform(stages, lambda x: x["stage"]), " → ").alias("stages"))
     return out.join(last, "trace")
+
+
+def without_nulls(record: Column) -> Column:
+    """A map without its null values: what lossless compression leaves of a record whose missing keys read as null."""
+    return F.map_filter(record, lambda _, v: v.isNotNull())

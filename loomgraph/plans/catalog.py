@@ -573,19 +573,22 @@ def _after_sql(word: str) -> str:
 
 def _route_sql(source: str, key: str, text: str) -> str:
     no_term = ", ".join(f"'{w}'" for w in routing.NO_TERM)
-    relation = "CASE " + " ".join(f"WHEN list_has_any(l, [{', '.join(repr(w) for w in f.split())}]) THEN '{n}'" for n, f in routing.RELATION_WORDS) + " END"
+    relation = "CASE " + " ".join(f"WHEN list_has_any(l, [{', '.join(repr(w) for w in f)}]) THEN '{n}'" for n, f in routing.RELATION_WORDS) + " END"
     verbs = "['simplify', 'expand', 'factor', 'solve', 'calculate', 'compute', 'differentiate', 'integrate', 'evaluate']"
     AT = f"list_position(list_transform(low, lambda x: list_contains({verbs}, x)), true)"
     tail = "nullif(array_to_string(words[2:], ' '), '')"
+    P = "list_position(low, 'force')"
+    stop, both = f"list_position(list_transform(low[{P} + 1:], lambda x: x IN ('and', 'mass')), true)", f"list_position(low[{P} + 1:], 'and')"
+    FORCE = f"CASE WHEN {P} > 0 THEN coalesce(CASE WHEN {both} > 1 THEN array_to_string(words[{P} + 1:{P} + {both} - 1], ' ') END, nullif(array_to_string(CASE WHEN {stop} > 0 THEN words[{P} + 1:{P} + {stop} - 1] ELSE words[{P} + 1:] END, ' '), '')) END"
     arms = []
-    for rule, operator, keywords, required, priority in routing.ranked_rules():
-        test = " AND ".join([f"list_contains(l, '{w}')" for w in keywords.split()] + [f"{s} IS NOT NULL" for s in required.split()])
+    for rule, operator, keywords, required, _, priority in routing.ranked_rules():
+        test = " AND ".join([f"list_contains(l, '{w}')" for w in keywords] + [f"{s} IS NOT NULL" for s in required])
         arms.append((test, rule, operator, priority))
     pick = lambda i: "CASE " + " ".join(f"WHEN {a[0]} THEN " + (f"'{a[i]}'" if isinstance(a[i], str) else str(a[i])) for a in arms) + " END"
     return f"""t AS (SELECT {key}, regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+(?:''[\\p{{L}}\\p{{N}}_]+)?|[^\\p{{L}}\\p{{N}}_\\s]') AS t FROM {source}),
 w AS (SELECT *, list_transform(t, lambda x: lower(x)) AS l, list_filter(t, lambda x: x NOT IN ('?', '.', ',', '!', ';', ':')) AS words FROM t), v AS (SELECT *, list_transform(words, lambda x: lower(x)) AS low FROM w),
 s AS (SELECT *, nullif(trim(array_to_string(list_filter(words, lambda x: lower(x) NOT IN ({no_term})), ' ')), '') AS term, {relation} AS relation_type, {_after_sql("of")} AS region,
-  CASE WHEN {AT} > 0 THEN nullif(array_to_string(words[{AT} + 1:], ' '), '') ELSE {tail} END AS expression, {_after_sql("force")} AS force, coalesce({_after_sql("mass")}, {_after_sql("weight")}) AS mass,
+  CASE WHEN {AT} > 0 THEN nullif(array_to_string(words[{AT} + 1:], ' '), '') ELSE {tail} END AS expression, {FORCE} AS force, coalesce({_after_sql("mass")}, {_after_sql("weight")}) AS mass,
   CASE WHEN list_position(low, 'first') > 0 AND list_position(low, 'in') > list_position(low, 'first') + 1 THEN 'x' END AS predicate, {_after_sql("in")} AS collection, coalesce({_after_sql("of")}, {tail}) AS substance,
   coalesce({_after_sql("into")}, {_after_sql("from")}, {_after_sql("account")}) AS account, list_filter(words, lambda x: regexp_matches(x, '^\\d+(\\.\\d+)?$'))[1] AS amount FROM v)
 SELECT {key}, {pick(1)} AS rule, coalesce({pick(2)}, 'generic') AS operator, ({pick(3)})::INT AS priority, term, relation_type, region, expression, amount FROM s"""

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import sql as sql_functions
 from ..functions import typed
 from ..functions.text import definition_term, trace_id
-from ..operators import extraction, graph, graph_queries
+from ..operators import adaptation, extraction, graph, graph_queries, ingest, routing
 from ..session import own_folder, written
 from ..sources.graph_store import GraphStore, rebuilt_definitions
 from ..streaming import books, salience
-from .catalog import _DEFINED, _STAR, _WHOLE_STAR, _CLOSURE, _RELATED, _book_chunk_rows, _definitions, _docs, _related, _relationships, _star, _strip, _t, _whole_star
+from .catalog import _CLAIMS, _DEFINED, _STAR, _WHOLE_STAR, _CLOSURE, _RELATED, _book_chunk_rows, _definitions, _docs, _related, _relationships, _route_sql, _star, _strip, _t, _whole_star
 from .registry import query
 
 # A graph in versions
@@ -265,3 +265,36 @@ def unit_conversions(spark, d):
     pick = lambda *units: F.get(F.array(*map(F.lit, units)), n - 1)
     rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", pick("km", "m", "g", "kJ", "m/s", "kg", "km").alias("unit"), pick("m", "cm", "kg", "J", "km/h", "MJ", "km").alias("target"))
     return typed.with_converted(rows, "l_quantity", "unit", "target").drop("l_quantity")
+
+
+# Questions for every rule, knowledge items, compression
+
+_RULE_ASKS = [" ".join(r[2]) for r in routing.ranked_rules()]
+
+
+@query(
+    "WITH asks AS (SELECT n_nationkey, ask::INT AS ask, q || ' ' || n_name || ' 7 in list of things' AS text FROM nation, (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(_RULE_ASKS)) + f") v(ask, q)), {_route_sql('asks', 'n_nationkey, ask', 'text')}"
+)
+def route_all_rules(spark, d):
+    """The keywords of each of the 89 rules as a question about each nation."""
+    asks = F.array(*[F.struct(F.lit(i).alias("ask"), F.lit(q).alias("q")) for i, q in enumerate(_RULE_ASKS)])
+    rows = _t(spark, d, "nation").select("n_nationkey", "n_name", F.explode(asks).alias("a")).select("n_nationkey", "a.ask", F.concat("a.q", F.lit(" "), "n_name", F.lit(" 7 in list of things")).alias("text"))
+    return routing.route(rows).drop("text")
+
+
+@query(
+    f"""WITH keyed AS (SELECT doc_id * 1000000 + i - 1 AS doc_id, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS p FROM documents)) WHERE length(p[i]) >= 40),
+d AS ({_definitions("keyed")}), c AS ({_CLAIMS.replace("FROM documents", "FROM keyed")}), last AS (SELECT doc_id // 1000000 AS doc, term, arg_max(struct_pack(d := definition, c := confidence), struct_pack(a := doc_id, p := pos)) AS l FROM d GROUP BY ALL)
+SELECT 'title ' || doc || '::defn::' || term AS key, 'definition' AS kind, l.d AS content, doc AS doc_id, l.c AS confidence FROM last
+UNION ALL SELECT 'title ' || doc_id // 1000000 || '::claim::' || row_number() OVER (PARTITION BY doc_id // 1000000 ORDER BY doc_id, pos) - 1, 'claim', claim, doc_id // 1000000, 0.7::DOUBLE FROM c"""
+)
+def knowledge_items(spark, d):
+    return ingest.knowledge_items(_docs(spark, d).withColumn("title", F.concat(F.lit("title "), F.col("doc_id").cast("string"))))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 2 = 0)::INT + (o_orderkey % 3 = 0)::INT + 1 AS kept, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS priority FROM orders")
+def null_strip(spark, d):
+    k = F.col("o_orderkey")
+    record = F.create_map(F.lit("status"), F.when(k % 2 == 0, F.col("o_orderstatus")), F.lit("priority"), F.when(k % 3 == 0, F.col("o_orderpriority")), F.lit("key"), k.cast("string"))
+    less = adaptation.without_nulls(record)
+    return _t(spark, d, "orders").select("o_orderkey", F.size(less).alias("kept"), F.try_element_at(less, F.lit("priority")).alias("priority"))

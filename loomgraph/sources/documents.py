@@ -14,10 +14,11 @@ def text_documents(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def json_documents(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, title, author, text: one row per JSON file; text is the whole object as JSON."""
+    """path, title, author, text: one row per JSON file; text is the whole object as JSON, the title that of the object, else the file's name without its ending."""
     files = spark.read.text(list(paths), wholetext=True)
-    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
-    return files.select(F.col("_metadata.file_path").alias("path"), field("title"), field("author"), F.col("value").alias("text"))
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    path = F.col("_metadata.file_path")
+    return files.select(path.alias("path"), F.coalesce(field("title"), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("title"), field("author").alias("author"), F.col("value").alias("text"))
 
 
 def dataset_rows(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -286,3 +286,43 @@ def test_units_of_rows(spark):
     got = typed.with_converted(rows, "v", "u", "t").collect()
     assert Counter(r.error for r in got) == {None: 4, "No conversion from kg to m": 1, "No conversion from null to m": 1, "No conversion from m to m": 1}
     assert {(r.u, r.t): r.converted for r in got if r.error is None and r.v} == {("km", "m"): 1000.0, ("m", "km"): 0.005, ("km/h", "m/s"): 36.0 * (1 / 3.6)}
+
+
+def test_command_lines_and_batch_options(spark, tmp_path):
+    from loomgraph.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.txt", b"Force is a push on a thing. Force depends on mass and speed, as force uses mass."), ("b.txt", b"\xff\xfe"), ("c.txt", b"Mass is matter of a body. A port uses ships of all nations.")):
+        (tmp_path / "in" / name).write_bytes(text)
+    state, folder = f"file://{tmp_path}/s", str(tmp_path / "in")
+    run = lambda *args: main([args[0], "--state", state, "--buckets", "8", *args[1:]], spark)
+    rows = [(Path(r.path).name, r.success, r.error, r.version) for r in run("batch", "--save-per-file", folder).collect()]
+    assert rows == [("a.txt", True, None, 1), ("b.txt", False, "not UTF-8", None), ("c.txt", True, None, 2)]
+    rows = [(Path(r.path).name, r.success, r.version) for r in run("batch", "--stop-on-error", folder).collect()]
+    assert rows == [("a.txt", True, 3), ("b.txt", False, None)]
+    assert run("batch", "--max-files", "1", folder).count() == 1
+    got = {r.question: (r.operator, r.answer) for r in run("ask", "what is force", "what is xyzzy", "frobnicate the quux").collect()}
+    assert got == {"what is force": ("discourse.GET_DEFINITION", "Force is a push on a thing."), "what is xyzzy": ("discourse.GET_DEFINITION", None), "frobnicate the quux": ("generic", None)}
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books" / "one.txt").write_text(BOOKS[0][1])
+    assert [(r.chapters, r.empty) for r in run("books", str(tmp_path / "books")).collect()] == [(3, 1)]
+    with pytest.raises(SystemExit):
+        main(["batch", "--state", state, "--mode", "none", folder], spark)
+    from loomgraph.operators.ingest import Ingestion
+
+    for wrong in ({"mode": "none"}, {"max_files": 0}):
+        with pytest.raises(ValueError):
+            Ingestion(**wrong)
+
+
+def test_questions_reach_the_rules(spark):
+    from loomgraph.operators import routing
+
+    asks = [(" ".join(r[2]) + " Peru 7 in list of things",) for r in routing.RULES]
+    reached = {r.rule for r in routing.route(spark.createDataFrame(asks, "text string")).collect()}
+    assert len(reached) > 60
+
+
+def test_scores_of_dictionary_definitions(spark):
+    row = spark.range(1).select(*(F.round(validation.quality_score(F.lit(c), F.lit("document"), F.lit(1), F.lit(m), mode), 6).alias(n) for n, c, m, mode in (("a", 0.8, "definition_extractor", "dictionary"), ("b", 0.8, "definition_extractor", "document"), ("c", 0.8, "claims", "dictionary"), ("d", 7.0, "pattern_v1", "dictionary")))).first()
+    assert tuple(row) == (round(0.85 * 0.8 + 0.12 + 0.1 / 3, 6), round(0.7 * 0.8 + 0.12 + 0.1 / 3, 6), round(0.7 * 0.8 + 0.12 + 0.1 / 3, 6), 1.0)
