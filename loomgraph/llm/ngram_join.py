@@ -254,7 +254,7 @@ def verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, rule: JoinRule)
 def labelled_sets(df: DataFrame, key: str, text: str, rule: JoinRule) -> tuple[DataFrame, DataFrame]:
     """Two written tables: (id, n, node) for each row of df, and (_k, label) for each node."""
     spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 4)
     texts = df.select(F.col(key).try_cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     counted = materialize(texts.mapInArrow(_counted(rule), "id long, n long, node long, slice int, part int, counts binary"), "ngram-sets")
     documents = materialize(counted.filter("slice is null").select("id", "n", "node"), "ngram-documents")

@@ -134,7 +134,7 @@ def judge_documents(df: DataFrame, key: str = "doc_id", text: str = "text", rule
 
 def clean_documents(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The kept rows of df with all its columns; failing lines are gone from text (and from n_chars, if there)."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, 4)
     fields = [f"`_c{i}` {k}" for i, (_, k) in enumerate(df.dtypes)]
     schema = ", ".join([*fields, *(f"{c} long" for c in _COUNTS), "base_failed boolean", "kept boolean", "_clean binary"])
     numbered = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))

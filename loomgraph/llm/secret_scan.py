@@ -238,7 +238,7 @@ def scan_documents(df: DataFrame, key: str = "doc_id", text: str = "text", base:
 
 def redact_documents(df: DataFrame, text: str = "text", rules: tuple[SecretRule, ...] = BASE_RULES + MORE_RULES, mark: str = "[REDACTED]") -> DataFrame:
     """df with every span replaced by mark (overlapping spans by one); n_chars follows, all else stays."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, 4)
     at = df.columns.index(text)
     numbered = df.toDF(*(f"_c{i}" for i in range(len(df.columns)))).withColumn(f"_c{at}", F.col(f"_c{at}").cast("binary"))
 
