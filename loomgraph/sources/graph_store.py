@@ -143,7 +143,7 @@ class GraphStore:
     def bucketed(self, table: str, name: str, by: str, buckets: int | None = None) -> DataFrame:
         """The table as one of Spark's catalog, bucketed and sorted by a column: joins with others of that kind need no shuffle."""
         rows = self.read(table).repartition(buckets or self.buckets, by)
-        rows.write.mode("overwrite").bucketBy(buckets or self.buckets, by).sortBy(by).option(f"parquet.bloom.filter.enabled#{by}", "true").saveAsTable(name)
+        rows.write.mode("overwrite").bucketBy(buckets or self.buckets, by).sortBy(by).option(f"parquet.bloom.filter.enabled#{by}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").saveAsTable(name)
         return self.spark.table(name)
 
     # Writing
@@ -184,7 +184,7 @@ class GraphStore:
             return {str(manifest["version"] + 1): folder}
         merged = merge(table, self._read(table, manifest, touched), rows)
         out = merged.withColumn("bucket", self.bucket_of(table)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *layout.key)
-        writer = out.write.partitionBy("bucket")
+        writer = out.write.partitionBy("bucket").option("parquet.bloom.filter.adaptive.enabled", "true")  # sized by what a file holds, not a megabyte each
         for column in layout.blooms:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(f"{self.path}/{folder}")
