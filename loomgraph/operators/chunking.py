@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, guarded_sentences, prefixed_hash, stripped
@@ -27,7 +27,7 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("line"), "text")
 
 
-def is_dictionary_line(text):
+def is_dictionary_line(text: Column) -> Column:
     """Two words or more, not punctuation only, with a known verb as a word (which is a letter too); two searches, no arrays."""
     return text.rlike(r"(?i)(?:^|\s)(?:" + "|".join(VERBS) + r")[.,;:!?]*(?:\s|$)") & text.rlike(r"\S\s+\S")
 
@@ -99,6 +99,19 @@ def glossary_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_valid", "mean_length", ((F.col("n_valid") >= 3) & (F.col("n_valid") * 2 >= F.col("n_lines")) & (F.col("mean_length") <= 120) & (F.col("n_says") >= 2)).alias("is_glossary"))
 
 
+def is_glossary(text: Column) -> Column:
+    """Whether a text reads as line-by-line definitions, as in glossary_documents, told of each row by itself."""
+    says = r"(?i)^.{1,60} (is|depends on) "
+
+    def of(filled: Column) -> Column:
+        n, valid = F.size(filled), F.size(F.filter(filled, is_dictionary_line))
+        length = F.aggregate(filled, F.lit(0).cast("long"), lambda total, x: total + F.char_length(x))
+        return (valid >= 3) & (valid * 2 >= n) & (length <= 120 * n) & (F.size(F.filter(filled, lambda x: x.rlike(says))) >= 2)
+
+    filled = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
+    return F.coalesce(F.element_at(F.transform(F.array(filled), of), 1), F.lit(False))  # bound by transform, so computed once
+
+
 #: Words and phrases at the start of a sentence that continues what was said. Fixed values.
 PRONOUNS = ("it", "its", "this", "that", "these", "those", "they", "their", "them", "he", "his", "she", "her", "we", "our", "us", "such", "both", "each", "which")
 CONNECTIVES = (
@@ -140,7 +153,8 @@ def chapters(books: DataFrame) -> DataFrame:
     Headings: "Chapter X" with or without a title, # marks before "Chapter", and lines of at most five words in capitals. What
     stands before the first one is dropped; a book without any is one chapter without a title.
     """
-    numbered = books.select("doc_id", F.octet_length("text").alias("_bytes"), F.substring("text", 1, 1000).alias("_head"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    book = prefixed_hash("", 16, F.lit("doc:"), F.col("doc_id").cast("string"), F.lit("::"), F.octet_length("text").cast("string"), F.lit("::"), F.substring("text", 1, 1000))
+    numbered = books.select("doc_id", book.alias("_book"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     t = F.rtrim("text")
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     plain = t.rlike(r"^(Chapter|CHAPTER)\s+\S+(\s*[:.\-]\s*.*)?$")
@@ -151,29 +165,29 @@ def chapters(books: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("title", title).withColumn("chapter", F.count("title").over(own)).withColumn("_any", F.count("title").over(Window.partitionBy("doc_id")) > 0)
     numbered = numbered.filter((F.col("chapter") > 0) | ~F.col("_any"))
     body = F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("line", "text"))))
-    out = numbered.groupBy("doc_id", "chapter").agg(F.max("title").alias("title"), F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.max("_bytes").alias("_bytes"), F.max("_head").alias("_head"), stripped(F.array_join(F.transform(body, lambda x: x["text"]), "\n")).alias("text"))
+    out = numbered.groupBy("doc_id", "chapter").agg(F.max("title").alias("title"), F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.max("_book").alias("_book"), stripped(F.array_join(F.transform(body, lambda x: x["text"]), "\n")).alias("text"))
     out = out.withColumn("chapter", F.greatest(F.col("chapter") - 1, F.lit(0)))
-    book = prefixed_hash("", 16, F.lit("doc:"), F.col("doc_id").cast("string"), F.lit("::"), F.col("_bytes").cast("string"), F.lit("::"), F.col("_head"))
-    named = prefixed_hash("chap_", 12, book, F.lit("::chapter::"), F.col("chapter").cast("string"), F.lit("::"), F.coalesce("title", F.lit("")))
+    named = prefixed_hash("chap_", 12, F.col("_book"), F.lit("::chapter::"), F.col("chapter").cast("string"), F.lit("::"), F.coalesce("title", F.lit("")))
     return out.select("doc_id", "chapter", named.alias("chapter_id"), "title", "start_line", "end_line", "text")
 
 
 def book_chunks(books: DataFrame, least: int = 40) -> DataFrame:
-    """doc_id, chapter_id, mode (glossary or paragraph), position, text, location, chunk_id: chunks of all chapters.
+    """The chunks of all chapters of books; see chapter_chunks."""
+    return chapter_chunks(chapters(books), least)
+
+
+def chapter_chunks(parts: DataFrame, least: int = 40) -> DataFrame:
+    """doc_id, chapter_id, mode (glossary or paragraph), position, text, location, chunk_id: chunks of rows of chapters().
 
     Chapters that read as glossaries give their definition lines (position: line from 0), others the paragraphs of their sections
     (position: paragraph from 0).
     """
-    parts = chapters(books).select("doc_id", "chapter_id", "text")
-    own = parts.select(F.col("chapter_id").alias("doc_id"), "text")
-    kind = glossary_documents(own).filter("is_glossary").select(F.col("doc_id").alias("_chapter"))
-    listed = parts.join(kind, F.col("chapter_id") == F.col("_chapter"), "left_semi")
-    lined = listed.select("doc_id", "chapter_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("text", stripped("text")).filter(is_dictionary_line(F.col("text")))
+    parts = parts.select("doc_id", "chapter_id", "text", is_glossary(F.col("text")).alias("_glossary"))
+    lined = parts.filter("_glossary").select("doc_id", "chapter_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("text", stripped("text")).filter(is_dictionary_line(F.col("text")))
     place = F.concat(F.lit("chapter:"), F.col("chapter_id"), F.lit(":line:"), F.col("position").cast("string"))
     path = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
     lined = lined.select("doc_id", "chapter_id", F.lit("glossary").alias("mode"), "position", "text", place.alias("location"), chunk_id(path, "book_glossary", F.col("position"), F.col("text")).alias("chunk_id"))
-    told = parts.join(kind, F.col("chapter_id") == F.col("_chapter"), "left_anti")
-    chunks = structured_chunks(told.select(F.col("chapter_id").alias("doc_id"), "text"), least).select(F.col("doc_id").alias("_of"), "para", "text", "location")
-    chunks = told.select("doc_id", "chapter_id").join(chunks, F.col("chapter_id") == F.col("_of"))
+    told = parts.filter("not _glossary").select(F.struct("doc_id", "chapter_id").alias("doc_id"), "text")
+    chunks = structured_chunks(told, least).select("doc_id.doc_id", "doc_id.chapter_id", "para", "text", "location")
     named = prefixed_hash("chunk_", 8, path, F.lit("::document_structured::"), F.col("location"), F.lit("::"), F.lower("text"))
     return lined.unionByName(chunks.select("doc_id", "chapter_id", F.lit("paragraph").alias("mode"), F.col("para").alias("position"), "text", "location", named.alias("chunk_id")))

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +78,19 @@ def deleted(spark: SparkSession, at: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what is read more than once is computed once, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    at = f"{own_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return _table(df, f"{own_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}")
+
+
+def _table(df: DataFrame, at: str) -> DataFrame:
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function as written(), whose tables are deleted when the block ends, also after a failure."""
+    at = f"{own_folder(spark)}/scratch/{uuid.uuid4().hex}"
+    try:
+        yield lambda df, name: _table(df, f"{at}/{name}-{uuid.uuid4().hex}")
+    finally:
+        deleted(spark, at)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import definition_term, node_id, trace_id
 from ..operators import chunking, extraction
-from ..session import written
+from ..session import scratch
 from ..sources.graph_store import GraphStore
 
 MANIFEST = "doc_id string, chapter int, chapter_id string, title string, chunk_mode string, status string, n_chunks long, n_definitions long, n_relationships long"
@@ -63,25 +63,31 @@ def ingest_books(stream: DataFrame, at: str, store: GraphStore, parts: int = 1,
     spark = store.spark
 
     def take(batch: DataFrame, number: int) -> None:
-        books = written(batch.filter("doc_id is not null and text is not null"), "books")
-        chapters, chunks = written(chunking.chapters(books), "chapters"), written(chunking.book_chunks(books), "book-chunks")
-        mine = lambda df, part: df.filter(F.pmod(F.xxhash64("chapter_id"), F.lit(parts)) == part)
-        for part in range(parts):
-            place = f"{at}/manifest/batch={number}/part={part}"
-            done, files = store._hadoop(f"{place}/_SUCCESS")
-            if files.exists(done):
-                continue
-            own = mine(chunks, part)
-            definitions, triples = (written(x, "book-rows") for x in book_rows(own))
-            edges, traces = book_edges(triples)
-            store.upsert(nodes=book_nodes(definitions), edges=edges, traces=traces)
-            out = mine(chapters, part).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chapter").cast("int").alias("chapter"), "chapter_id", "title")
-            for name, rows, key in (("n_chunks", own, "chapter_id"), ("n_definitions", definitions, "of.chapter_id"), ("n_relationships", triples, "of.chapter_id")):
-                out = out.join(rows.groupBy(F.col(key).alias("chapter_id")).agg(F.count(F.lit(1)).alias(name)), "chapter_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-            modes = own.groupBy("chapter_id").agg(F.min("mode").alias("chunk_mode"))
-            out.join(modes, "chapter_id", "left").withColumn("status", F.when(F.col("n_chunks") > 0, "complete").otherwise("empty")).select(*(c.split()[0] for c in MANIFEST.split(", "))).write.mode("overwrite").parquet(place)
-            if after_part:
-                after_part(number, part)
+        with scratch(spark) as keep:
+            with scratch(spark) as write:
+                chapters = write(chunking.chapters(batch.filter("doc_id is not null and text is not null")), "chapters")
+                chunks = keep(chunking.chapter_chunks(chapters), "chunks")
+                titles = keep(chapters.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chapter").cast("int").alias("chapter"), "chapter_id", "title"), "titles")
+            mine = lambda df, part: df.filter(F.pmod(F.xxhash64("chapter_id"), F.lit(parts)) == part)
+            for part in range(parts):
+                place = f"{at}/manifest/batch={number}/part={part}"
+                done, files = store._hadoop(f"{place}/_SUCCESS")
+                if files.exists(done):
+                    continue
+                with scratch(spark) as write:
+                    take_part(mine(titles, part), mine(chunks, part), place, write)
+                if after_part:
+                    after_part(number, part)
+
+    def take_part(titles: DataFrame, chunks: DataFrame, place: str, write: Callable[[DataFrame, str], DataFrame]) -> None:
+        definitions, triples = (write(x, "rows") for x in book_rows(chunks))
+        edges, traces = book_edges(triples)
+        store.upsert(nodes=book_nodes(definitions), edges=edges, traces=traces)
+        out = titles
+        for name, rows, key in (("n_chunks", chunks, "chapter_id"), ("n_definitions", definitions, "of.chapter_id"), ("n_relationships", triples, "of.chapter_id")):
+            out = out.join(rows.groupBy(F.col(key).alias("chapter_id")).agg(F.count(F.lit(1)).alias(name)), "chapter_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        modes = chunks.groupBy("chapter_id").agg(F.min("mode").alias("chunk_mode"))
+        out.join(modes, "chapter_id", "left").withColumn("status", F.when(F.col("n_chunks") > 0, "complete").otherwise("empty")).select(*(c.split()[0] for c in MANIFEST.split(", "))).write.mode("overwrite").parquet(place)
 
     query = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(take).start()
     try:

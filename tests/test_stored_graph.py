@@ -1,6 +1,7 @@
 """Stored graphs, resumed books, stream states, compositions with cycles, numbering, SQL functions: small cases and plans."""
 
 import math
+import os
 import random
 import uuid
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import sql as sql_functions
 from loomgraph.functions import typed
-from loomgraph.operators import extraction, graph, graph_queries, numbering, validation
+from loomgraph.operators import chunking, extraction, graph, graph_queries, numbering, validation
 from loomgraph.sources.graph_store import GraphStore, rebuilt_definitions
 from loomgraph.streaming import books, salience
 
@@ -326,3 +327,24 @@ def test_questions_reach_the_rules(spark):
 def test_scores_of_dictionary_definitions(spark):
     row = spark.range(1).select(*(F.round(validation.quality_score(F.lit(c), F.lit("document"), F.lit(1), F.lit(m), mode), 6).alias(n) for n, c, m, mode in (("a", 0.8, "definition_extractor", "dictionary"), ("b", 0.8, "definition_extractor", "document"), ("c", 0.8, "claims", "dictionary"), ("d", 7.0, "pattern_v1", "dictionary")))).first()
     assert tuple(row) == (round(0.85 * 0.8 + 0.12 + 0.1 / 3, 6), round(0.7 * 0.8 + 0.12 + 0.1 / 3, 6), round(0.7 * 0.8 + 0.12 + 0.1 / 3, 6), 1.0)
+
+
+def test_glossaries_are_told_alike_by_row_and_by_lines(spark):
+    line = "Force is a push."
+    texts = ["", "\n\n", line, "\n".join([line] * 3), "\n".join([line] * 3 + ["plain words here"] * 3), "\n".join([line] * 3 + ["plain words here"] * 4), "\n".join([line, line, "Mass has weight."]), "\n".join([line, "Mass has weight.", "Mass has weight."]), "\n".join([line + "x" * 104] * 3), "\n".join([line + "x" * 105] * 3), "  \n".join([f"  {line}"] * 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_lines = {r.doc_id for r in chunking.glossary_documents(docs).filter("is_glossary").collect()}
+    by_row = {r.doc_id for r in docs.filter(chunking.is_glossary(docs.text)).collect()}
+    assert by_row == by_lines == {3, 4, 6, 8, 10}
+    assert not spark.createDataFrame([(None,)], "text string").select(chunking.is_glossary(F.col("text")).alias("g")).first().g
+
+
+def test_scratch_tables_go(spark):
+    from loomgraph import session
+
+    with pytest.raises(ZeroDivisionError), session.scratch(spark) as write:
+        table = write(spark.range(3).toDF("x"), "t")
+        at = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 3 and os.path.exists(at)
+        1 / 0
+    assert not os.path.exists(os.path.dirname(at))
