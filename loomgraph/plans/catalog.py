@@ -917,7 +917,7 @@ def graph_insert(spark, d):
 
 @query(
     """WITH said AS (SELECT n_name AS term, 'region ' || r_name AS definition, 'atlas' AS source_id, 0.8::DOUBLE AS confidence, n_nationkey AS step FROM nation JOIN region ON n_regionkey = r_regionkey),
-node AS (SELECT 'd' || c_custkey AS id, n_name AS term, 'home of ' || c_custkey AS definition, (c_custkey % 10) / 10.0::DOUBLE AS confidence, 1.0::DOUBLE AS salience, c_custkey AS step, c_custkey % 3 AS p FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey < 20),
+node AS (SELECT 'd' || c_custkey AS id, n_name AS term, 'home of ' || c_custkey AS definition, (c_custkey % 10) / 10.0::DOUBLE AS confidence, 1.0::DOUBLE AS salience, c_custkey AS step, c_custkey % 3 AS p FROM customer JOIN nation ON c_nationkey = n_nationkey),
 cand AS (SELECT lower(term) AS k, definition, confidence, 1.0 AS salience, step, NULL AS id, 0 AS p FROM said UNION ALL SELECT lower(term), definition, confidence, salience, step, id, p FROM node),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, salience DESC, step DESC, coalesce(id, '')) AS rn, count(*) OVER (PARTITION BY k) AS n, sum(p) OVER (PARTITION BY k) AS total FROM cand), asked AS (SELECT n_name || '!' AS term FROM nation UNION SELECT 'no ' || r_name FROM region)
 SELECT term, k IS NOT NULL AS hit, definition, id AS node_id, coalesce(confidence, 0.0) AS confidence, coalesce(n, 0) AS n_candidates, coalesce(total, 0)::BIGINT AS n_provenance FROM asked LEFT JOIN (SELECT * FROM r WHERE rn = 1) ON k = lower(replace(term, '!', ''))"""
@@ -928,7 +928,7 @@ def definition_ranking(spark, d):
     again = once.select(F.upper("term").alias("term"), F.lit("later").alias("definition"), "source_id", F.lit(0.9).alias("confidence"), "step", (F.col("seq") + 100).alias("seq"))
     registered = graph_queries.registered_definitions(once.unionByName(again)).withColumn("node_id", F.lit(None).cast("string"))
     k = F.col("c_custkey")
-    nodes = _t(spark, d, "customer").filter("c_nationkey < 20").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = _t(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     nodes = nodes.select(F.concat(F.lit("d"), k.cast("string")).alias("id"), F.col("n_name").alias("term"), F.concat(F.lit("home of "), k.cast("string")).alias("definition"), ((k % 10) / 10.0).alias("confidence"), F.lit(1.0).alias("salience"), k.cast("long").alias("step"), (k % 3).cast("long").alias("n_provenance"))
     asked = nation.select(F.concat("n_name", F.lit("!")).alias("term")).unionByName(region.select(F.concat(F.lit("no "), "r_name").alias("term")))
     return graph_queries.ranked_definitions(asked, registered, nodes)
