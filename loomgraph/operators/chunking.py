@@ -1,7 +1,13 @@
-"""Documents (doc_id, text) to chunks, one row each. All are narrow: nothing here shuffles but the window over one document."""
+"""Documents (doc_id, text) to chunks, one row each.
+
+What a document is cut at (headings, chapters) is told within its own row, so cutting is narrow: a text is never shuffled. Only the parents
+of sections, and groups of sentences, need a window over one document.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +44,51 @@ def dictionary_chunks(docs: DataFrame, least: int = 5) -> DataFrame:
     return kept.select("doc_id", "line", "text", chunk_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), "dictionary", F.col("line"), F.col("text")).alias("chunk_id"), F.concat(F.lit("line:"), F.col("line").cast("string")).alias("location"))
 
 
+def _heading(text: Column) -> Column:
+    """level and heading of a line as a struct, null where it is no heading; see headings()."""
+    t = F.rtrim(text)
+    words = F.size(F.filter(F.split(stripped(t), r"\s+"), lambda w: w != ""))
+    marks = F.regexp_extract(t, r"^(#{1,6})\s+(.+)$", 1)
+    capitals = (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$") & t.rlike(r"\p{Lu}") & (words <= 10)
+    colon = t.endswith(":") & (F.char_length(t) <= 50)
+    is_level = lambda level, title: F.struct(level.cast("int").alias("level"), title.alias("heading"))
+    return F.when(marks != "", is_level(F.char_length(marks), stripped(F.regexp_extract(t, r"^(#{1,6})\s+(.+)$", 2)))).when(capitals, is_level(F.lit(1), F.initcap(F.lower(t)))).when(colon, is_level(F.lit(2), stripped(F.left(t, F.char_length(t) - 1))))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """doc_id, line, text, level, heading: every line, with level null where it is no heading.
 
     #-marks (level by count), lines of at most 10 words in capitals (level 1), and lines of at most 50 characters that end
     with a colon (level 2).
     """
-    t = F.rtrim("text")
-    words = F.size(F.filter(F.split(stripped(t), r"\s+"), lambda w: w != ""))
-    marks = F.regexp_extract(t, r"^(#{1,6})\s+(.+)$", 1)
-    capitals = (words <= 10) & (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$") & t.rlike(r"\p{Lu}")
-    colon = t.endswith(":") & (F.char_length(t) <= 50)
-    level = F.when(t == "", F.lit(None)).when(marks != "", F.char_length(marks)).when(capitals, 1).when(colon, 2)
-    title = F.when(marks != "", stripped(F.regexp_extract(t, r"^(#{1,6})\s+(.+)$", 2))).when(capitals, F.initcap(F.lower(t))).when(colon, stripped(F.expr("substring(rtrim(text), 1, char_length(rtrim(text)) - 1)")))
-    return lines(docs).select("doc_id", "line", "text", level.cast("int").alias("level"), F.when(level.isNotNull(), title).alias("heading"))
+    told = lines(docs).withColumn("_h", _heading(F.col("text")))
+    return told.select("doc_id", "line", "text", F.col("_h.level").alias("level"), F.col("_h.heading").alias("heading"))
+
+
+def _parts(docs: DataFrame, head: Callable[[Column], Column]) -> DataFrame:
+    """docs with `_n` (from 0), `_at`, `_end` (first and last line, from 0), `_head` and `_body` (array of lines) in place of text: a row for each head and what stands below it.
+
+    Lines before the first head are dropped; a text without one is one part, whose `_head` is null. Null texts have no parts.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    cut = docs.select(*rest, F.split("text", "\n").alias("_lines"))
+    found = F.filter(F.transform("_lines", lambda t, i: F.struct(i.alias("at"), head(t).alias("head"))), lambda x: x["head"].isNotNull())
+    cut = cut.withColumn("_heads", found)
+    # the outer form never asks for the array twice, as a filter on its size would
+    each = cut.select(*rest, "_lines", "_heads", F.posexplode_outer(F.when(F.size("_heads") > 0, F.col("_heads")).when(F.col("_lines").isNotNull(), F.array(F.get("_heads", F.lit(0))))).alias("_n", "_x")).filter("_n is not null")
+    at, after = F.coalesce("_x.at", F.lit(-1)), F.get(F.col("_heads"), F.col("_n") + 1)["at"]
+    each = each.select(*rest, "_n", "_lines", F.col("_x.head").alias("_head"), at.alias("_from"), (F.coalesce(after, F.size("_lines")) - 1).alias("_end"))
+    return each.select(*rest, "_n", F.greatest(F.col("_from"), F.lit(0)).alias("_at"), "_end", "_head", F.slice("_lines", F.col("_from") + 2, F.col("_end") - F.col("_from")).alias("_body"))
+
+
+def _section_id(head: Column, at: Column) -> Column:
+    """From the heading of a part and the line (from 0) where it starts."""
+    return prefixed_hash("sec_", 8, F.coalesce(head["level"], F.lit(0)).cast("string"), F.lit("::"), F.coalesce(head["heading"], F.lit("")), F.lit("::"), (at + 1).cast("string"))
+
+
+def _sections(docs: DataFrame) -> DataFrame:
+    """sections() without parents, narrow."""
+    return _parts(docs, _heading).select("doc_id", (F.col("_n") + 1).cast("long").alias("section"), F.coalesce("_head.level", F.lit(0)).alias("level"), F.col("_head.heading").alias("heading"), (F.col("_at") + 1).alias("start_line"), F.array_join("_body", "\n").alias("text"), _section_id(F.col("_head"), F.col("_at")).alias("section_id"))
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -60,24 +97,16 @@ def sections(docs: DataFrame) -> DataFrame:
     Text before the first heading is dropped; a document without headings is one section of level 0. The parent is the
     nearest earlier heading of a smaller level. Windows run within one document.
     """
-    own = Window.partitionBy("doc_id").orderBy("line")
-    numbered = headings(docs).withColumn("section", F.count("level").over(own)).withColumn("any", F.max(F.col("level").isNotNull()).over(Window.partitionBy("doc_id")))
-    numbered = numbered.filter((F.col("section") > 0) | ~F.col("any"))
-    body = F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("line", "text"))))
-    out = numbered.groupBy("doc_id", "section").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.max("heading").alias("heading"), F.min("line").alias("start_line"), F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("text"))
-    out = out.withColumn("section", F.greatest(F.col("section"), F.lit(1)))
     before = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.max(F.when(F.col("level") == i, F.col("section"))).over(before) for i in range(1, 6)]  # of a level; levels are 1 to 6
-    out = out.select("*", *[x.alias(f"_last{i}") for i, x in enumerate(last, 1)])
+    out = _sections(docs).select("*", *[x.alias(f"_last{i}") for i, x in enumerate(last, 1)])
     parent = F.array_max(F.array(*[F.when(F.col("level") > i, F.col(f"_last{i}")) for i in range(1, 6)]))
-    out = out.withColumn("parent", parent)
-    heading_id = prefixed_hash("sec_", 8, F.col("level").cast("string"), F.lit("::"), F.coalesce("heading", F.lit("")), F.lit("::"), F.col("start_line").cast("string"))
-    return out.select("doc_id", "section", "level", "heading", "start_line", heading_id.alias("section_id"), "parent", "text")
+    return out.select("doc_id", "section", "level", "heading", "start_line", "section_id", parent.alias("parent"), "text")
 
 
 def structured_chunks(docs: DataFrame, least: int = 40) -> DataFrame:
     """doc_id, section, para, text, location, chunk_id, boost (0.1 below headings that announce definitions)."""
-    parts = sections(docs).select("doc_id", "section", "section_id", "heading", F.posexplode(F.split("text", "\n\n")).alias("para", "text")).withColumn("text", stripped("text")).filter(F.char_length("text") >= least)
+    parts = _sections(docs).select("doc_id", "section", "section_id", "heading", F.posexplode(F.split("text", "\n\n")).alias("para", "text")).withColumn("text", stripped("text")).filter(F.char_length("text") >= least)
     place = F.concat(F.lit("section:"), F.col("section_id"), F.lit(":para:"), F.col("para").cast("string"))
     path = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
     boost = F.when(F.lower("heading").rlike("|".join(HEADING_WORDS)), 0.1).otherwise(0.0)
@@ -147,6 +176,16 @@ def semantic_chunks(docs: DataFrame, least: int = 10) -> DataFrame:
     return out.select("*", place.alias("location"), chunk_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), "semantic", F.col("group"), F.col("text")).alias("chunk_id"))
 
 
+def _chapter_title(text: Column) -> Column:
+    """The title of a line that starts a chapter, else null; see chapters()."""
+    t = F.rtrim(text)
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    plain = t.rlike(r"^(Chapter|CHAPTER)\s+\S+(\s*[:.\-]\s*.*)?$")
+    marked = t.rlike(r"(?i)^#{1,3}\s+chapter\s+")
+    capitals = (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$") & words.between(1, 5)
+    return F.when(plain, t).when(marked, stripped(F.regexp_replace(t, r"^#{1,3}\s+", ""))).when(capitals, F.initcap(F.lower(t)))
+
+
 def chapters(books: DataFrame) -> DataFrame:
     """doc_id, chapter (from 0), chapter_id, title, start_line, end_line (from 0), text: one row per chapter.
 
@@ -154,21 +193,9 @@ def chapters(books: DataFrame) -> DataFrame:
     stands before the first one is dropped; a book without any is one chapter without a title.
     """
     book = prefixed_hash("", 16, F.lit("doc:"), F.col("doc_id").cast("string"), F.lit("::"), F.octet_length("text").cast("string"), F.lit("::"), F.substring("text", 1, 1000))
-    numbered = books.select("doc_id", book.alias("_book"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    t = F.rtrim("text")
-    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    plain = t.rlike(r"^(Chapter|CHAPTER)\s+\S+(\s*[:.\-]\s*.*)?$")
-    marked = t.rlike(r"(?i)^#{1,3}\s+chapter\s+")
-    capitals = words.between(1, 5) & (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$")
-    title = F.when(plain, t).when(marked, stripped(F.regexp_replace(t, r"^#{1,3}\s+", ""))).when(capitals, F.initcap(F.lower(t)))
-    own = Window.partitionBy("doc_id").orderBy("line")
-    numbered = numbered.withColumn("title", title).withColumn("chapter", F.count("title").over(own)).withColumn("_any", F.count("title").over(Window.partitionBy("doc_id")) > 0)
-    numbered = numbered.filter((F.col("chapter") > 0) | ~F.col("_any"))
-    body = F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("line", "text"))))
-    out = numbered.groupBy("doc_id", "chapter").agg(F.max("title").alias("title"), F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.max("_book").alias("_book"), stripped(F.array_join(F.transform(body, lambda x: x["text"]), "\n")).alias("text"))
-    out = out.withColumn("chapter", F.greatest(F.col("chapter") - 1, F.lit(0)))
+    parts = _parts(books.select("doc_id", book.alias("_book"), "text"), _chapter_title).select("doc_id", "_book", F.col("_n").cast("long").alias("chapter"), F.col("_head").alias("title"), F.col("_at").alias("start_line"), F.col("_end").alias("end_line"), stripped(F.array_join("_body", "\n")).alias("text"))
     named = prefixed_hash("chap_", 12, F.col("_book"), F.lit("::chapter::"), F.col("chapter").cast("string"), F.lit("::"), F.coalesce("title", F.lit("")))
-    return out.select("doc_id", "chapter", named.alias("chapter_id"), "title", "start_line", "end_line", "text")
+    return parts.select("doc_id", "chapter", named.alias("chapter_id"), "title", "start_line", "end_line", "text")
 
 
 def book_chunks(books: DataFrame, least: int = 40) -> DataFrame:
@@ -182,12 +209,15 @@ def chapter_chunks(parts: DataFrame, least: int = 40) -> DataFrame:
     Chapters that read as glossaries give their definition lines (position: line from 0), others the paragraphs of their sections
     (position: paragraph from 0).
     """
-    parts = parts.select("doc_id", "chapter_id", "text", is_glossary(F.col("text")).alias("_glossary"))
-    lined = parts.filter("_glossary").select("doc_id", "chapter_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("text", stripped("text")).filter(is_dictionary_line(F.col("text")))
-    place = F.concat(F.lit("chapter:"), F.col("chapter_id"), F.lit(":line:"), F.col("position").cast("string"))
+    told = parts.select("doc_id", "chapter_id", "text", is_glossary(F.col("text")).alias("_glossary"))
+    glossary = F.col("_glossary")
+    # a glossary is one part, so that all chapters are cut in one pass
+    cut = _parts(told, lambda t: F.when(~glossary, _heading(t))).select("doc_id", "chapter_id", "_glossary", _section_id(F.col("_head"), F.col("_at")).alias("_section"), F.array_join("_body", "\n").alias("_text"))
+    pieces = cut.select("doc_id", "chapter_id", "_glossary", "_section", F.posexplode(F.when(glossary, F.split("_text", "\n")).otherwise(F.split("_text", "\n\n"))).alias("position", "text")).withColumn("text", stripped("text"))
+    kept = pieces.filter(F.when(glossary, is_dictionary_line(F.col("text"))).otherwise(F.char_length("text") >= least))
+    at = F.col("position").cast("string")
+    place = F.when(glossary, F.concat(F.lit("chapter:"), "chapter_id", F.lit(":line:"), at)).otherwise(F.concat(F.lit("section:"), "_section", F.lit(":para:"), at))
     path = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
-    lined = lined.select("doc_id", "chapter_id", F.lit("glossary").alias("mode"), "position", "text", place.alias("location"), chunk_id(path, "book_glossary", F.col("position"), F.col("text")).alias("chunk_id"))
-    told = parts.filter("not _glossary").select(F.struct("doc_id", "chapter_id").alias("doc_id"), "text")
-    chunks = structured_chunks(told, least).select("doc_id.doc_id", "doc_id.chapter_id", "para", "text", "location")
-    named = prefixed_hash("chunk_", 8, path, F.lit("::document_structured::"), F.col("location"), F.lit("::"), F.lower("text"))
-    return lined.unionByName(chunks.select("doc_id", "chapter_id", F.lit("paragraph").alias("mode"), F.col("para").alias("position"), "text", "location", named.alias("chunk_id")))
+    named = F.when(glossary, chunk_id(path, "book_glossary", F.col("position"), F.col("text"))).otherwise(prefixed_hash("chunk_", 8, path, F.lit("::document_structured::"), F.col("location"), F.lit("::"), F.lower("text")))
+    out = kept.select("doc_id", "chapter_id", F.when(glossary, "glossary").otherwise("paragraph").alias("mode"), "position", "text", place.alias("location"), "_glossary")
+    return out.select("doc_id", "chapter_id", "mode", "position", "text", "location", named.alias("chunk_id"))

@@ -138,3 +138,44 @@ def test_replay_and_faults(spark):
 
 def test_relation_names(spark):
     assert tuple(one(spark, a=T.relation_name(F.lit("Depends  on")), b=T.relation_name(F.lit("sits next to")))) == ("depends_on", "sits_next_to")
+
+
+ODD_TEXTS = ["", "\n", "no heading at all", "# A\n\n## B\nx", "x\nNOTES:\ny\n\nz\nALL CAPITALS\n", "Chapter 1\nCHAPTER 2: b\n\n", "a\r\n# B \r\n\tc\n", "###### deep\n# top\n###### deep", "ALPHA\nBETA\nGAMMA", " \n\n \n", "\u00c9T\u00c9\nc'est"]
+
+
+def test_texts_are_cut_within_their_own_row(spark):
+    """Sections and chapters of odd texts against a loop over lines that are told as heads by themselves."""
+    docs = spark.createDataFrame([*enumerate(ODD_TEXTS), (90, None), (91, ODD_TEXTS[4])], "doc_id long, text string")
+    heads = {(r.doc_id, r.line): (r.level, r.heading) for r in chunking.headings(docs).filter("level is not null").collect()}
+    want = []
+    for key, text in [*enumerate(ODD_TEXTS), (91, ODD_TEXTS[4])]:
+        own = text.split("\n")
+        at = [i for i in range(len(own)) if (key, i + 1) in heads]
+        for n, i in enumerate(at or [-1]):
+            level, heading = heads.get((key, i + 1), (0, None))
+            stop = at[n + 1] if n + 1 < len(at) else len(own)
+            parent = max((m + 1 for m in range(n) if heads[key, at[m] + 1][0] < level), default=None)
+            want.append((key, n + 1, level, heading, max(i, 0) + 1, parent, "\n".join(own[i + 1 : stop])))
+    got = [tuple(r) for r in chunking.sections(docs).select("doc_id", "section", "level", "heading", "start_line", "parent", "text").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    parts = {(r.doc_id, r.chapter): (r.title, r.start_line, r.end_line, r.text) for r in chunking.chapters(docs).collect()}
+    assert parts[0, 0] == (None, 0, 0, "") and parts[2, 0] == (None, 0, 0, "no heading at all")
+    assert parts[5, 0] == ("Chapter 1", 0, 0, "") and parts[5, 1] == ("CHAPTER 2: b", 1, 3, "")
+    assert [parts[8, i][0] for i in range(3)] == ["Alpha", "Beta", "Gamma"]
+    assert not any(k == 90 for k, _ in parts) and parts[4, 0] == parts[91, 0]
+    assert chunking.chapters(docs.limit(0)).count() == 0
+
+
+def test_chunks_of_books_need_no_shuffle(spark, tmp_path):
+    spark.createDataFrame([(1, "CHAPTER ONE\na b"), (2, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "books"))
+    books = spark.read.parquet(str(tmp_path / "books"))
+    for df in (chunking.book_chunks(books), chunking.structured_chunks(books)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_white_space_at_the_ends_goes(spark):
+    from loomgraph.functions.text import stripped
+
+    rows = [" a b\t", "\x0b\f\r\n", "", "\u00a0x ", None, "x" * 100_000 + " " * 100_000]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(stripped("x")).collect()]
+    assert got == [x if x is None else re.sub(r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\Z", "", x) if len(x) < 99 else x.rstrip() for x in rows]
