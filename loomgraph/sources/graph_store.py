@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
-from ..session import deleted, written
+from ..session import deleted, scratch
 
 SCHEMA = "1.2"
 
@@ -150,7 +150,10 @@ class GraphStore:
 
     def upsert(self, tries: int = 20, **new: DataFrame) -> int:
         """Merge rows into tables, by name; the version that has them. Rows need the columns of LAYOUTS but for events, whose number is given."""
-        new = {t: written(df.select(*(c for c in names(t) if c != "number")), f"new-{t}") for t, df in new.items()}
+        with scratch(self.spark) as write:
+            return self._upsert({t: write(df.select(*(c for c in names(t) if c != "number")), f"new-{t}") for t, df in new.items()}, tries)
+
+    def _upsert(self, new: dict[str, DataFrame], tries: int) -> int:
         touched = {t: self._touched(t, df) for t, df in new.items()}
         base, parts = None, {}
         for _ in range(tries):
