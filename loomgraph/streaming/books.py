@@ -63,22 +63,25 @@ def ingest_books(stream: DataFrame, at: str, store: GraphStore, parts: int = 1,
     spark = store.spark
 
     def take(batch: DataFrame, number: int) -> None:
+        place = lambda part: f"{at}/manifest/batch={number}/part={part}"
+        left = [part for part in range(parts) if not finished(place(part))]
+        if not left:
+            return
+        own = F.pmod(F.xxhash64("chapter_id"), F.lit(parts))
         with scratch(spark) as keep:
-            with scratch(spark) as write:
-                chapters = write(chunking.chapters(batch.filter("doc_id is not null and text is not null")), "chapters")
-                chunks = keep(chunking.chapter_chunks(chapters), "chunks")
-                titles = keep(chapters.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chapter").cast("int").alias("chapter"), "chapter_id", "title"), "titles")
-            mine = lambda df, part: df.filter(F.pmod(F.xxhash64("chapter_id"), F.lit(parts)) == part)
-            for part in range(parts):
-                place = f"{at}/manifest/batch={number}/part={part}"
-                done, files = store._hadoop(f"{place}/_SUCCESS")
-                if files.exists(done):
-                    continue
+            chapters = keep(chunking.chapters(batch.filter("doc_id is not null and text is not null")).filter(own.isin(left)), "chapters")
+            for part in left:
+                mine = chapters.filter(own == part)
                 with scratch(spark) as write:
-                    take_part(mine(titles, part), mine(chunks, part), place, write)
+                    titles = mine.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chapter").cast("int").alias("chapter"), "chapter_id", "title")
+                    take_part(titles, write(chunking.chapter_chunks(mine), "chunks"), place(part), write)
                 if after_part:
                     after_part(number, part)
 
+    def finished(place: str) -> bool:
+        done, files = store._hadoop(f"{place}/_SUCCESS")
+        return files.exists(done)
+
     def take_part(titles: DataFrame, chunks: DataFrame, place: str, write: Callable[[DataFrame, str], DataFrame]) -> None:
         definitions, triples = (write(x, "rows") for x in book_rows(chunks))
         edges, traces = book_edges(triples)
