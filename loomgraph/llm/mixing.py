@@ -9,7 +9,7 @@ is by size, the words taken miss the target by about one document at most.
 
 The prefix sum is distributed (`common.ranked`): a source that holds a third of the corpus spreads over many partitions.
 Targets need only the table of sources (one row per source, an aggregate), whose running sums are distributed too. u comes from SHA-256 of seed and source, so
-reruns agree. Defined cases: null text has size 0 and takes 0 words; null sources form one source; rows equal in source,
+reruns agree. Defined cases: null text has size 0 and takes 0 words; very long texts are counted whole; null sources form one source; rows equal in source,
 size and key are interchangeable; an empty table gives an empty result; extra columns pass through `mix_documents`.
 """
 

@@ -7,7 +7,8 @@ is one that fails the base rules (too few words, too many words in repeated 5-wo
 
 Words are runs of characters other than \x20 and \x09-\x0D. Defined cases: a null or empty text has no words, so all
 counts are 0 and base_failed is true; lines without a word are kept as they are and count for nothing; repeated rows give
-one row each; extra columns pass through `clean_documents` untouched, whatever their names.
+one row each; extra columns pass through `clean_documents` untouched, whatever their names; rows with a null key are judged
+as any other; very long texts are judged whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -306,3 +306,19 @@ def test_repair_of_odd_tables(spark):
     only = spark.createDataFrame([(1, None, None, None)], "conv_id long, turn long, role string, text string")
     row = conversation_repair.repair_conversations(only).first()
     assert tuple(row) == (1, 0, 1, 0, 0, 0, 3, "D", hashlib.sha256(b"").hexdigest())
+
+
+def test_quality_rules_of_odd_rows(spark):
+    """Null keys, repeated rows, a text of over a megabyte, names that clash with the counts, no rows."""
+    from loomgraph.llm import quality_rules
+
+    plain = "these ten words are all different so that nothing repeats"
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(None, plain, "a", 1), (None, plain, "a", 1), (3, None, "b", 2), (4, "", None, None), (5, long, "c", 3), (5, plain + "\n" + plain, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words long")
+    got = sorted((tuple(r) for r in quality_rules.judge_documents(docs).select("doc_id", "n_words", "n_dup_lines", "base_failed", "kept").collect()), key=repr)
+    assert got == sorted([(None, 10, 0, False, True)] * 2 + [(3, 0, 0, True, False), (4, 0, 0, True, False), (5, 200_000, 0, False, True), (5, 20, 1, True, False)], key=repr)
+    out = quality_rules.clean_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], rows[1], rows[4]], key=repr)
+    assert quality_rules.judge_documents(docs.limit(0)).count() == quality_rules.clean_documents(docs.limit(0)).count() == 0
