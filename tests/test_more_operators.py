@@ -129,6 +129,19 @@ def test_rules_that_contradict(spark):
     assert got == {("a", "b"): ("precedence", "a"), ("a", "c"): ("precedence", "a"), ("e", "f"): ("unresolved", None)}
 
 
+def test_pairs_of_rules_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(domains, "BLOCK", 3)
+    acts = lambda i, m: sorted({f"a{i % 4}", f"a{i * m % 5}"})
+    rows = [(f"r{i % 30}", ["statutory", "local", "custom"][i % 3], ["c"] * (i % 3), acts(i, 3), acts(i + 1, 7)) for i in range(33)]  # three names come twice
+    out = domains.contradictions(spark.createDataFrame(rows, "name string, level string, conditions array<string>, obligations array<string>, prohibitions array<string>"))
+    says = lambda name, k: {c for r in rows if r[0] == name for c in r[k]}
+    names = {r[0] for r in rows}
+    pairs = {(a, b) for a in names for b in names if a < b and (says(a, 3) & says(b, 4) or says(b, 3) & says(a, 4))}
+    got = [(r.a, r.b) for r in out.collect()]
+    assert sorted(got) == sorted((x[0], y[0]) for x in rows for y in rows if (x[0], y[0]) in pairs)
+    assert "keys=[a#" not in out._jdf.queryExecution().executedPlan().toString()  # a distinct of all pairs, before
+
+
 def test_replay_and_faults(spark):
     events = spark.createDataFrame([(1, i, s, f"p{i}") for i, s in enumerate(["parse", "parse", "route", "parse"])], "trace long, seq long, stage string, payload string")
     row = adaptation.replayed(events).first()
