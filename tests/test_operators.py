@@ -156,3 +156,21 @@ def test_readme_lists_the_missing_typed_operators():
     missing = {x for x in every if x not in typed.COMPUTED and x not in typed.SYMBOLIC and x != "geography.CAPITAL_OF" and not x.startswith("discourse.")}
     rows = re.findall(r"^\| (\w+) \| (\d+) of \d+ \| (.*) \|$", (top / "README.md").read_text(), re.M)
     assert len(every) == 130 and {f"{d}.{n}" for d, _, names in rows for n in re.findall(r"`(\w+)`", names)} == missing and sum(int(n) for _, n, _ in rows) == len(missing)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4])
+def test_walks_from_the_ends(spark, monkeypatch, depth):
+    monkeypatch.setattr(graph_queries, "PATHS_A_TASK", 5)  # nodes are dealt over tasks
+    pairs = [(f"n{i * 7 % 13}", f"n{i * i % 11}") for i in range(40)] + [(f"l{i}", f"n{i % 3}") for i in range(20)] + [("n1", "end")] * 2
+    graph = edges(spark, *pairs)
+    every = graph.select(F.col("src").alias("source")).distinct()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    paths = graph_queries.closure(every, graph, depth)
+    assert rows(graph_queries.closure_of_all(graph, depth).select("source", "target", "depth", "path")) == rows(paths)
+    assert rows(graph_queries.composed_by_counts(None, graph, depth)) == rows(graph_queries.composed(paths))
+
+
+def test_paths_are_not_shuffled(spark):
+    graph = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
+    plan = graph_queries.closure_of_all(graph)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "path" in x] and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 1  # three joins of paths, before
