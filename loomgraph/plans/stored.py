@@ -170,8 +170,7 @@ def book_ingest(spark, d):
 SELECT source, target, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS kind, depth::INT AS depth, (CASE WHEN depth = 1 THEN n1 ELSE n END)::BIGINT AS n_paths FROM g"""
 )
 def compose_by_counts(spark, d):
-    star = written(_whole_star(spark, d).select("src", "dst"), "star")
-    return graph_queries.composed_by_counts(star.select(F.col("src").alias("source")), star)
+    return graph_queries.composed_by_counts(None, _whole_star(spark, d))
 
 
 _WITH_CYCLES = "linked AS (SELECT src, dst FROM star UNION SELECT 'r' || r_regionkey, 'n' || r_regionkey FROM region UNION SELECT 'n' || n_nationkey, 'x' || n_nationkey % 3 FROM nation)"
@@ -186,8 +185,7 @@ def compose_depth8_cycles(spark, d):
     s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
     linked = _star(spark, d).select("src", "dst").unionByName(region.select(s("r", "r_regionkey").alias("src"), s("n", "r_regionkey").alias("dst"))).unionByName(nation.select(s("n", "n_nationkey").alias("src"), F.concat(F.lit("x"), (F.col("n_nationkey") % 3).cast("string")).alias("dst")))
-    linked = written(linked.distinct(), "linked")
-    return graph_queries.composed_by_counts(linked.select(F.col("src").alias("source")), linked, depth=8)
+    return graph_queries.composed_by_counts(None, linked, depth=8)
 
 
 _PROV = "prov AS (SELECT src, dst, relation, 't' || src || '.' || i AS trace_id, ((length(dst) + i) % 10) / 10.0::DOUBLE AS confidence FROM edges, range(0, 3) AS r(i) WHERE i < n_provenance)"
