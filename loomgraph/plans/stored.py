@@ -129,11 +129,12 @@ SELECT node, round(greatest(0.01, arg_max(s, i) * pow(0.95, (SELECT last FROM la
 def salience_state(spark, d):
     """salience_reinforce as the state of a stream that gets the days in four micro-batches."""
     ev, last = _days(spark, d)
-    rows, at = ev.select(F.col("user_id").alias("node"), "step", F.lit(0.5).alias("amount")), f"{own_folder(spark)}/amounts/{uuid.uuid4().hex}"
-    for k in range(4):  # one after the other: files are read in the order of their times
-        rows.filter((F.col("step") > last * k // 4) & (F.col("step") <= last * (k + 1) // 4)).coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
-    return salience.run_salience(spark, stream, last)
+    rows = ev.groupBy(F.col("user_id").alias("node"), "step").agg((0.5 * F.count(F.lit(1))).alias("amount"))
+    at, state = (f"{own_folder(spark)}/{x}/{uuid.uuid4().hex}" for x in ("amounts", "salience"))
+    for k in range(4):  # all new files are one batch; the state goes on
+        rows.filter((F.col("step") > last * k // 4) & (F.col("step") <= last * (k + 1) // 4)).write.mode("append").parquet(at)
+        out = salience.run_salience(spark, spark.readStream.schema(rows.schema).parquet(at), last, at=state)
+    return out
 
 
 class Stopped(Exception):

@@ -34,9 +34,10 @@ class Salience(StatefulProcessor):
         salience, step = at if at else (0.0, 0)
         amounts: dict[int, float] = {}  # a batch's distinct steps of one node
         for part in rows:
-            for s, a in part.groupby("step")["amount"].sum().items():
-                s = max(int(s), step)
-                amounts[s] = amounts.get(s, 0.0) + float(a)
+            for s, a in zip(part["step"].tolist(), part["amount"].tolist()):  # grouping in pandas costs more than a node's few rows
+                if s == s:  # not null
+                    s = max(int(s), step)
+                    amounts[s] = amounts.get(s, 0.0) + (float(a) if a == a and a is not None else 0.0)
         for s in sorted(amounts):
             if s == step and at:  # this step has been decayed already
                 salience = max(FLOOR, salience + amounts[s] * DECAY)

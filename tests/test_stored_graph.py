@@ -14,6 +14,7 @@ from loomgraph.functions import sql as sql_functions
 from loomgraph.functions import typed
 from loomgraph.operators import chunking, extraction, graph, graph_queries, numbering, validation
 from loomgraph.sources.graph_store import GraphStore, rebuilt_definitions
+from loomgraph.plans import stored
 from loomgraph.streaming import books, salience
 
 EDGE, TRACE = "src string, dst string, relation string, salience double, step long", "src string, dst string, relation string, trace_id string, step long"
@@ -348,3 +349,14 @@ def test_scratch_tables_go(spark):
         assert table.count() == 3 and os.path.exists(at)
         1 / 0
     assert not os.path.exists(os.path.dirname(at))
+
+
+def test_batches_of_salience_are_not_one_task(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refused(self, n):
+        raise AssertionError("all rows in one task")
+
+    monkeypatch.setattr(DataFrame, "coalesce", refused)
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
+    assert stored.salience_state(spark, "/root/testdata/sf0.001").count() > 0
