@@ -254,24 +254,65 @@ def composed_by_counts(sources: DataFrame | None, edges: DataFrame, depth: int =
     return out.select("source", "target", F.when(is_direct, "direct").otherwise("indirect").alias("kind"), (F.col("_least") + 1).alias("depth"), F.when(is_direct, F.lit(1).cast("long")).otherwise(F.col("n")).alias("n_paths"))
 
 
+def reached(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of edges that a path from asked (term, relation) can take, with `inner`: whether an edge of the same relation leads to its src.
+
+    Such an edge starts at an asked node or where another one ends. All edges are shuffled once here, so that what follows goes by those that count.
+    """
+    node = lambda df, relation, at, end: df.select(F.col(relation).alias("_rel"), at.alias("_node"), F.lit(end).alias("inner"))
+    nodes = node(asked, "relation", query_term(F.col("term")), False).unionByName(node(edges, "relation", F.col("dst"), True)).groupBy("_rel", "_node").agg(F.max("inner").alias("inner"))
+    return edges.join(nodes, (F.col("relation") == F.col("_rel")) & (F.col("src") == F.col("_node"))).select(*(edges[c] for c in edges.columns if c != "inner"), nodes["inner"])
+
+
+#: Inner nodes up to which the traces of longer paths are picked before they are shuffled. Fixed value.
+INNER_NODES = 100_000
+
+
 def composed_by_relation(asked: DataFrame, edges: DataFrame, prov: DataFrame, depth: int = 3) -> DataFrame:
     """term, relation, target, kind, depth, n_paths, first_path, n_provenance, best_trace: targets over edges of the asked relation.
 
     A direct target hides indirect ways to it. first_path is the shortest kept path, then the least; provenance is that of
     the edges of all kept paths, each trace id once; the best has the greatest confidence, then the least id.
-    prov: src, dst, relation, trace_id, confidence.
+    prov: src, dst, relation, trace_id, confidence; edges: src, dst, relation, best as reached() gives them.
+
+    A direct target is one edge, so it takes what its edge's traces come to, without a row for each path. Only longer paths are written, cut into
+    their edges and grouped; their first steps are those that lead to an inner edge.
     """
-    steps = edges.select("src", "dst", "relation", F.lit(0).alias("n_provenance")).distinct()
-    paths = related_closure(asked, steps, depth).drop("n_provenance")
-    key = ["term", "relation", "target"]
-    per = paths.groupBy(*key).agg(F.min("depth").alias("_least"))
-    kept = written(paths.join(per, key).filter((F.col("_least") > 1) | (F.col("depth") == 1)).drop("_least"), "kept-paths")
-    nodes = F.split("path", " → ")
-    hops = kept.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size(nodes) - 1), lambda i: F.struct(F.element_at(nodes, i).alias("src"), F.element_at(nodes, i + 1).alias("dst")))).alias("h")).select(*key, "h.src", "h.dst").distinct()
-    traces = hops.join(prov, ["src", "dst", "relation"]).groupBy(*key, "trace_id").agg(F.max("confidence").alias("confidence"))
+    key, edge = ["term", "relation", "target"], ["relation", "src", "dst"]
+    steps = (edges if "inner" in edges.columns else written(reached(asked, edges), "reached")).filter("src <> dst").select(*edge, "inner")
+    starts = asked.select("term", "relation", query_term(F.col("term")).alias("_at")).repartition("relation", "_at").distinct()
+
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("trace_id", prov.schema["trace_id"].dataType), ("confidence", prov.schema["confidence"].dataType))]
+    both = steps.select(*edge, F.lit(False).alias("_prov"), *blank).unionByName(prov.select(*edge, F.lit(True).alias("_prov"), "trace_id", "confidence"))
+    once = both.repartition("relation", "src").groupBy(*edge, "_prov", "trace_id").agg(F.max("confidence").alias("confidence"))
+    best = F.min_by("trace_id", F.when(F.col("_prov"), F.struct(-F.col("confidence"), "trace_id")))
+    each = once.groupBy(*edge).agg(F.count_if("_prov").alias("n_provenance"), best.alias("best_trace"), F.min("_prov").alias("_no_step")).filter("not _no_step")
+    e = each.select(F.col("relation").alias("_rel"), "src", F.col("dst").alias("target"), "n_provenance", "best_trace")
+    at = (F.col("relation") == F.col("_rel")) & (F.col("_at") == F.col("src"))
+    direct = starts.join(e, at).select(*key, F.lit("direct").alias("kind"), F.lit(1).alias("depth"), F.lit(1).cast("long").alias("n_paths"), F.concat_ws(" → ", "src", "target").alias("first_path"), "n_provenance", "best_trace")
+    if depth == 1:
+        return direct
+
+    inner = written(steps.filter("inner").select(F.col("relation").alias("_rel"), "src", "dst").distinct(), "inner")
+    first = steps.join(inner.select("_rel", F.col("src").alias("_next")), (F.col("relation") == F.col("_rel")) & (F.col("dst") == F.col("_next")), "left_semi").select(F.col("relation").alias("_rel"), "src", "dst")
+    now = starts.join(first.repartition("_rel", "src").distinct(), at).select("term", "relation", F.array("src", "dst").alias("path"))
+    longer = None
+    for _ in range(depth - 1):
+        now = now.join(inner, (F.col("relation") == F.col("_rel")) & (F.element_at("path", -1) == F.col("src"))).filter(~F.array_contains("path", F.col("dst"))).select("term", "relation", F.concat("path", F.array("dst")).alias("path"))
+        longer = now if longer is None else longer.unionByName(now)
+    longer = longer.select("term", "relation", F.element_at("path", -1).alias("target"), "path")
+    is_direct = (F.col("relation") == F.col("_rel")) & (F.get("path", F.lit(0)) == F.col("src")) & (F.col("target") == F.col("dst"))
+    kept = written(longer.join(steps.select(F.col("relation").alias("_rel"), "src", "dst"), is_direct, "left_anti"), "kept-paths")
+    hops = kept.select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))).alias("h")).select(*key, "h.src", "h.dst").distinct()
+    nodes = inner.select("_rel", F.col("src").alias("_node")).distinct()
+    if nodes.limit(INNER_NODES + 1).count() <= INNER_NODES:  # edges of longer paths lead to an inner node or start at one
+        met = lambda at: prov.join(F.broadcast(nodes), (F.col("relation") == F.col("_rel")) & (F.col(at) == F.col("_node")), "left_semi")
+        prov = met("dst").unionByName(met("src"))  # twice is as good as once
+    traces = hops.join(prov, edge).groupBy(*key, "trace_id").agg(F.max("confidence").alias("confidence"))
     told = traces.groupBy(*key).agg(F.count(F.lit(1)).alias("n_provenance"), F.min_by("trace_id", F.struct(-F.col("confidence"), "trace_id")).alias("best_trace"))
-    out = kept.groupBy(*key).agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("n_paths"), F.min_by("path", F.struct("depth", "path")).alias("first_path")).join(told, key, "left")
-    return out.select(*key, F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("kind"), "depth", "n_paths", "first_path", F.coalesce("n_provenance", F.lit(0)).alias("n_provenance"), "best_trace")
+    path = F.array_join("path", " → ")
+    out = kept.groupBy(*key).agg((F.min(F.size("path")) - 1).alias("depth"), F.count(F.lit(1)).alias("n_paths"), F.min_by(path, F.struct(F.size("path"), path)).alias("first_path")).join(told, key, "left")
+    return direct.unionByName(out.select(*key, F.lit("indirect").alias("kind"), "depth", "n_paths", "first_path", F.coalesce("n_provenance", F.lit(0)).alias("n_provenance"), "best_trace"))
 
 
 def one_hop(asked: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

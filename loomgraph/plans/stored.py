@@ -206,7 +206,7 @@ FROM kept LEFT JOIN p USING (term, relation, target) GROUP BY term, relation, ta
 )
 def compose_by_relation(spark, d):
     asked, edges = _related(spark, d)
-    edges = written(edges, "related")
+    edges = written(graph_queries.reached(asked, edges), "related")
     return graph_queries.composed_by_relation(asked, edges, _traces(edges))
 
 

@@ -225,6 +225,43 @@ def test_direct_targets_hide_indirect_ones(spark):
     assert [(r.term, r.hit, r.target, r.is_node, r["rank"]) for r in hops] == [("A", True, "b", True, 1), ("A", True, "c", False, 2), ("nothing", False, None, None, None)]
 
 
+@pytest.mark.parametrize("few", (0, 100_000))
+def test_composition_by_relation_writes_longer_paths_only(spark, monkeypatch, few):
+    """Against plain paths with cycles, self-loops, repeated edges and traces; edges that no asked path can take are dropped before anything is written."""
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randint(0, 9)}", f"n{rng.randint(0, 9)}", rng.choice("rs")) for _ in range(40)}
+    beside = [(f"far{i}", f"end{i}", "r") for i in range(50)]
+    links = defaultdict(lambda: defaultdict(set))
+    for a, b, r in pairs:
+        links[r][a].add(b)
+    traces = [(a, b, r, f"t{(len(a) + int(b[1:]) + i) % 7}", i / 4) for a, b, r in sorted(pairs) for i in range(int(b[1:]) % 3)]
+    asked = [(t, r) for t in ("N0", "n1", "n2", "n0", "none") for r in "rs"]
+    want, direct, indirect = {}, 0, 0
+    for term, r in asked:
+        per = defaultdict(list)
+        for p in simple_paths(links[r], term.lower(), 3):
+            per[p[-1]].append(p)
+        for t, ways in per.items():
+            kept = sorted((len(p) - 1, " → ".join(p), tuple(p)) for p in ways if len(p) == 2 or min(map(len, ways)) > 2)
+            direct, indirect = direct + (kept[0][0] == 1), indirect + (len(kept) if kept[0][0] > 1 else 0)
+            told = defaultdict(list)
+            for a, b in {(a, b) for _, _, p in kept for a, b in zip(p, p[1:])}:
+                for x in traces:
+                    if x[:3] == (a, b, r):
+                        told[x[3]].append(x[4])
+            best = min(told, key=lambda k: (-max(told[k]), k)) if told else None
+            want[term, r, t] = ("direct" if kept[0][0] == 1 else "indirect", kept[0][0], len(kept), kept[0][1], len(told), best)
+    tables, own = {}, graph_queries.written
+    monkeypatch.setattr(graph_queries, "INNER_NODES", few)
+    monkeypatch.setattr(graph_queries, "written", lambda df, name: tables.setdefault(name, own(df, name)))
+    edges = spark.createDataFrame(sorted(pairs) * 2 + beside, "src string, dst string, relation string")
+    prov = spark.createDataFrame(traces * 2, "src string, dst string, relation string, trace_id string, confidence double")
+    got = graph_queries.composed_by_relation(spark.createDataFrame(asked * 2, "term string, relation string"), edges, prov).collect()
+    assert len(got) == len(want) and {(x.term, x.relation, x.target): (x.kind, x.depth, x.n_paths, x.first_path, x.n_provenance, x.best_trace) for x in got} == want
+    assert direct and tables["kept-paths"].count() == indirect > 0
+    assert tables["reached"].filter("src like 'far%'").count() == 0
+
+
 def test_conflicts_name_a_node_with_another_value(spark):
     place = ("doc", "c", "m")
     nodes = spark.createDataFrame([("n1", "A", *place), ("n2", "B", *place), ("n3", "A", *place), ("n4", "C", *place), ("n5", None, *place)], "id string, value string, source_id string, chunk_id string, method string")
