@@ -48,7 +48,7 @@ def _heading(text: Column) -> Column:
     """level and heading of a line as a struct, null where it is no heading; see headings()."""
     t = F.rtrim(text)
     words = F.size(F.filter(F.split(stripped(t), r"\s+"), lambda w: w != ""))
-    marks = F.regexp_extract(t, r"^(#{1,6})\s+(.+)$", 1)
+    marks = F.when(t.startswith("#"), F.regexp_extract(t, r"^(#{1,6})\s+(.+)$", 1)).otherwise("")  # most lines are told by their first letter
     capitals = (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$") & t.rlike(r"\p{Lu}") & (words <= 10)
     colon = t.endswith(":") & (F.char_length(t) <= 50)
     is_level = lambda level, title: F.struct(level.cast("int").alias("level"), title.alias("heading"))
@@ -132,10 +132,11 @@ def is_glossary(text: Column) -> Column:
     """Whether a text reads as line-by-line definitions, as in glossary_documents, told of each row by itself."""
     says = r"(?i)^.{1,60} (is|depends on) "
 
-    def of(filled: Column) -> Column:
-        n, valid = F.size(filled), F.size(F.filter(filled, is_dictionary_line))
+    def of(filled: Column) -> Column:  # what costs least first: the verbs are looked for where all else fits, once
+        n = F.size(filled)
         length = F.aggregate(filled, F.lit(0).cast("long"), lambda total, x: total + F.char_length(x))
-        return (valid >= 3) & (valid * 2 >= n) & (length <= 120 * n) & (F.size(F.filter(filled, lambda x: x.rlike(says))) >= 2)
+        valid = F.element_at(F.transform(F.array(F.size(F.filter(filled, is_dictionary_line))), lambda v: (v >= 3) & (v * 2 >= n)), 1)
+        return (n >= 3) & (length <= 120 * n) & (F.size(F.filter(filled, lambda x: x.rlike(says))) >= 2) & valid
 
     filled = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
     return F.coalesce(F.element_at(F.transform(F.array(filled), of), 1), F.lit(False))  # bound by transform, so computed once
@@ -180,8 +181,8 @@ def _chapter_title(text: Column) -> Column:
     """The title of a line that starts a chapter, else null; see chapters()."""
     t = F.rtrim(text)
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    plain = t.rlike(r"^(Chapter|CHAPTER)\s+\S+(\s*[:.\-]\s*.*)?$")
-    marked = t.rlike(r"(?i)^#{1,3}\s+chapter\s+")
+    plain = (t.startswith("Chapter") | t.startswith("CHAPTER")) & t.rlike(r"^(Chapter|CHAPTER)\s+\S+(\s*[:.\-]\s*.*)?$")
+    marked = t.startswith("#") & t.rlike(r"(?i)^#{1,3}\s+chapter\s+")
     capitals = (t == F.upper(t)) & t.rlike(r"^[\p{L} ]+$") & words.between(1, 5)
     return F.when(plain, t).when(marked, stripped(F.regexp_replace(t, r"^#{1,3}\s+", ""))).when(capitals, F.initcap(F.lower(t)))
 

@@ -27,17 +27,21 @@ def _pieces(chunks: DataFrame) -> DataFrame:
     return chunks.select("*", F.posexplode(F.split("text", r"\.")).alias("pos", "_p")).withColumn("_p", stripped("_p"))
 
 
+#: What one of the verbs of definitions matches in a sentence, in one search.
+_DEFINES = " (?i:is|means|refers to) "
+
+
 def definitions(chunks: DataFrame, base_confidence: float = 0.8) -> DataFrame:
     """doc_id, pos, term, definition, confidence: sentences of over 15 characters that a pattern reads as a definition.
 
     A pattern is tried only on sentences with its verb, and all that it gives comes from one expression per sentence.
     """
-    said = _pieces(chunks).filter(F.char_length("_p") > 15).withColumns({"_s": F.concat("_p", F.lit(".")), "_l": F.lower("_p")})
+    said = _pieces(chunks).filter((F.char_length("_p") > 15) & F.col("_p").rlike(_DEFINES)).withColumns({"_s": F.concat("_p", F.lit(".")), "_l": F.lower("_p")})
     verbs = ((" is ",), (" means ",), (" refers to ",), (" is defined as ", " is known as "))
     has = lambda words: sum((F.col("_l").contains(w).cast("int") for w in words[1:]), F.col("_l").contains(words[0]).cast("int")) > 0
     found = F.coalesce(*[F.when(has(v) & F.col("_s").rlike("(?i)" + p), F.struct(*[stripped(F.regexp_extract("_s", "(?i)" + p, k)).alias(c) for k, c in ((1, "term"), (2, "definition"))])) for v, p in zip(verbs, DEFINITIONS, strict=True)])
     boost = F.col("boost") if "boost" in chunks.columns else F.lit(0.0)
-    one = said.filter(has(("is", "means", "refers"))).select("doc_id", "pos", boost.alias("_b"), F.explode(F.array(found)).alias("_f")).filter("_f is not null")
+    one = said.select("doc_id", "pos", boost.alias("_b"), F.explode(F.array(found)).alias("_f")).filter("_f is not null")
     return one.select("doc_id", "pos", "_f.term", "_f.definition", (F.lit(base_confidence) + F.col("_b")).alias("confidence"))
 
 
@@ -61,6 +65,8 @@ def procedures(chunks: DataFrame) -> DataFrame:
 _HOLDS = {"is_times": " is|times", "rate_of_change": " is|rate", "consists_of": "consist|of", "defined_as": " is| as", "uses": "use", "is_a_article": "is", "is_plain": "is"}
 
 
+#: A verb that a sentence must hold, in one search.
+_RELATES = r"\s(?i:is\s|consist|use)"
 #: Characters that . does not match. In a sentence with one of them a later try of a pattern's first part can match more.
 LINE_BREAK = "[\n\r\u0085\u2028\u2029]"
 
@@ -80,8 +86,7 @@ def relationships(chunks: DataFrame) -> DataFrame:
     Sentences without any of the verbs are passed over, a pattern is tried only where its words stand, and the first that
     matches gives all its terms from one expression, which the explode evaluates once.
     """
-    said = chunks.select("doc_id", F.posexplode(plain_sentences(F.col("text"))).alias("pos", "s")).withColumns({"_l": F.regexp_replace(F.lower("s"), r"\s", " "), "_broken": F.col("s").rlike(LINE_BREAK)})
-    said = said.filter(F.col("_l").contains(" is ") | F.col("_l").contains(" consist") | F.col("_l").contains(" use"))
+    said = chunks.select("doc_id", F.posexplode(plain_sentences(F.col("text"))).alias("pos", "s")).filter(F.col("s").rlike(_RELATES)).withColumns({"_l": F.regexp_replace(F.lower("s"), r"\s", " "), "_broken": F.col("s").rlike(LINE_BREAK)})
     found = []
     for name, relation, pattern in RELATIONSHIPS:
         fits = F.lit(True)

@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import definition_term, node_id, trace_id
 from ..operators import chunking, extraction
-from ..session import scratch
+from ..session import deleted, scratch
 from ..sources.graph_store import GraphStore
 
 MANIFEST = "doc_id string, chapter int, chapter_id string, title string, chunk_mode string, status string, n_chunks long, n_definitions long, n_relationships long"
 
 
-def book_stream(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataFrame:
-    """doc_id, text of the Parquet files in a folder (or of one file), as a stream."""
+def book_stream(spark: SparkSession, path: str, files_a_batch: int | None = None, bytes_a_batch: int = 8 << 30) -> DataFrame:
+    """doc_id, text of the Parquet files in a folder (or of one file), as a stream; batches by bytes, unless a number of files is given.
+
+    Each batch's upserts rewrite the buckets of the store, so the number of batches must not grow with that of small files.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path[:-1]}[{path[-1]}]").select("doc_id", "text")  # a pattern, so that a single file will do
+    limit = ("maxBytesPerTrigger", bytes_a_batch) if files_a_batch is None else ("maxFilesPerTrigger", files_a_batch)
+    return spark.readStream.schema(schema).option(*limit).parquet(f"{path[:-1]}[{path[-1]}]").select("doc_id", "text")  # a pattern, so that a single file will do
 
 
 def book_rows(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +60,7 @@ def book_edges(triples: DataFrame, salience: float = 0.75) -> tuple[DataFrame, D
 
 
 def ingest_books(stream: DataFrame, at: str, store: GraphStore, parts: int = 1, after_part: Callable[[int, int], None] | None = None) -> DataFrame:
-    """Take all books that are there into the store; the manifest so far. `at` is the folder of this ingestion: checkpoint and manifest.
+    """Take all books that are there into the store; the manifest so far. `at` is the folder of this ingestion: checkpoint, manifest and the chapters of an unfinished batch.
 
     after_part is called behind each finished part, with the numbers of the batch and the part.
     """
@@ -65,18 +69,18 @@ def ingest_books(stream: DataFrame, at: str, store: GraphStore, parts: int = 1,
     def take(batch: DataFrame, number: int) -> None:
         place = lambda part: f"{at}/manifest/batch={number}/part={part}"
         left = [part for part in range(parts) if not finished(place(part))]
-        if not left:
-            return
+        kept = f"{at}/chapters/batch={number}"  # until the batch is done, also over a stop: a batch holds the same books when it is run again
         own = F.pmod(F.xxhash64("chapter_id"), F.lit(parts))
-        with scratch(spark) as keep:
-            chapters = keep(chunking.chapters(batch.filter("doc_id is not null and text is not null")).filter(own.isin(left)), "chapters")
-            for part in left:
-                mine = chapters.filter(own == part)
-                with scratch(spark) as write:
-                    titles = mine.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chapter").cast("int").alias("chapter"), "chapter_id", "title")
-                    take_part(titles, write(chunking.chapter_chunks(mine), "chunks"), place(part), write)
-                if after_part:
-                    after_part(number, part)
+        if left and not finished(kept):
+            chunking.chapters(batch.filter("doc_id is not null and text is not null")).filter(own.isin(left)).write.mode("overwrite").parquet(kept)
+        for part in left:
+            mine = spark.read.parquet(kept).filter(own == part)
+            with scratch(spark) as write:
+                titles = mine.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chapter").cast("int").alias("chapter"), "chapter_id", "title")
+                take_part(titles, write(chunking.chapter_chunks(mine), "chunks"), place(part), write)
+            if after_part:
+                after_part(number, part)
+        deleted(spark, kept)
 
     def finished(place: str) -> bool:
         done, files = store._hadoop(f"{place}/_SUCCESS")

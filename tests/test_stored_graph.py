@@ -195,6 +195,24 @@ def simple_paths(links, source, depth):
     return out
 
 
+def test_many_small_files_of_books_are_one_batch(spark, tmp_path, monkeypatch):
+    """Batches go by bytes, as each of them rewrites the store; a stopped run keeps its chapters, so that they are made once."""
+    spark.createDataFrame([(str(i), BOOKS[0][1]) for i in range(20)], "doc_id string, text string").repartition(20, "doc_id").write.option("maxRecordsPerFile", 1).parquet(f"file://{tmp_path}/in")
+    store, made, own = GraphStore(spark, f"file://{tmp_path}/g", 2), [], books.chunking.chapters
+    monkeypatch.setattr(books.chunking, "chapters", lambda df: made.append(1) or own(df))
+    stream = lambda: books.book_stream(spark, f"{tmp_path}/in")
+
+    def stop(batch, part):
+        raise RuntimeError(f"behind part {part}")
+
+    with pytest.raises(Exception, match="behind part 0"):
+        books.ingest_books(stream(), f"file://{tmp_path}/a", store, 2, stop)
+    done = books.ingest_books(stream(), f"file://{tmp_path}/a", store, 2)
+    assert done.select("doc_id").distinct().count() == 20 and done.groupBy("doc_id", "chapter").count().filter("count > 1").isEmpty()
+    assert store.manifest()["version"] == 2 and len(made) == 1
+    assert not (tmp_path / "a" / "chapters" / "batch=0").exists()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_composition_by_counts_equals_paths(spark, seed):
     rng = random.Random(seed)
