@@ -1,5 +1,6 @@
 """Small cases with known answers: typed operators, slots, semantic chunks, books, ingestion, graphs, streams."""
 
+import random
 import re
 import time
 from pathlib import Path
@@ -142,6 +143,27 @@ def test_pairs_of_rules_are_not_shuffled(spark, monkeypatch):
     assert "keys=[a#" not in out._jdf.queryExecution().executedPlan().toString()  # a distinct of all pairs, before
 
 
+def test_rules_of_a_clause_meet_in_blocks_of_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(domains, "BLOCK", 3)
+    monkeypatch.setattr(domains, "PAIRS_A_TASK", 9)
+    schema = "name string, level string, conditions array<string>, obligations array<string>, prohibitions array<string>"
+    rows = [(f"ban{i}", "local", [], [], ["act"]) for i in range(60)] + [(f"duty{i}", "local", [], ["act"], []) for i in range(3)]
+    out = domains.contradictions(spark.createDataFrame(rows, schema))
+    per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 180 and max(per) < 100  # all bans of the clause met three duties in one task, before
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pairs_of_rules_with_many_clauses(spark, seed):
+    rng = random.Random(seed)
+    acts = lambda n: [f"a{rng.randint(0, 150)}" for _ in range(rng.randint(0, n))] + rng.choice([[], [None]])  # noqa: E731  more than bits of a number
+    rows = [(f"r{i}", rng.choice(["statutory", "local", None]), ["c"] * rng.randint(0, 2), acts(9), acts(9)) for i in range(70)]
+    out = domains.contradictions(spark.createDataFrame(rows, "name string, level string, conditions array<string>, obligations array<string>, prohibitions array<string>"))
+    meets = lambda x, y: bool(set(x[3]) & set(y[4]) - {None})
+    got = sorted((r.a, r.b) for r in out.collect())
+    assert got == sorted(tuple(sorted((x[0], y[0]))) for i, x in enumerate(rows) for y in rows[i + 1 :] if meets(x, y) or meets(y, x))
+
+
 def test_replay_and_faults(spark):
     events = spark.createDataFrame([(1, i, s, f"p{i}") for i, s in enumerate(["parse", "parse", "route", "parse"])], "trace long, seq long, stage string, payload string")
     row = adaptation.replayed(events).first()
